@@ -79,7 +79,7 @@ def render(messages: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, turns (role and text) and loss_text, taken from the rendered text and its spans."""
     pieces = F.slice(F.split("formatted", "<\\|start\\|>", -1), 2, 1_000_000_000)
-    turn = lambda p: F.regexp_extract(p, F.lit("(?s)^((?:[^\\\\\\n]|\\\\.)*)\\n"), 1)
+    turn = lambda p: F.regexp_extract(p, "(?s)^((?:[^\\\\\\n]|\\\\.)*)\\n", 1)
     body = lambda p: F.substring(p, F.char_length(turn(p)) + 2, F.char_length(p) - F.char_length(turn(p)) - 2 - len(END))
     turns = F.transform(pieces, lambda p: F.struct(unescape(turn(p)).alias("role"), unescape(body(p)).alias("text")))
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")

@@ -49,7 +49,7 @@ def valid(kind: str, value: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(value, "\\."), lambda p: F.char_length(F.ltrim(p, F.lit("0"))) < F.when(F.ltrim(p, F.lit("0")) > "255", 3).otherwise(4))
     n = F.char_length(digits(value))
-    return (n.between(12, 19) & F.luhn_check(digits(value))) if kind == "card" else n.between(9, 15)
+    return (n.between(12, 19) & F.call_function("luhn_check", digits(value))) if kind == "card" else n.between(9, 15)
 
 
 def _pieces(text: Column, pattern: str, when: Column, context: bool = False) -> Column:
@@ -133,6 +133,10 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, threshold: float = 0.9,
     return joined.select("doc_id", F.coalesce(kept, F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")).alias("spans"))
 
 
+def number_of(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 def written(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -28,7 +28,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.find_personal_data(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != personal.FOUND)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in personal.BASE_KINDS]
+    counts = [personal.number_of(k).alias(f"n_{k}") for k in personal.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(personal.written(base), 256).alias("base_sha256"), personal.written(F.col("spans")).alias("spans"))
 
 

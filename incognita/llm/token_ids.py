@@ -35,7 +35,7 @@ from incognita.llm import session
 from incognita.llm import text_arrays as ta
 
 MAGIC = b"RANKIDS1"
-BLOCK = struct.Struct("<qqqq")
+BLOCK = "<qqqq"
 PIECE_BYTES = 4 << 20
 #: Words whose ids a worker keeps; beyond it, it starts afresh.
 CACHED_WORDS = 1_500_000
@@ -189,7 +189,7 @@ def _writer(shared: Broadcast, order: Broadcast, folder: str, end: int):
             control, packed = pack(rank_of[ids])
             known = np.array(batch.column("doc_id").is_valid(), dtype=np.uint8)
             doc_ids = batch.column("doc_id").fill_null(0).to_numpy()
-            stream.write(BLOCK.pack(batch.num_rows, len(ids), len(control), len(packed)))
+            stream.write(struct.pack(BLOCK, batch.num_rows, len(ids), len(control), len(packed)))
             for part in (known.tobytes(), doc_ids.astype("<i8").tobytes(), counts.astype("<i8").tobytes(), control, packed):
                 stream.write(part)
             total += len(ids)
@@ -209,8 +209,8 @@ def blocks(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
     ids_by_rank = np.frombuffer(content, "<u4", size, 16)
     at = 16 + 4 * size
     while at < len(content):
-        docs, n, controls, packed = BLOCK.unpack_from(content, at)
-        at += BLOCK.size
+        docs, n, controls, packed = struct.unpack_from(BLOCK, content, at)
+        at += struct.calcsize(BLOCK)
         known = np.frombuffer(content, np.uint8, docs, at)
         doc_ids = np.frombuffer(content, "<i8", docs, at + docs)
         counts = np.frombuffer(content, "<i8", docs, at + 9 * docs)
