@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from incognita.llm import session
 from incognita.llm import text_arrays as ta
@@ -100,7 +101,7 @@ def _hits(index: Index, words: ta.Words) -> tuple[np.ndarray, np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _scan(shared: Broadcast, more: bool):
+def _scan(shared: Broadcast, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch, data, offsets in ta.pieces(batches, "text"):
@@ -122,9 +123,7 @@ def _scan(shared: Broadcast, more: bool):
                     n_hit[t] = np.count_nonzero(np.cumsum(mark)[:-1])
             out = [batch.column("doc_id"), pa.array(words.counts), pa.array(n_hit), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
             names = ["doc_id", "n_words", "n_hit", "spans", "items"]
-            if more:
-                out, names = [*out, batch.column("text")], [*names, "text"]
-            yield pa.RecordBatch.from_arrays(out, names)
+            yield pa.RecordBatch.from_arrays([*out, *(batch.column(c) for c in kept)], [*names, *kept])
 
     return run
 
@@ -144,20 +143,23 @@ def _blocks(benchmark: DataFrame, block_words: int, span: int, gram: int) -> Ite
     yield Index(ids, texts, span, gram)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, span_words: int = 13, gram_words: int = 7, block_words: int = 4_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, span_words: int = 13, gram_words: int = 7, block_words: int = 4_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs (doc_id, text): n_words, n_hit (words in shared windows), spans (word indexes, flat pairs), items.
 
     A window is span_words consecutive words of an item of benchmark (item_id, text), or the whole item if it is shorter.
+    Columns of docs in carry are returned too.
     """
     session.prepare(docs.sparkSession)
-    state = session.columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    state = session.columns(docs, "doc_id", "text", *carry).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"), *carry)
     blocks = _blocks(session.columns(benchmark, "item_id", "text"), block_words, span_words, gram_words)
     index = next(blocks)
     while index is not None:
         following = next(blocks, None)
         shared = docs.sparkSession.sparkContext.broadcast(index)
         more = following is not None
-        state = state.mapInArrow(_scan(shared, more), STATE + ", text string" * more)
+        kept = [*(["text"] if more else []), *carry]
+        kind = T.StructType([*T.StructType.fromDDL(STATE).fields, *(state.schema[c] for c in kept)])
+        state = state.mapInArrow(_scan(shared, kept), kind)
         if more:
             state = state.checkpoint()
         index = following

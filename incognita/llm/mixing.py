@@ -110,13 +110,13 @@ def _planner(target: dict[str | None, float], most: int):
 
 
 def mix(docs: DataFrame, weights: Iterable[int] = (1, 2, 3), most: int = 3, seed: int = 7, bucket_docs: int = 5_000) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of each row of docs (doc_id, text, source).
+    """doc_id, source, size, source_size, target, taken and row_key of each row of docs (doc_id, text, source).
 
-    taken is a multiple of size; no document is taken more than `most` times. The sources, one row each, are the only
+    taken is a multiple of size; no document is taken more than `most` times. row_key is a hash of doc_id and text. The sources, one row each, are the only
     thing the driver sees.
     """
     session.prepare(docs.sparkSession)
-    sized = session.columns(docs, "doc_id", "text", "source").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = session.columns(docs, "doc_id", "text", "source").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("row_key"))
     sized = sized.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).checkpoint()
     counted = sized.groupBy("source", "size").agg(F.count("*").alias("n")).checkpoint()
     per_source = [(r.source, int(r.words)) for r in counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()]
@@ -126,7 +126,7 @@ def mix(docs: DataFrame, weights: Iterable[int] = (1, 2, 3), most: int = 3, seed
     totals = docs.sparkSession.createDataFrame([(s, n, target[s]) for s, n in per_source], kind)
     plan = plan.withColumn("buckets", F.ceil(F.col("n") / F.lit(bucket_docs)))
     same = [F.col("d.source").eqNullSafe(F.col("p.source")), F.col("d.size") == F.col("p.size")]
-    joined = sized.alias("d").join(plan.alias("p"), same).select("d.doc_id", "d.source", "d.size", "d.h", "p.times", "p.picked", F.pmod(F.col("d.h"), F.col("p.buckets")).alias("bucket")).checkpoint()
+    joined = sized.alias("d").join(plan.alias("p"), same).select("d.doc_id", "d.source", "d.size", "d.h", "d.row_key", "p.times", "p.picked", F.pmod(F.col("d.h"), F.col("p.buckets")).alias("bucket")).checkpoint()
     # Buckets are used up in order: whole ones, then part of one.
     open_ = joined.filter("picked > 0")
     filled = open_.groupBy("source", "size", "bucket").agg(F.count("*").alias("held"), F.first("picked").alias("want"))
@@ -134,7 +134,7 @@ def mix(docs: DataFrame, weights: Iterable[int] = (1, 2, 3), most: int = 3, seed
     quota = filled.select(F.col("source").alias("q_source"), F.col("size").alias("q_size"), F.col("bucket").alias("q_bucket"), F.greatest(F.lit(0), F.col("want") - F.coalesce(before, F.lit(0))).alias("quota"))
     same = [F.col("source").eqNullSafe(F.col("q_source")), F.col("size") == F.col("q_size"), F.col("bucket") == F.col("q_bucket")]
     rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id"))
-    ranked = open_.join(quota, same).withColumn("rank", rank).select("doc_id", "source", "size", (F.col("times") + (F.col("rank") <= F.col("quota")).cast("long")).alias("copies"))
-    copies = ranked.union(joined.filter("picked = 0").select("doc_id", "source", "size", F.col("times").alias("copies")))
+    ranked = open_.join(quota, same).withColumn("rank", rank).select("doc_id", "source", "size", "row_key", (F.col("times") + (F.col("rank") <= F.col("quota")).cast("long")).alias("copies"))
+    copies = ranked.union(joined.filter("picked = 0").select("doc_id", "source", "size", "row_key", F.col("times").alias("copies")))
     totals = totals.select(F.col("source").alias("t_source"), "source_size", "target")
-    return copies.join(totals, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return copies.join(totals, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "row_key")

@@ -171,7 +171,7 @@ JUDGED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 BROADCAST_LANGUAGES = 5_000
 
 
-def judge_quality(docs: DataFrame, class_chars: int = 200, class_distance: float = 0.3, word_words: int = 100, word_distance: float = 0.5) -> DataFrame:
+def judge_quality(docs: DataFrame, class_chars: int = 600, class_distance: float = 0.26, word_words: int = 100, word_distance: float = 0.5) -> DataFrame:
     """Base counts, distances and verdict for each row of docs (doc_id, text, lang)."""
     session.prepare(docs.sparkSession)
     docs = session.columns(docs, "doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id").cast("long"))

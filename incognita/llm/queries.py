@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incognita.llm import chat, toxicity
+from incognita.llm import chat, session, toxicity
 from incognita.llm import pii as personal
 from incognita.llm.decontamination import contaminated, decontaminate
 from incognita.llm.line_dedup import deduplicate_lines
@@ -33,7 +33,7 @@ def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    docs, labels = session.columns(_table(spark, sf_dir, "documents"), "doc_id", "text"), _table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.filter(~toxicity.held_out()))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -80,7 +80,7 @@ def op9_perfect_hash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents")).drop("source")
+    return mix(_table(spark, sf_dir, "documents")).drop("source", "row_key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

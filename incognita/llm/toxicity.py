@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from incognita.llm import session
 from incognita.llm import text_arrays as ta
@@ -69,7 +70,7 @@ def select_words(rows: list[np.ndarray], y: np.ndarray, least_rows: int, least_z
     return keys[(n >= least_rows) & (np.abs(z) >= least_z)]
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, words: np.ndarray, ridge: float, counterfactual: float, steps: int = 300) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], y: np.ndarray, words: np.ndarray, ridge: float, counterfactual: float, steps: int = 500) -> tuple[np.ndarray, float]:
     """Weights of words and the intercept, by accelerated gradient steps with a safe step length."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     flat = np.concatenate(rows)
@@ -82,10 +83,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, words: np.ndarray, ridge: float,
     d_column = np.array([c for _, a, b in swapped for c in (a, b)], dtype=np.int64)
     d_value = np.tile([-1.0, 1.0], len(swapped))
     n, m = len(rows), len(words)
+    # Both classes weigh the same, however rare one is.
+    share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
 
     def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
         score = b + np.bincount(row, w[column], minlength=n)
-        off = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - y
+        off = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y) * share
         g = np.bincount(column, off[row], minlength=m) / n + ridge * w
         if len(d_row):
             change = np.bincount(d_row, d_value * w[d_column], minlength=n)
@@ -93,10 +96,10 @@ def fit(rows: list[np.ndarray], y: np.ndarray, words: np.ndarray, ridge: float,
         return g, off.mean()
 
     # Each weight has a step of its own, from how often its word occurs and is swapped.
-    often = np.bincount(column, minlength=m) + 8 * counterfactual * np.bincount(d_column, minlength=m)
+    often = np.bincount(column, share[row], minlength=m) + 8 * counterfactual * np.bincount(d_column, minlength=m)
     widest = max(1, np.bincount(row, minlength=1).max(initial=1) + 1)
     step = 1 / (0.25 * np.minimum(widest, 40) * often / n + ridge)
-    w, b = np.zeros(m), float(np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6)))
+    w, b = np.zeros(m), 0.0
     last_w, last_b = w.copy(), b
     for t in range(steps):
         push = t / (t + 3)
@@ -123,7 +126,7 @@ def _fitted(least_rows: int, least_z: float, ridge: float, counterfactual: float
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least_rows: int = 5, least_z: float = 5.0, ridge: float = 2e-4, counterfactual: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least_rows: int = 5, least_z: float = 5.0, ridge: float = 5e-5, counterfactual: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
     """Word hashes, weights and intercept from the labelled rows of docs (doc_id, text); labels has doc_id and toxic."""
     labels = session.columns(labels, "doc_id", "toxic").filter("toxic is not null and doc_id is not null")
     n = labels.count()
@@ -150,16 +153,16 @@ def _scored(shared: Broadcast):
                 hit = keys[at] == hashes
                 both = np.unique(words.text[hit].astype(np.int64) * len(keys) + at[hit])
                 sums += np.bincount(both // len(keys), weights[both % len(keys)], minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["text"]).columns, batch.column("text"), pa.array(1 / (1 + np.exp(-np.clip(sums, -30, 30))))], [*batch.drop_columns(["text"]).schema.names, "text", "score"])
+            found = 1 / (1 + np.exp(-np.clip(sums, -30, 30)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """docs (doc_id, text) with score, from 0 to 1."""
+    """docs, which has text and no score, with score from 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = session.columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(_scored(shared), "doc_id long, text string, score double")
+    return docs.mapInArrow(_scored(shared), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):
