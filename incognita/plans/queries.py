@@ -1,10 +1,408 @@
-"""Registered queries over the test tables and the SQL that gives the same rows."""
+"""Registered queries over the test tables and the SQL that gives the same rows.
+
+The tables hold no Cyrillic text, so most queries run on fragments derived from customers by SQL that both engines
+read. Properties that SQL cannot compute (a stand-in is valid, a round trip gives the text back) are counted by the
+query, and the SQL states the count that must come out.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from incognita.functions import checks, headers
+from incognita.functions import morphology as mo
+from incognita.functions import text as tx
+from incognita.functions.keyed import digits, hmac_hex, padded
+from incognita.operators import audit, names
+from incognita.operators.detect import detect_numbers, find_organisations
+from incognita.operators.replace import MAPPING, by_type, extend_mapping, replace, statistics
+from incognita.plans import jobs
+from incognita.sources.mapping_export import export_rows
+
+SECRET = "a secret of the tests"
+
+_N = "CAST(c_custkey AS BIGINT)"
+_PAD = lambda value, n: f"lpad(CAST({value} AS STRING), {n}, '0')"
+#: doc_id, frag_id, kind, text and hint: six fragments of each customer.
+DERIVED = f"""
+SELECT c_custkey AS doc_id, frag_id, kind, text, hint FROM (
+  SELECT c_custkey, 0 AS frag_id, 'number12' AS kind, 'ИИН ' || {_PAD(f"({_N} * 7919 + 850101300000) % 1000000000000", 12)} || ' от ' || {_PAD(f"{_N} % 28 + 1", 2)} || '.01.2024' AS text, CAST(NULL AS STRING) AS hint FROM customer
+  UNION ALL SELECT c_custkey, 1, 'phone', 'тел. +7 (7' || {_PAD(f"{_N} % 100", 2)} || ') ' || {_PAD(f"{_N} * 37 % 1000", 3)} || '-' || {_PAD(f"{_N} % 89 + 10", 2)} || '-' || {_PAD(f"{_N} * 7 % 100", 2)}, NULL FROM customer
+  UNION ALL SELECT c_custkey, 2, 'card', 'карта 4400 43' || {_PAD(f"{_N} % 100", 2)} || ' ' || {_PAD(f"{_N} * 31 % 10000", 4)} || ' ' || {_PAD(f"{_N} * 77 % 10000", 4)} || '; счёт 40817810' || {_PAD(_N, 12)}, NULL FROM customer
+  UNION ALL SELECT c_custkey, 3, 'email', 'почта user' || CAST({_N} AS STRING) || '@firma' || CAST({_N} % 20 AS STRING) || '.kz или info@gmail.com', NULL FROM customer
+  UNION ALL SELECT c_custkey, 4, 'org', 'ТОО «Ромашка' || CAST({_N} % 50 AS STRING) || '» и ЖШС "Жұлдыз ' || CAST({_N} % 30 AS STRING) || '"', NULL FROM customer
+  UNION ALL SELECT c_custkey, 5, 'labelled', 'ОГРН: ' || {_PAD(f"{_N} + 1027700000000", 13)} || ', ИНН ' || {_PAD(f"({_N} * 104729 + 7700000000) % 10000000000", 10)} || ', IBAN KZ86125KZT' || {_PAD(_N, 10)}, NULL FROM customer
+) AS d
+"""
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = _table(spark, sf_dir, "customer").select("c_custkey")
+    return spark.sql(DERIVED.replace("FROM customer", "FROM {customer}"), customer=customers)
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("frag_id"), "text", F.lit(None).cast("string").alias("hint"))
+
+
+def _prepare(spark: SparkSession) -> None:
+    """A checkpoint folder where the cluster names none (the library's jobs cut long lineages)."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="incognita-"))
+
+
+def _no_mapping(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], MAPPING)
+
+
+def roundtrip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses and cards of documents: how many, and whether replacing and restoring gives the text back."""
+    _prepare(spark)
+    docs = _documents(spark, sf_dir)
+    mapping = extend_mapping(docs, _no_mapping(spark), SECRET).checkpoint()
+    done = replace(docs, mapping).select("doc_id", "frag_id", "text", "hint", "new_text", "spans").checkpoint()
+    back = replace(done.select("doc_id", "frag_id", F.col("new_text").alias("text"), "hint"), mapping, restore=True)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["typ"] == kind)).cast("long")
+    told = done.select("doc_id", count("email").alias("n_email"), count("card").alias("n_card"), F.col("text").alias("was"))
+    return told.join(back.select("doc_id", F.col("new_text").alias("now")), "doc_id").select("doc_id", "n_email", "n_card", F.col("was").eqNullSafe(F.col("now")).alias("roundtrip_ok"))
+
+
+_DOUBLED = "regexp_replace(text, '([^0-9])', '\\1\\1', 'g')"
+_LUHN = "list_sum(list_transform(range(16), lambda i: CASE WHEN i % 2 = 0 THEN CAST(c[i + 1] AS INT) * 2 - CASE WHEN CAST(c[i + 1] AS INT) > 4 THEN 9 ELSE 0 END ELSE CAST(c[i + 1] AS INT) END)) % 10 = 0"
+
+
+def _cards(text: str) -> str:
+    """DuckDB: the Luhn-valid numbers written like cards; every non-digit is doubled, so that matches can touch."""
+    found = f"regexp_extract_all({_DOUBLED.replace('text', text)}, '(?:^|[^0-9])((?:[0-9]{{4}}(?:  |--)?){{3}}[0-9]{{4}})(?:[^0-9]|$)', 1)"
+    return f"list_filter(list_transform({found}, lambda v: regexp_replace(v, '[^0-9]', '', 'g')), lambda c: {_LUHN})"
+
+
+_EMAILS = "regexp_extract_all(text, '[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_-]+(?:\\.[\\p{L}\\p{N}_-]+)+')"
+O_ROUNDTRIP = f"SELECT doc_id, len({_EMAILS}) AS n_email, len({_cards('text')}) AS n_card, true AS roundtrip_ok FROM documents"
+
+
+def detect_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect_numbers(_documents(spark, sf_dir)).filter("typ = 'email'")
+    return found.groupBy("doc_id", "key").agg(F.count("*").alias("times"))
+
+
+O_EMAILS = f"SELECT doc_id, lower(e) AS key, count(*) AS times FROM (SELECT doc_id, unnest({_EMAILS}) AS e FROM documents) GROUP BY ALL"
+
+
+def detect_url_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(0).alias("frag_id"), F.col("url").alias("text"), F.lit(None).cast("string").alias("hint"))
+    return detect_numbers(pages).filter("typ = 'domain'").groupBy("key").agg(F.count("*").alias("pages"))
+
+
+O_URL_DOMAINS = "SELECT regexp_extract(lower(url), '://([a-z0-9.-]+)', 1) AS host, 1 FROM pages"
+O_URL_DOMAINS = f"SELECT array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS key, count(*) AS pages FROM ({O_URL_DOMAINS}) GROUP BY ALL"
+
+
+def detect_in_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate in the derived fragments: kinds, keys and places."""
+    found = detect_numbers(fragments(spark, sf_dir))
+    return found.select("doc_id", "frag_id", "typ", "key", F.col("start").cast("long").alias("span_start"), F.col("end").cast("long").alias("span_end"))
+
+
+def _kz(d: str) -> str:
+    """DuckDB: whether a 12-digit string has the right check digit."""
+    total = lambda w: "(" + " + ".join(f"CAST(substr({d}, {i + 1}, 1) AS INT) * {x}" for i, x in enumerate(w)) + ") % 11"
+    first, again = total(checks.KZ_WEIGHTS), total(checks.KZ_WEIGHTS_AGAIN)
+    return f"(CASE WHEN {first} < 10 THEN {first} WHEN {again} < 10 THEN {again} ELSE -1 END = CAST(substr({d}, 12, 1) AS INT))"
+
+
+def _class12(d: str) -> str:
+    born = f"try_strptime(CASE substr({d}, 7, 1) WHEN '1' THEN '18' WHEN '2' THEN '18' WHEN '3' THEN '19' WHEN '4' THEN '19' WHEN '5' THEN '20' WHEN '6' THEN '20' ELSE 'xx' END || substr({d}, 1, 6), '%Y%m%d')"
+    return f"CASE WHEN NOT {_kz(d)} THEN 'num12' WHEN {born} IS NOT NULL THEN 'iin' WHEN substr({d}, 5, 1) IN ('4', '5', '6') AND CAST(substr({d}, 3, 2) AS INT) BETWEEN 1 AND 12 THEN 'bin' ELSE 'num12' END"
+
+
+def _piece(kind: str, label: str, pattern: str, typ: str, key: str = "v") -> str:
+    """DuckDB: the span behind a label in fragments of one kind."""
+    at = f"strpos(text, '{label}' || v) - 1 + length('{label}')"
+    found = f"SELECT doc_id, frag_id, text, regexp_extract(text, '{label}({pattern})', 1) AS v FROM f WHERE frag_id = {kind}"
+    return f"SELECT doc_id, frag_id, {typ} AS typ, {key} AS key, {at} AS span_start, {at} + length(v) AS span_end FROM ({found}) WHERE v <> ''"
+
+
+_BARE = "regexp_replace(v, '[^0-9]', '', 'g')"
+_CARDS = f"SELECT * FROM ({_piece('2', 'карта ', '[0-9 ]{19}', "'card'", _BARE)}) WHERE len(list_filter([key], lambda c: {_LUHN})) = 1"
+O_FRAGMENTS = f"WITH f AS ({DERIVED}) " + " UNION ALL ".join((
+    _piece("0", "ИИН ", "[0-9]{12}", _class12("v")), _piece("1", "тел. ", "[^a-z]*", "'phone'", f"right({_BARE}, 10)"), _CARDS, _piece("2", "счёт ", "[0-9]{20}", "'acc20'"),
+    _piece("3", "почта ", "user[0-9]+@[a-z0-9.]+", "'email'"), _piece("3", " или ", "info@gmail.com", "'email'"), _piece("5", "ОГРН: ", "[0-9]{13}", "'rekv'"),
+    _piece("5", "ИНН ", "[0-9]{10}", "'inn'"), _piece("5", "IBAN ", "KZ[0-9A-Z]{18}", "'iban'"),
+))
+
+
+def validate_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.lpad(((F.col("o_orderkey").cast("long") * 98765431 + 850101300000) % 1000000000000).cast("string"), 12, "0")
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", number.alias("number"))
+    return rows.select("o_orderkey", "number", checks.kz_valid(F.col("number")).alias("valid"), checks.classify12(F.col("number")).alias("kind"), checks.luhn_valid(F.col("number")).alias("luhn"), checks.inn_valid(F.col("number")).alias("inn"))
+
+
+def _inn12(d: str) -> str:
+    part = lambda w: "(" + " + ".join(f"CAST(substr({d}, {i + 1}, 1) AS INT) * {x}" for i, x in enumerate(w)) + ") % 11 % 10"
+    return f"({part(checks.INN11_WEIGHTS)} = CAST(substr({d}, 11, 1) AS INT) AND {part(checks.INN12_WEIGHTS)} = CAST(substr({d}, 12, 1) AS INT))"
+
+
+_LUHN12 = "(" + " + ".join(f"CASE WHEN {i} % 2 = 0 THEN CAST(substr(number, {i + 1}, 1) AS INT) * 2 - CASE WHEN CAST(substr(number, {i + 1}, 1) AS INT) > 4 THEN 9 ELSE 0 END ELSE CAST(substr(number, {i + 1}, 1) AS INT) END" for i in range(12)) + ") % 10 = 0"
+O_VALIDATE = f"SELECT o_orderkey, number, {_kz('number')} AS valid, {_class12('number')} AS kind, {_LUHN12} AS luhn, {_inn12('number')} AS inn FROM (SELECT o_orderkey, lpad(CAST((CAST(o_orderkey AS BIGINT) * 98765431 + 850101300000) % 1000000000000 AS VARCHAR), 12, '0') AS number FROM orders)"
+
+
+def iban_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    account = F.concat(F.lit("125KZT"), F.lpad(F.col("s_suppkey").cast("string"), 10, "0"))
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", account.alias("account"))
+    made = rows.withColumn("check_digits", checks.iban_check(F.lit("KZ"), F.col("account")))
+    iban = F.concat(F.lit("KZ"), "check_digits", "account")
+    return made.select("s_suppkey", "check_digits", checks.iban_valid(iban).alias("valid"), checks.iban_valid(F.concat(F.lit("KZ00"), "account")).alias("valid_zero"))
+
+
+_IBAN_NUMBER = "CAST('125' || '20' || '35' || '29' || lpad(CAST(s_suppkey AS VARCHAR), 10, '0') || '2035' || '00' AS HUGEINT)"
+O_IBAN = f"SELECT s_suppkey, lpad(CAST(98 - {_IBAN_NUMBER} % 97 AS VARCHAR), 2, '0') AS check_digits, true AS valid, false AS valid_zero FROM supplier"
+
+
+def normalised_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit("  Ёлка  «"), F.col("c_name"), F.lit("»\t ЩУКА "))
+    return _table(spark, sf_dir, "customer").select("c_custkey", tx.norm_key(raw).alias("key"), tx.translit(F.concat(F.lit("Щербакова Хрящий "), F.col("c_mktsegment"))).alias("latin"))
+
+
+O_KEYS = "SELECT c_custkey, 'елка «' || lower(c_name) || '» щука' AS key, 'scherbakova khryaschiy ' || lower(c_mktsegment) AS latin FROM customer"
+
+
+def registrable_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.regexp_extract("url", "://([^/:?#]+)", 1)
+    rows = _table(spark, sf_dir, "pages").select("page_id", host.alias("host"))
+    return rows.select("page_id", tx.registrable_domain(F.col("host")).alias("domain"), tx.registrable_domain(F.concat(F.col("host"), F.lit(".com.kz"))).alias("double_suffix"))
+
+
+_HOST = "string_split(lower(regexp_extract(url, '://([^/:?#]+)', 1)), '.')"
+O_DOMAINS = f"SELECT page_id, array_to_string(list_slice({_HOST}, -2, -1), '.') AS domain, list_last({_HOST}) || '.com.kz' AS double_suffix FROM pages"
+
+_HEADERS = {
+    "ИИН сотрудника": "iin", "БИН": "bin", "р/с": "iban", "Счёт": "iban", "Счет-фактура": None, "Телефон": "phone", "Эл. почта": "email", "ИНН": "inn", "ФИО": "person",
+    "Контактное лицо": "person", "Контрагент": "org", "Сумма, тг": None, "Получатель": "org", "Получатель (ФИО)": "person", "Дата": None, "": None, "Ұйым": "org", "Примечание": None,
+}
+
+
+def header_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(h,) for h in _HEADERS], "header string")
+    return rows.select("header", headers.kind_by_header(F.col("header")).alias("kind"), headers.is_other(F.col("header")).alias("other"))
+
+
+_text = lambda v: "NULL" if v is None else f"'{v}'"
+_OTHER_HEADERS = ("Счет-фактура", "Сумма, тг", "Дата")
+O_HEADERS = "SELECT * FROM (VALUES " + ", ".join(f"({_text(h)}, CAST({_text(k)} AS VARCHAR), {str(h in _OTHER_HEADERS).lower()})" for h, k in _HEADERS.items()) + ") AS t(header, kind, other)"
+
+_PARADIGMS = (
+    ("surname", "m", "Иванов Иванова Иванову Иванова Ивановым Иванове"), ("surname", "f", "Иванова Ивановой Ивановой Иванову Ивановой Ивановой"),
+    ("surname", "m", "Чайковский Чайковского Чайковскому Чайковского Чайковским Чайковском"), ("surname", "f", "Толстая Толстой Толстой Толстую Толстой Толстой"),
+    ("surname", "m", "Хименес Хименеса Хименесу Хименеса Хименесом Хименесе"), ("surname", "f", "Хименес Хименес Хименес Хименес Хименес Хименес"),
+    ("surname", "m", "Шевченко Шевченко Шевченко Шевченко Шевченко Шевченко"), ("surname", "m", "Гоголь Гоголя Гоголю Гоголя Гоголем Гоголе"),
+    ("surname", "f", "Римская-Корсакова Римской-Корсаковой Римской-Корсаковой Римскую-Корсакову Римской-Корсаковой Римской-Корсаковой"),
+    ("name", "m", "Дмитрий Дмитрия Дмитрию Дмитрия Дмитрием Дмитрии"), ("name", "m", "Павел Павла Павлу Павла Павлом Павле"), ("name", "m", "Игорь Игоря Игорю Игоря Игорем Игоре"),
+    ("name", "f", "Мария Марии Марии Марию Марией Марии"), ("name", "f", "Любовь Любови Любови Любовь Любовью Любови"), ("name", "m", "Илья Ильи Илье Илью Ильей Илье"),
+    ("name", "f", "Айгерим Айгерим Айгерим Айгерим Айгерим Айгерим"), ("patronymic", "m", "Петрович Петровича Петровичу Петровича Петровичем Петровиче"),
+    ("patronymic", "f", "Петровна Петровны Петровне Петровну Петровной Петровне"), ("patronymic", "m", "Болатұлы Болатұлы Болатұлы Болатұлы Болатұлы Болатұлы"),
+)
+
+
+def paradigms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, g, f.split()[0]) for k, g, f in _PARADIGMS], "kind string, gender string, word string")
+    word, gender = F.col("word"), F.col("gender")
+    forms = F.when(F.col("kind") == "surname", mo.decline_surname(word, gender)).when(F.col("kind") == "name", mo.decline_name(word, gender)).otherwise(mo.decline_patronymic(word, gender))
+    return rows.select("kind", "gender", "word", F.array_join(forms, " ").alias("forms"))
+
+
+O_PARADIGMS = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{g}', '{f.split()[0]}', '{f}')" for k, g, f in _PARADIGMS) + ") AS t(kind, gender, word, forms)"
+
+
+def keyed_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = hmac_hex(SECRET, F.concat_ws("|", F.lit("phone"), F.col("c_custkey").cast("string"), F.lit("0")))
+    return _table(spark, sf_dir, "customer").select("c_custkey", digest.alias("digest"), digits(digest, 0, 7).alias("figures"))
+
+
+_INNER, _OUTER = padded(SECRET)
+_DIGEST = f"sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode('phone|' || CAST(c_custkey AS VARCHAR) || '|0'))))"
+O_KEYED = f"SELECT c_custkey, digest, array_to_string(list_transform(range(7), lambda i: CAST(CAST('0x' || substr(digest, CAST(2 * i + 1 AS INT), 2) AS INT) % 10 AS VARCHAR)), '') AS figures FROM (SELECT c_custkey, {_DIGEST} AS digest FROM customer)"
+
+
+def organisations_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = fragments(spark, sf_dir).select(F.explode(find_organisations(F.col("text"))).alias("o")).select(tx.norm_key(F.col("o.value")).alias("key"))
+    return each.groupBy("key").agg(F.count("*").alias("times"))
+
+
+O_ORGS = "SELECT 'ромашка' || CAST(c_custkey % 50 AS VARCHAR) AS key, count(*) AS times FROM customer GROUP BY 1 UNION ALL SELECT 'жұлдыз ' || CAST(c_custkey % 30 AS VARCHAR), count(*) FROM customer GROUP BY 1"
+
+
+def stand_ins_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each type: keys, distinct stand-ins, stand-ins that are real values, and stand-ins that are not valid."""
+    _prepare(spark)
+    mapping = extend_mapping(fragments(spark, sf_dir), _no_mapping(spark), SECRET).checkpoint()
+    fake, key, typ = F.col("fake"), F.col("key"), F.col("typ")
+    keeps = F.when(typ.isin("card", "bin"), 6).when(typ == "acc20", 5).when(typ == "phone", 3).when(typ.isin("inn", "rekv"), 2).otherwise(0)
+    shape = F.char_length(fake) == F.char_length(key)
+    sound = (
+        F.when(typ == "iin", (checks.classify12(fake) == "iin") & (F.substring(fake, 7, 1).cast("int") % 2 == F.substring(key, 7, 1).cast("int") % 2))
+        .when(typ == "bin", checks.kz_valid(fake)).when(typ == "num12", checks.kz_valid(fake) == checks.kz_valid(key)).when(typ == "iban", checks.iban_valid(fake) & (F.substring(fake, 5, 3) == F.substring(key, 5, 3)))
+        .when(typ == "card", checks.luhn_valid(fake)).when(typ == "inn", checks.inn_valid(fake)).when(typ == "domain", fake.endswith(".kz")).when(typ == "email", fake.rlike("^[a-z0-9.+-]+@[a-z0-9.-]+$")).otherwise(F.lit(True))
+    )
+    prefix = F.substring(fake, F.lit(1), keeps) == F.substring(key, F.lit(1), keeps)
+    ok = sound & prefix & F.when(typ.isin("email", "domain"), True).otherwise(shape)
+    real = mapping.select("family", F.col("key").alias("fake"), F.lit(1).alias("real")).distinct()
+    rows = mapping.withColumn("ok", ok).join(real, ["family", "fake"], "left")
+    return rows.groupBy("typ").agg(F.count("*").alias("keys"), F.count_distinct("fake").alias("fakes"), F.count("real").alias("real_values"), F.count_if(~F.col("ok")).alias("unsound"))
+
+
+O_STAND_INS = f"SELECT typ, count(DISTINCT key) AS keys, count(DISTINCT key) AS fakes, 0 AS real_values, 0 AS unsound FROM (SELECT typ, key FROM ({O_FRAGMENTS}) WHERE key <> 'info@gmail.com' UNION ALL SELECT 'domain', 'firma' || CAST(c_custkey % 20 AS VARCHAR) || '.kz' FROM customer) GROUP BY typ"
+
+
+def replaced_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _prepare(spark)
+    rows = fragments(spark, sf_dir)
+    mapping = extend_mapping(rows, _no_mapping(spark), SECRET).checkpoint()
+    return by_type(replace(rows, mapping))
+
+
+O_BY_TYPE = f"SELECT typ, count(*) AS times FROM ({O_FRAGMENTS}) WHERE key <> 'info@gmail.com' GROUP BY ROLLUP (typ)"
+
+
+def most_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _prepare(spark)
+    rows = fragments(spark, sf_dir)
+    mapping = extend_mapping(rows, _no_mapping(spark), SECRET).checkpoint()
+    return statistics(replace(rows, mapping)).groupBy("typ", "before").agg(F.sum("times").alias("times"), F.count_distinct("after").cast("long").alias("afters"))
+
+
+O_MOST = f"WITH f AS ({DERIVED}), s AS ({O_FRAGMENTS}) SELECT s.typ, substr(f.text, CAST(span_start AS INT) + 1, CAST(span_end - span_start AS INT)) AS before, count(*) AS times, 1 AS afters FROM s JOIN f ON s.doc_id = f.doc_id AND s.frag_id = f.frag_id WHERE key <> 'info@gmail.com' GROUP BY ALL"
+
+
+def _full_cycle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, jobs.Knowledge, DataFrame]:
+    _prepare(spark)
+    rows = fragments(spark, sf_dir).select("doc_id", "frag_id", "text", "hint")
+    known = jobs.learn(rows, _no_mapping(spark), SECRET)
+    return rows, known, jobs.obfuscate(rows, known).checkpoint()
+
+
+def full_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, addresses and organisations together: by kind of fragment, how many change and how many come back."""
+    rows, known, copies = _full_cycle(spark, sf_dir)
+    back = jobs.restore(copies.select("doc_id", "frag_id", F.col("new_text").alias("text"), "hint"), known)
+    both = copies.select("doc_id", "frag_id", "text", F.col("new_text").alias("copy")).join(back.select("doc_id", "frag_id", F.col("new_text").alias("restored")), ["doc_id", "frag_id"])
+    return both.groupBy("frag_id").agg(F.count("*").alias("rows"), F.count_if(F.col("text") != F.col("copy")).alias("changed"), F.count_if(F.col("text") == F.col("restored")).alias("restored"))
+
+
+O_FULL = "SELECT frag_id, count(*) AS rows, count(*) AS changed, count(*) AS restored FROM (SELECT unnest([0, 1, 2, 3, 4, 5]) AS frag_id, c_custkey FROM customer) GROUP BY frag_id"
+
+
+def audit_of_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the audit finds in copies: nothing. In the originals: every known value."""
+    rows, known, copies = _full_cycle(spark, sf_dir)
+    clean = jobs.check(copies.select("doc_id", "frag_id", F.col("new_text").alias("text"), "hint"), known).agg(F.count("*").alias("found")).select(F.lit("copies").alias("of"), "found")
+    leaks = jobs.check(rows, known).filter("category = 'leak'").agg(F.count("*").alias("found")).select(F.lit("originals").alias("of"), "found")
+    return clean.union(leaks)
+
+
+O_AUDIT = f"SELECT 'copies' AS of, 0 AS found UNION ALL SELECT 'originals', count(*) FROM ({O_FRAGMENTS}) WHERE key <> 'info@gmail.com'"
+
+_SURNAMES = ("Иванов", "Петренко", "Чайковский", "Гоголь", "Сидорин", "Баймагамбетов", "Ким", "Лебедев")
+_NAMES = ("Иван", "Сергей", "Дмитрий", "Игорь", "Ерлан", "Нурлан")
+_FATHERS = ("Петр", "Олег", "Болат", "Николай")
+
+
+def people_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names told in full in one fragment and with initials, in another case, in the next: linked, replaced, restored."""
+    _prepare(spark)
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("c_custkey") % n % len(values)).cast("int") + 1)
+    man = _table(spark, sf_dir, "customer").select("c_custkey", pick(_SURNAMES, 8).alias("s"), pick(_NAMES, 90).alias("n"), mo.make_patronymic(pick(_FATHERS, 1000), F.lit("m")).alias("p"))
+    m = F.lit("m")
+    full = F.concat(F.lit("Принят "), "s", F.lit(" "), "n", F.lit(" "), "p", F.lit("."))
+    case = (F.col("c_custkey") % 6).cast("int")
+    short = F.concat(F.lit("Передано "), F.get(mo.decline_surname(F.col("s"), m), case), F.lit(" "), F.substring("n", 1, 1), F.lit("."), F.substring("p", 1, 1), F.lit("."))
+    none = F.lit(None).cast("string")
+    rows = man.select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("frag_id"), full.alias("text"), none.alias("hint")).union(man.select("c_custkey", F.lit(1), short, none)).checkpoint()
+    known = jobs.learn(rows, _no_mapping(spark), SECRET)
+    copies = jobs.obfuscate(rows, known).checkpoint()
+    back = jobs.restore(copies.select("doc_id", "frag_id", F.col("new_text").alias("text"), "hint"), known)
+    both = copies.select("doc_id", "frag_id", "text", F.col("new_text").alias("copy")).join(back.select("doc_id", "frag_id", F.col("new_text").alias("restored")), ["doc_id", "frag_id"])
+    return both.groupBy("frag_id").agg(F.count("*").alias("rows"), F.count_if(F.col("text") != F.col("copy")).alias("changed"), F.count_if(F.col("text") == F.col("restored")).alias("restored"))
+
+
+O_PEOPLE = "SELECT frag_id, count(*) AS rows, count(*) AS changed, count(*) AS restored FROM (SELECT unnest([0, 1]) AS frag_id, c_custkey FROM customer) GROUP BY frag_id"
+
+
+def changed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose content a ledger of the even ones (of which each fourth is outdated) does not have."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
+    ledger = docs.filter("path % 2 = 0").withColumn("sha256", F.when(F.col("path") % 4 == 0, "old").otherwise(F.col("sha256")))
+    return audit.changed_files(docs, ledger)
+
+
+O_CHANGED = "SELECT doc_id AS path, sha256(text) AS sha256 FROM documents WHERE doc_id % 2 = 1 OR doc_id % 4 = 0"
+
+
+def texts_holding_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stems = spark.createDataFrame([("idio",), ("worthless",), ("berlin",), ("thanedble",)], "stem string")
+    return audit.holding(_table(spark, sf_dir, "documents").select("doc_id", "text"), stems)
+
+
+O_STEMS = "SELECT DISTINCT doc_id, stem FROM documents, (VALUES ('idio'), ('worthless'), ('berlin'), ('thanedble')) AS s(stem) WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])' || stem)"
+
+
+def written_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.lpad(((F.col("c_custkey").cast("long") * 12347) % 10000000000).cast("string"), 10, "0")
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", key.alias("key"))
+    return rows.select("c_custkey", tx.format_like(F.lit("+7 (701) 123-45-67"), F.col("key")).alias("phone"), tx.format_like(F.lit("KZ86 125K"), F.upper(F.substring("key", 1, 8)), "[A-Za-z0-9]").alias("iban"))
+
+
+O_WRITTEN = "SELECT c_custkey, '+7 (' || substr(k, 1, 3) || ') ' || substr(k, 4, 3) || '-' || substr(k, 7, 2) || '-' || substr(k, 9, 2) AS phone, substr(k, 1, 4) || ' ' || substr(k, 5, 4) AS iban FROM (SELECT c_custkey, lpad(CAST((CAST(c_custkey AS BIGINT) * 12347) % 10000000000 AS VARCHAR), 10, '0') AS k FROM customer)"
+
+
+def runs_redistributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name split over formatting runs: the stand-in goes to the run where the name begins."""
+    runs = F.array(F.lit("Поставщик Ро"), F.lit("машка"), F.concat(F.lit(" № "), F.col("n_nationkey").cast("string")))
+    spans = F.array(F.struct(F.lit(10).alias("start"), F.lit(17).alias("end"), F.col("n_name").alias("new")))
+    return _table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(tx.redistribute(runs, spans), "|").alias("runs"))
+
+
+O_RUNS = "SELECT n_nationkey, 'Поставщик ' || n_name || '|| № ' || CAST(n_nationkey AS VARCHAR) AS runs FROM nation"
+
+
+def exported_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _prepare(spark)
+    mapping = extend_mapping(fragments(spark, sf_dir), _no_mapping(spark), SECRET)
+    return export_rows(mapping).select("typ", "real")
+
+
+O_EXPORTED = f"SELECT DISTINCT typ, key AS real FROM ({O_FRAGMENTS}) WHERE key <> 'info@gmail.com' UNION ALL SELECT DISTINCT 'domain', 'firma' || CAST(c_custkey % 20 AS VARCHAR) || '.kz' FROM customer"
+
+
+def person_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best reading of some mentions."""
+    rows = spark.createDataFrame([(k,) for k in _READINGS], "mention string")
+    read = names.readings(names.parsed(rows))
+    best = read.groupBy("mention").agg(F.max_by(F.struct("sur", "gender", "name", "patr", "init_n", "init_p"), "score").alias("r"))
+    return best.select("mention", F.concat_ws(" ", "r.sur", "r.gender", "r.name", "r.patr", "r.init_n", "r.init_p").alias("reading"))
+
+
+_READINGS = {
+    "Ивановой Марией Петровной": "Иванова f Мария Петровна М П", "Иванову Сергею Олеговичу": "Иванов m Сергей Олегович С О", "А. С. Пушкину": "Пушкин m А С", "Иванова М.П.": "Иванова f М П",
+    "Серик Нұрлан Болатұлы": "Серик m Нұрлан Болатұлы Н Б", "Игоря Николаевича Чайковского": "Чайковский m Игорь Николаевич И Н",
+}
+O_READINGS = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _READINGS.items()) + ") AS t(mention, reading)"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_ALL = (
+    (roundtrip_documents, O_ROUNDTRIP), (detect_emails, O_EMAILS), (detect_url_domains, O_URL_DOMAINS), (detect_in_fragments, O_FRAGMENTS), (validate_numbers, O_VALIDATE),
+    (iban_checks, O_IBAN), (normalised_keys, O_KEYS), (registrable_domains, O_DOMAINS), (header_kinds, O_HEADERS), (paradigms, O_PARADIGMS), (keyed_digits, O_KEYED),
+    (organisations_found, O_ORGS), (stand_ins_by_type, O_STAND_INS), (replaced_by_type, O_BY_TYPE), (most_replaced, O_MOST), (full_roundtrip, O_FULL), (audit_of_copies, O_AUDIT),
+    (people_roundtrip, O_PEOPLE), (changed_documents, O_CHANGED), (texts_holding_stems, O_STEMS), (written_like, O_WRITTEN), (runs_redistributed, O_RUNS), (exported_mapping, O_EXPORTED),
+    (person_readings, O_READINGS),
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f, _ in _ALL}
+ORACLES: dict[str, str] = {f.__name__: sql for f, sql in _ALL}
