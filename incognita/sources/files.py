@@ -11,6 +11,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -36,8 +37,9 @@ def extension(path: Column) -> Column:
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """path, length, sha256 and content of the files under a folder, without hidden and temporary ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = F.lit(folder.rstrip("/").split("://")[-1])
-    return files.filter(~F.substring_index("path", root, -1).rlike(SKIPPED)).select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
+    root = folder.rstrip("/").split("://")[-1]
+    below = F.substring_index(F.substring_index("path", root, -1), quote(root), -1)
+    return files.filter(~below.rlike(SKIPPED)).select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
 
 
 def decode(raw: bytes) -> str:
