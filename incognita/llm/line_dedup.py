@@ -157,8 +157,10 @@ def deduplicate_lines(docs: DataFrame, least_chars: int = 20, least_docs: int =
     counted = hashed.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("largest")).filter("n_docs > 1").checkpoint()
     n_keys = counted.count()
     shards = max(1, -(-n_keys // keys_per_shard))
+    # Probes of a shard are dealt over as many tasks as the session shuffles to, or more where the indexed ones alone need it.
     n_probes = counted.agg(F.sum("n_docs")).first()[0] or 0
-    salts = max(8, -(-n_probes // (shards * probes_per_task)))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_probes // probes_per_task))
+    salts = -(-tasks // shards)
     shard = F.pmod(F.col("h1"), F.lit(shards)).alias("shard")
     arrays = counted.select("*", shard).groupBy("shard").applyInPandas(_built, ARRAYS).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
     probes = hashed.select("*", shard, F.pmod(F.xxhash64("doc_id", "h2"), F.lit(salts)).alias("salt"))

@@ -5,10 +5,12 @@ a one-permutation sketch; empty bins borrow from bins drawn by a sequence that i
 densification). Bands of the sketch are buckets. In each bucket the node with the smallest doc_id is the centre of a
 star, so a bucket of n nodes gives n - 1 candidates. Candidates are confirmed on full shingle sets.
 
-A star misses pairs of which neither is the centre. A completing step therefore compares, within each bucket that still
-has nodes of different components, the nodes outside the bucket's first component with the bucket's other nodes; if
-that would be many pairs, it goes by slices of these nodes, and components found in one slice spare later ones pairs.
-So every pair of different components that shares a band is compared, and no bucket is cut short.
+A star misses pairs of which neither is the centre. A completing step therefore takes the nodes of buckets that still
+hold several components, and finds the similar pairs among them exactly: shingles are ordered by how many of these nodes
+have them, similar nodes share a shingle among their rarest few, and where they share it bounds their intersection. Only
+pairs of different components are compared; of a shingle's nodes, those of its largest component are not compared with
+one another. If many comparisons are ahead, the step goes by slices of the nodes, and components found in one slice
+spare later ones pairs. No bucket is cut short.
 
 Defined cases: null and empty texts have no shingles and no links. A text with fewer words than a shingle is one
 shingle. Rows that repeat a doc_id are each returned and linked by their texts. Rows without doc_id are returned with a
@@ -22,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from incognita.llm import session
@@ -130,6 +132,16 @@ def _unpack(packed: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            raw = [x.as_py() for x in part.column("shingles")]
+            which = np.repeat(np.arange(len(raw)), [len(x) // 6 for x in raw])
+            shingles = _unpack(b"".join(raw)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles), part.column("node").take(pa.array(which))], ["shingle", "node"])
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,11 +188,26 @@ def components(nodes_: DataFrame, links: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 32, band_rows: int = 6, pairs_per_slice: int = 20_000_000) -> DataFrame:
+def rare_prefixes(sets: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """node, size, doc_id, shingle and place: the rarest shingles of chosen nodes, those that one node alone has left out.
+
+    Shingles are put in one order, rare ones first. Two similar nodes share one of their first size - least + 1, where
+    least is the smallest intersection that a node of this size can have with a similar one.
+    """
+    held = sets.join(chosen.select("node"), "node", "left_semi").mapInArrow(_exploded, "shingle long, node binary")
+    shared = held.groupBy("shingle").agg(F.count("*").alias("nodes")).filter("nodes > 1")
+    ordered = held.join(shared, "shingle").join(chosen, "node")
+    own = Window.partitionBy("node")
+    lone = F.col("size") - F.count("*").over(own)
+    placed = ordered.withColumn("place", lone + F.row_number().over(own.orderBy("nodes", "shingle")))
+    return placed.filter(f"place <= size - ceil(size * {percent} / 100) + 1").select("node", "size", "doc_id", "shingle", "place")
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 32, band_rows: int = 6, comparisons_per_slice: int = 200_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text).
 
     Sets linked: 100 * intersection >= percent * union. At 32 bands of 6 bins, texts of similarity 0.85 share no band
-    with a probability of 3e-7, of 0.8 with 6e-5. pairs_per_slice bounds the pairs made at once in the completing step.
+    with a probability of 3e-7, of 0.8 with 6e-5. comparisons_per_slice bounds the pairs looked at at once in the completing step.
     """
     spark = docs.sparkSession
     session.prepare(spark)
@@ -209,37 +236,35 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_shingles"))
         return pairs.join(right, "b").join(left, "a").select("a", "b", "a_shingles", "b_shingles").mapInArrow(_confirm(percent), "a binary, b binary")
 
-    names = active
     links = [confirmed(candidates).checkpoint()]
-    labels = components(names, links[0])
-    larger = shared.filter("n > 2")
-    of = None
-    slice_at = 0
-    while True:
-        labelled = larger.join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "doc_id").alias("label"))
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("main"), F.max("label").alias("most"), F.count("*").alias("n")).filter("main <> most").select("bucket", "main", "n")
-        apart = labelled.join(mixed, "bucket").filter("label <> main")
-        if of is None:
-            expected = apart.agg(F.sum("n")).first()[0] or 0
-            of = -(-expected // pairs_per_slice)
-            compared = candidates
-        if slice_at >= of:
-            break
-        queries = apart.filter(F.pmod(F.xxhash64("node"), F.lit(of)) == slice_at)
-        queries = queries.select("bucket", F.col("node").alias("q"), F.col("size").alias("a_size"), F.col("label").alias("q_label"))
-        pairs = (
-            queries.join(labelled.select("bucket", F.col("node").alias("m"), F.col("size").alias("b_size"), "label"), "bucket")
-            .filter("label <> q_label")
-            .filter(_sized(percent))
-            .select(F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b"))
-            .distinct()
-        )
-        seen = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    labels = components(active, links[0])
+    larger = shared.filter("n > 2").select("bucket", "node", "size", "doc_id")
+    labelled = larger.join(labels, "node", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("bucket")
+    apart = larger.join(mixed, "bucket", "left_semi").select("node", "size", "doc_id").distinct().checkpoint()
+    prefixes = rare_prefixes(sets, apart, percent).checkpoint()
+    # Of the shared shingles of two nodes, the first in both orders has only so many behind it.
+    reachable = F.expr(f"q.label <> o.label and (100 + {percent}) * (1 + least(q.size - q.place, o.size - o.place)) >= {percent} * (q.size + o.size)")
+    slices, at = None, 0
+    while slices is None or at < slices:
+        named = prefixes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        weight = named.groupBy("label").agg(F.count("*").alias("weight"))
+        named = named.join(weight, "label")
+        met = named.groupBy("shingle").agg(F.max_by("label", F.struct("weight", "label")).alias("main"), F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"))
+        queries = named.join(met.filter("least <> most").select("shingle", "main", "n"), "shingle").filter("label <> main")
+        if slices is None:
+            slices = -(-(queries.agg(F.sum("n")).first()[0] or 0) // comparisons_per_slice)
+            if not slices:
+                break
+        queries = queries.filter(F.pmod(F.xxhash64("node"), F.lit(slices)) == at)
+        pairs = queries.alias("q").join(named.alias("o"), (F.col("q.shingle") == F.col("o.shingle")) & reachable)
+        pairs = pairs.select(F.least("q.node", "o.node").alias("a"), F.greatest("q.node", "o.node").alias("b")).distinct()
+        seen = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = confirmed(pairs.join(seen, ["a", "b"], "left_anti")).checkpoint()
-        slice_at += 1
+        at += 1
         if not more.isEmpty():
             links.append(more)
-            labels = components(names, reduce(DataFrame.union, links))
+            labels = components(active, reduce(DataFrame.union, links))
 
     named = distinct.select("node", "doc_id").join(labels, "node", "left").select("node", F.coalesce("label", "doc_id").alias("component_id"))
     linked = with_id.select("doc_id", "n_shingles", "node").join(named, "node").select("doc_id", "n_shingles", "component_id")

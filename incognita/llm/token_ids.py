@@ -38,9 +38,19 @@ MAGIC = b"RANKIDS1"
 BLOCK = "<qqqq"
 PIECE_BYTES = 4 << 20
 #: Words whose ids a worker keeps; beyond it, it starts afresh.
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 2_500_000
 JOINED = 256
-LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß")
+#: Kinds of bytes that make pieces of a word: runs of letters, single digits, runs of other ASCII. The small letters of
+#: Latin-1 are the bytes C3 A0 to C3 BF (but C3 B7). Other bytes, and what may begin a contraction or a special token,
+#: leave the number of pieces unsure.
+LETTER, DIGIT, OTHER, BETWEEN, UNSURE = range(5)
+PIECE_KIND = np.full(256, UNSURE, dtype=np.uint8)
+PIECE_KIND[ord("!") : 127] = OTHER
+PIECE_KIND[ord("0") : ord("9") + 1] = DIGIT
+PIECE_KIND[ord("A") : ord("Z") + 1] = UNSURE
+PIECE_KIND[[*range(ord("a"), ord("z") + 1), 0xC3, *range(0xA0, 0xB7), *range(0xB8, 0xC0)]] = LETTER
+PIECE_KIND[[ord("'"), ord("<")]] = UNSURE
+PIECE_KIND[ord(" ")] = BETWEEN
 
 _encoders: dict[int, "Encoder"] = {}
 
@@ -74,27 +84,47 @@ class Encoder:
         self.keys, self.start, self.count = np.empty(0, ta.U64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
 
-    def _library_ids(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word. Words of plain small letters go many to a call: each ends with a closing token."""
-        out: list[np.ndarray | None] = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if w and LETTERS.issuperset(w)]
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, found in zip(groups, self.library.encode_batch_fast([" ".join(words[i] for i in g) for g in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, dtype=np.uint32)
+    def _one_by_one(self, words: list[str]) -> list[list[int]]:
+        return [found.ids for found in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _library_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and the number of each word's.
+
+        Words whose number of pieces is plain from their bytes go many to a call. Each piece ends with a closing
+        token, so the ids can be told apart; a call in which the numbers differ is repeated word by word.
+        """
+        raw = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
+        kind = PIECE_KIND[raw]
+        last = np.flatnonzero(kind == BETWEEN)
+        first = np.concatenate(([0], last[:-1] + 1))
+        begins = np.ones(len(raw), dtype=bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        begins &= kind != BETWEEN
+        pieces = np.add.reduceat(begins, first, dtype=np.int64)
+        plain = np.add.reduceat(kind == UNSURE, first, dtype=np.int64) == 0
+        place = np.flatnonzero(plain)
+        groups = [place[i : i + JOINED] for i in range(0, len(place), JOINED)]
+        found = self.library.encode_batch_fast([b" ".join([words[i] for i in g]).decode() for g in groups], add_special_tokens=False)
+        parts, owners, again = [], [], np.flatnonzero(~plain).tolist()
+        for group, ids in zip(groups, (np.array(f.ids, dtype=np.uint32) for f in found)):
             ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(group) and ends[-1] == len(ids):
-                for i, own in zip(group, np.split(ids, ends[:-1])):
-                    out[i] = own
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, found in zip(rest, self.library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(found.ids, dtype=np.uint32)
-        return out
-
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        found = self._library_ids(words)
-        counts = np.array([len(x) for x in found], dtype=np.int64)
+            until = np.cumsum(pieces[group])
+            if len(ends) == until[-1] and ends[-1] == len(ids):
+                parts.append(ids)
+                owners.append(np.repeat(group, np.diff(ends[until - 1], prepend=0)))
+            else:
+                again += group.tolist()
+        single = self._one_by_one([words[i].decode("utf-8", "replace") for i in again])
+        parts.append(np.array([i for ids in single for i in ids], dtype=np.uint32))
+        owners.append(np.repeat(np.array(again, dtype=np.int64), [len(ids) for ids in single]))
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate(parts)[order], np.bincount(owner, minlength=len(words))
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        flat, counts = self._library_ids(words)
         starts = len(self.flat) + np.cumsum(counts) - counts
-        self.flat = np.concatenate([self.flat, *found])
+        self.flat = np.concatenate((self.flat, flat))
         at = np.searchsorted(self.keys, keys)
         self.keys, self.start, self.count = np.insert(self.keys, at, keys), np.insert(self.start, at, starts), np.insert(self.count, at, counts)
 
@@ -109,9 +139,8 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), dtype=bool)
         if new.any():
-            raw = data.tobytes()
-            spans = zip(words.start[first[new]].tolist(), words.end[first[new]].tolist())
-            self._learn(keys[new], [(raw[a:b] if cased else raw[a:b].lower()).decode("utf-8", "replace") for a, b in spans])
+            raw = data.tobytes() if cased else data.tobytes().lower()
+            self._learn(keys[new], [raw[a:b] for a, b in zip(words.start[first[new]].tolist(), words.end[first[new]].tolist())])
             at = np.searchsorted(self.keys, keys)
         return words, place, self.start[at], self.count[at]
 
@@ -220,15 +249,18 @@ def blocks(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """start counts from the beginning of the file."""
     for batch in batches:
-        for content, base in zip(batch.column("content"), batch.column("base").to_pylist()):
+        for content, number in zip(batch.column("content"), batch.column("number").to_pylist()):
+            base = 0
             for doc_ids, known, counts, ids in blocks(content.as_py()):
                 ends = np.cumsum(counts)
                 raw = ids.astype("<u4")
                 crc = [zlib.crc32(raw[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist())]
                 starts = base + ends - counts
                 base += int(counts.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=known == 0), pa.array(starts), pa.array(counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                numbers = pa.array(np.full(len(counts), number, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([numbers, pa.array(doc_ids, pa.int64(), mask=known == 0), pa.array(starts), pa.array(counts), pa.array(crc, pa.int64())], ["number", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def write_ids(docs: DataFrame, tokenizer_json: str, folder: str, end_id: int = 2) -> DataFrame:
@@ -252,7 +284,9 @@ def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame
         return spark.createDataFrame([], kind)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
     numbered = files.select("content", F.regexp_extract("path", "([0-9]+)\\.bin$", 1).cast("int").alias("number"))
-    return numbered.join(bases, "number").select("content", "base").mapInArrow(_reader, kind)
+    # Contents are decoded where they are read; only the decoded rows meet the places of their files.
+    decoded = numbered.mapInArrow(_reader, f"number int, {kind}")
+    return decoded.join(bases, "number").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:

@@ -9,7 +9,8 @@ are decoded where they are read.
 Payloads of at least least_bytes that are equal are stored once, as the response of the largest page_id; the others are
 revisit records that name it. Whether they are equal is decided on length and SHA-1, which are shuffled without texts.
 
-Files are written under the shared folder to a temporary name and then moved; Spark's binaryFile source reads them.
+Each record is a gzip member of its own, as is usual. Files are written under the shared folder to a temporary name and
+then moved; Spark's binaryFile source reads them.
 
 Defined cases: null and empty html are payloads of no bytes and responses. Rows that repeat a page_id are records of
 their own; where such rows hold the largest page_id of equal payloads, each is a response. A page without page_id is
@@ -19,6 +20,7 @@ always a response. An empty table gives an empty result. Columns other than page
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -114,12 +116,12 @@ def _writer(folder: str, segment: int):
             for row in batch.to_pylist():
                 if stream is None:
                     files, path = pafs.FileSystem.from_uri(folder)
-                    final, temporary = f"{path}/{stem}-{len(written):04d}.warc", f"{path}/_{stem}-{len(written):04d}.{context.taskAttemptId()}"
+                    final, temporary = f"{path}/{stem}-{len(written):04d}.warc.gz", f"{path}/_{stem}-{len(written):04d}.{context.taskAttemptId()}"
                     files.create_dir(path, recursive=True)
                     stream, size = files.open_output_stream(temporary), 0
                 payload = (row["html"] or "").encode()
                 for part in records_of(row["page_id"], row["url"], payload, row["digest"], row["refers_to"], f"{stem}-{n_rows}", segment):
-                    stream.write(part)
+                    stream.write(gzip.compress(part, 1, mtime=0))
                     size += len(part)
                 n_rows += 1
                 if size >= FILE_BYTES:
@@ -155,7 +157,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     for batch in batches:
         for content in batch.column("content"):
-            for fields, block in parse(content.as_py()):
+            for fields, block in parse(gzip.decompress(content.as_py())):
                 name = fields["warc-record-id"].strip("<>")
                 page = name.split(":")[2]
                 digest = fields.get("warc-payload-digest")
@@ -197,7 +199,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each page archived under folder: digests, record type and, but for revisits, the payload."""
-    records = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(folder).select("content").mapInArrow(_reader, RECORDS)
+    records = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content").mapInArrow(_reader, RECORDS)
     whole = records.filter("number is null").select("page_id", "record_type", "refers_to", "digest", "block")
     pieces = records.filter("number is not null").groupBy("origin").agg(
         F.array_sort(F.collect_list(F.struct("number", "block"))).alias("pieces"), F.max("total").alias("total"), F.max(F.when(F.col("is_first"), F.col("page_id"))).alias("page_id"),
