@@ -10,9 +10,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The most text in one Arrow batch: tasks hold a few batches outside the heap.
+BATCH_BYTES = 16 << 20
+_BATCH_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def prepare(spark: SparkSession) -> None:
-    """Makes this package importable in executors and sets a checkpoint folder where there is none.
+    """Makes this package importable in executors, bounds Arrow batches and sets a checkpoint folder where there is none.
 
     A cluster names its shared folder in spark.checkpoint.dir; only where that is unset (local runs, tests) a temporary folder is used.
     """
@@ -25,6 +29,9 @@ def prepare(spark: SparkSession) -> None:
                 out.write(path, path.relative_to(root))
         context.addPyFile(str(archive))
         context._incognita_shipped = True
+    # Spark's default of 64 MB is lowered; a bound that the session has set itself stays.
+    if spark.conf.get(_BATCH_BOUND) == "67108864b":
+        spark.conf.set(_BATCH_BOUND, BATCH_BYTES)
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(spark))
 

@@ -15,8 +15,8 @@ import pyarrow as pa
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 UNBASE = pow(BASE, -1, 1 << 64)
-#: Bytes of text taken at once; a longer single text is taken alone.
-PIECE_BYTES = 2 << 20
+#: Bytes of text taken at once; a longer single text is taken alone. A worker holds some 60 bytes for each of them.
+PIECE_BYTES = 512 << 10
 
 _powers: dict[int, np.ndarray] = {}
 

@@ -36,7 +36,7 @@ from incognita.llm import text_arrays as ta
 
 MAGIC = b"RANKIDS1"
 BLOCK = "<qqqq"
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: Words whose ids a worker keeps; beyond it, it starts afresh.
 CACHED_WORDS = 2_500_000
 JOINED = 256
