@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 
@@ -105,6 +106,12 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + n + 4
 
 
+def unzipped(content: bytes) -> bytes:
+    """All members one after another, in time that grows with the size: gzip.decompress copies the rest for each member."""
+    with gzip.GzipFile(fileobj=io.BytesIO(content)) as file:
+        return file.read()
+
+
 def _writer(folder: str, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -157,7 +164,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
     for batch in batches:
         for content in batch.column("content"):
-            for fields, block in parse(gzip.decompress(content.as_py())):
+            for fields, block in parse(unzipped(content.as_py())):
                 name = fields["warc-record-id"].strip("<>")
                 page = name.split(":")[2]
                 digest = fields.get("warc-payload-digest")
