@@ -9,8 +9,8 @@ A star misses pairs of which neither is the centre. A completing step therefore
 hold several components, and finds the similar pairs among them exactly: shingles are ordered by how many of these nodes
 have them, similar nodes share a shingle among their rarest few, and where they share it bounds their intersection. Only
 pairs of different components are compared; of a shingle's nodes, those of its largest component are not compared with
-one another. If many comparisons are ahead, the step goes by slices of the nodes, and components found in one slice
-spare later ones pairs. No bucket is cut short.
+one another. If many comparisons are ahead, the step goes by slices of the nodes: which nodes are compared is fixed before
+the first slice, and components found in one slice spare later ones only the pairs they have joined. No bucket is cut short.
 
 Defined cases: null and empty texts have no shingles and no links. A text with fewer words than a shingle is one
 shingle. Rows that repeat a doc_id are each returned and linked by their texts. Rows without doc_id are returned with a
@@ -245,28 +245,27 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     prefixes = rare_prefixes(sets, apart, percent).checkpoint()
     # Of the shared shingles of two nodes, the first in both orders has only so many behind it.
     reachable = F.expr(f"q.label <> o.label and (100 + {percent}) * (1 + least(q.size - q.place, o.size - o.place)) >= {percent} * (q.size + o.size)")
-    slices, at = None, 0
-    while slices is None or at < slices:
-        named = prefixes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        weight = named.groupBy("label").agg(F.count("*").alias("weight"))
-        named = named.join(weight, "label")
-        met = named.groupBy("shingle").agg(F.max_by("label", F.struct("weight", "label")).alias("main"), F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"))
-        queries = named.join(met.filter("least <> most").select("shingle", "main", "n"), "shingle").filter("label <> main")
-        if slices is None:
-            slices = -(-(queries.agg(F.sum("n")).first()[0] or 0) // comparisons_per_slice)
-            if not slices:
-                break
-        queries = queries.filter(F.pmod(F.xxhash64("node"), F.lit(slices)) == at)
-        pairs = queries.alias("q").join(named.alias("o"), (F.col("q.shingle") == F.col("o.shingle")) & reachable)
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "doc_id"))
+
+    # Which node asks at which shingle is settled once, by the labels before the first slice: of two nodes of different
+    # components at least one asks at each shingle that they share. Later links only spare pairs that they have joined.
+    first = named(prefixes)
+    weighed = first.join(first.groupBy("label").agg(F.count("*").alias("weight")), "label")
+    met = weighed.groupBy("shingle").agg(F.max_by("label", F.struct("weight", "label")).alias("main"), F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"))
+    asking = first.join(met.filter("least <> most").select("shingle", "main", "n"), "shingle").filter("label <> main").drop("label", "main").checkpoint()
+    slices = -(-(asking.agg(F.sum("n")).first()[0] or 0) // comparisons_per_slice)
+    for at in range(slices):
+        queries = named(asking.filter(F.pmod(F.xxhash64("node"), F.lit(slices)) == at))
+        pairs = queries.alias("q").join(named(prefixes).alias("o"), (F.col("q.shingle") == F.col("o.shingle")) & reachable)
         pairs = pairs.select(F.least("q.node", "o.node").alias("a"), F.greatest("q.node", "o.node").alias("b")).distinct()
         seen = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = confirmed(pairs.join(seen, ["a", "b"], "left_anti")).checkpoint()
-        at += 1
         if not more.isEmpty():
             links.append(more)
             labels = components(active, reduce(DataFrame.union, links))
 
-    named = distinct.select("node", "doc_id").join(labels, "node", "left").select("node", F.coalesce("label", "doc_id").alias("component_id"))
-    linked = with_id.select("doc_id", "n_shingles", "node").join(named, "node").select("doc_id", "n_shingles", "component_id")
+    named_all = named(distinct.select("node", "doc_id")).select("node", F.col("label").alias("component_id"))
+    linked = with_id.select("doc_id", "n_shingles", "node").join(named_all, "node").select("doc_id", "n_shingles", "component_id")
     alone = sketched.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

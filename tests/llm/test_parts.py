@@ -177,3 +177,15 @@ def test_large_near_copy_group(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {d: e for (d, _), e in zip(docs, expected)}
     sliced = near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85, comparisons_per_slice=3_000).collect()
     assert sorted(map(str, found)) == sorted(map(str, sliced))
+
+
+def test_slices_when_the_heaviest_component_changes(spark):
+    """In the first slice 9 is heaviest and 3 joins 2; then 2 is, and its pair with 9 must still be compared."""
+    docs = [
+        (1, "q0s1 b3s1 r3s1 a1s1 r6s1 p1s1 r7s1 r1s1 b0s1 p0s1 p2s1 b2s1 a3s1"), (2, "q0s1 r2s1 a2s1 b1s1 r5s1 q1s1 h0s1 r4s1 a0s1"),
+        (3, "q0s1 q1s1 h0s1 r4s1 a0s1 r2s1 r0s1 r8s1"), (9, "q0s1 r2s1 a2s1 b1s1 r5s1 q1s1 b3s1 r3s1 a1s1"),
+    ]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    for limit in (6, 1):  # two slices, and one for each comparison
+        found = near_duplicates.near_duplicates(table, 1, 50, 1, 1, comparisons_per_slice=limit).collect()
+        assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 2, 3: 2, 9: 2}
