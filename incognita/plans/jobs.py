@@ -27,9 +27,10 @@ def learn(fragments: DataFrame, mapping: DataFrame, secret: str, stoplist: DataF
     """Stand-ins for all people, organisations, numbers, addresses and domains of fragments.
 
     mapping is what earlier runs learned. Learning comes to its end before anything is replaced, so a name told in full
-    in one place is known everywhere.
+    in one place is known everywhere. Cells whose hint is person or org are learned whole.
     """
-    read = names.readings(names.parsed(names.mentions(fragments).select("mention").distinct())).checkpoint()
+    told = names.parsed(names.mentions(fragments).select("mention").distinct())
+    read = names.readings(told.union(names.parsed_cells(names.typed_cells(fragments, "person"))).distinct()).checkpoint()
     found = names.people(read)
     orgs = names.organisations(fragments, mapping)
     if stoplist is not None:
@@ -42,6 +43,9 @@ def learn(fragments: DataFrame, mapping: DataFrame, secret: str, stoplist: DataF
     mapping = extend_mapping(fragments, mapping, secret, stoplist).checkpoint()
     person_forms, person_exact = names.person_forms(people.checkpoint())
     org_forms, org_exact = names.organisation_forms(orgs.join(mapping.filter("family = 'org'").select("key", "fake"), "key"))
+    # What is a person's name already is no organisation's: a form stands for one thing.
+    org_forms = org_forms.join(person_forms.select("direction", "key"), ["direction", "key"], "left_anti")
+    org_exact = org_exact.join(person_exact.select("direction", "key"), ["direction", "key"], "left_anti")
     return Knowledge(mapping, person_forms.unionByName(org_forms).checkpoint(), person_exact.unionByName(org_exact).checkpoint())
 
 
