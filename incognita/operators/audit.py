@@ -1,7 +1,7 @@
 """Audit of copies, leftovers of restoring, and what has to be done again.
 
 Substring searches of the kind "does any text hold any of these stems" are equi-joins here: stems stand at the
-beginnings of words, so the beginnings of a text's distinct words meet the stems by equality.
+beginnings of words, so the beginnings of a text's distinct words meet the longest words of the stems by equality.
 """
 
 from __future__ import annotations
@@ -69,11 +69,22 @@ def stems(mapping: DataFrame, side: str = "fake") -> DataFrame:
 
 
 def holding(texts: DataFrame, stems_: DataFrame) -> DataFrame:
-    """doc_id and stem for each text (doc_id, text) with a word that begins with a stem. Stems of several words are looked up by their first."""
-    words = texts.select("doc_id", F.explode(F.array_distinct(F.split(tx.norm_key(F.col("text")), "(?U)[^\\w]+"))).alias("word")).filter(F.char_length("word") >= 4)
-    starts = words.select("doc_id", F.explode(F.transform(F.sequence(F.lit(4), F.char_length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("start"))
-    first = stems_.select("stem", F.get(F.split("stem", " "), F.lit(0)).alias("start"))
-    return starts.join(first, "start").select("doc_id", "stem").distinct()
+    """doc_id and stem for each text (doc_id, text) in which a stem stands at the beginning of a word.
+
+    Texts and stems are split into words alike. A stem is looked up by the longest of its words: where the stem stands,
+    a word of the text begins with it. Of the texts met, those that hold the whole stem are returned.
+    """
+    parts = lambda c: F.filter(F.split(c, "(?U)[^\\w]+"), lambda w: w != "")
+    longest = F.get(F.array_sort(parts(F.col("stem")), lambda a, b: F.char_length(b) - F.char_length(a)), F.lit(0))
+    wanted = stems_.select("stem", longest.alias("start")).filter("start is not null").distinct()
+    lengths = F.broadcast(wanted.agg(F.collect_set(F.char_length("start")).alias("lengths")))
+    keyed = texts.select("doc_id", tx.norm_key(F.col("text")).alias("text"))
+    words = keyed.select("doc_id", "text", F.explode(F.array_distinct(parts(F.col("text")))).alias("word")).crossJoin(lengths)
+    fitting = F.filter("lengths", lambda n: n <= F.char_length("word"))
+    starts = words.select("doc_id", "text", F.explode(F.transform(fitting, lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("start"))
+    written = F.concat(F.lit("(?U)(?:^|[^\\w])\\Q"), F.replace("stem", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    met = starts.join(wanted, "start").filter(F.contains("text", "stem"))
+    return met.filter(F.rlike("text", written)).select("doc_id", "stem").distinct()
 
 
 def changed_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
