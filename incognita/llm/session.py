@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -37,16 +38,38 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share. Only a local session, which is one machine, may do without a named one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
+    if not re.fullmatch("local(\\[.*\\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return "file://" + tempfile.mkdtemp(prefix="incognita-")
 
 
+class Tables:
+    """Steps of one operator, each written as Parquet under the shared folder and read back, which cuts their lineage.
+
+    Columns that a later step does not need are not read, and tables are deleted by drop as soon as nothing reads them.
+    Those that a returned DataFrame reads stay, like its checkpoints would.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: others, whatever they are called, can't clash with columns made later."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -113,10 +113,13 @@ def gram_hashes_within(words: np.ndarray, text: np.ndarray, n: int) -> tuple[np.
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes and text boundaries of an Arrow string column; null is empty."""
+    """The bytes (of strings: UTF-8) and boundaries of an Arrow string or binary column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_binary()).fill_null(b"")
+    else:
+        column = column.cast(pa.large_string()).fill_null("")
     _, places, data = column.buffers()
     if not len(column):
         return np.empty(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
@@ -147,3 +150,8 @@ def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column whose row i holds values[first[i]:first[i + 1]]."""
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, kind))
+
+
+def binaries(raw: bytes, starts: np.ndarray) -> pa.Array:
+    """A binary column whose row i is raw[starts[i]:starts[i + 1]]."""
+    return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())

@@ -5,15 +5,18 @@ lengths of four ranks are two bits each of one control byte. Control bytes and d
 block is decoded by looking lengths up in a table of 256 rows and gathering bytes, without a loop over ids.
 
 A file holds the documents of one range of doc_ids, in ascending order, in blocks, with the table from rank to id in
-front, so each file is read alone. Files are written under the shared folder to a temporary name and then moved, so a
-task that runs twice leaves the same file. They are read back with Spark's binaryFile source.
-
-Encoding uses the tokenizers library. Its normaliser and splitter never look across ASCII white space, so a task has
-the library encode each distinct word once and reuses the ids; the ids are those of the whole text.
-
-Defined cases: null and empty texts give the end id only. Rows that repeat a doc_id stand side by side, ordered by a
-hash of the text. A row without doc_id comes first. An empty table gives an empty result. Columns other than doc_id and
-text are not read.
+front, so each file is read alone. A task begins another file when one has FILE_BYTES, as files are read whole. Files are
+written under the shared folder to a temporary name and then moved, so a task that runs twice leaves the same files. They
+are read back with Spark's binaryFile source.
+
+Texts are encoded once: the ids, as plain 16- or 32-bit numbers, are a table from which frequencies are counted and
+which is sorted by doc_id in the place of the texts. Encoding uses the tokenizers library. Its normaliser and splitter
+never look across ASCII white space, so a task has the library encode each distinct word once and reuses the ids; the ids
+are those of the whole text.
+
+Defined cases: null and empty texts give the end id only. A very long text is encoded alone and is one block. Rows that
+repeat a doc_id stand side by side, ordered by a hash of the text. A row without doc_id comes first. Ids of equal
+frequency are ranked by id. An empty table gives an empty result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ from incognita.llm import text_arrays as ta
 MAGIC = b"RANKIDS1"
 BLOCK = "<qqqq"
 PIECE_BYTES = 1 << 20
+FILE_BYTES = 256 << 20
 #: Words whose ids a worker keeps; beyond it, it starts afresh.
 CACHED_WORDS = 2_500_000
 JOINED = 256
@@ -151,19 +155,24 @@ class Encoder:
         counts = ta.per_text(count[place], words.first)
         return np.insert(ids, np.cumsum(counts), end), counts + 1
 
-    def frequencies(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        _, place, start, count = self.distinct(data, offsets)
-        times = np.bincount(place, minlength=len(start))
-        return np.bincount(self.flat[_ragged(start, count)], weights=np.repeat(times, count), minlength=self.size).astype(np.int64)
 
-
-def _frequencies(shared: Broadcast, end: int):
+def _encoded(shared: Broadcast, end: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(shared)
-        total = np.zeros(max(encoder.size, end + 1), dtype=np.int64)
         for batch, data, offsets in ta.pieces(batches, "text", PIECE_BYTES):
-            total[: encoder.size] += encoder.frequencies(data, offsets)
-            total[end] += batch.num_rows
+            ids, counts = encoder.encode(data, offsets, end)
+            raw = ids.astype(kind)
+            starts = np.concatenate(([0], np.cumsum(counts))) * raw.itemsize
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), ta.binaries(raw.tobytes(), starts)], ["doc_id", "tie", "ids"])
+
+    return run
+
+
+def _frequencies(size: int, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.int64)
+        for _, data, _ in ta.pieces(batches, "ids", 16 * PIECE_BYTES):
+            total += np.bincount(np.frombuffer(data, kind), minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["id", "n"])
 
@@ -196,36 +205,46 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return ranks
 
 
-def _writer(shared: Broadcast, order: Broadcast, folder: str, end: int):
-    """Writes one file per task; gives its number and its ids."""
+def _writer(order: Broadcast, folder: str, kind: str, file_bytes: int):
+    """Writes the files of a task; gives their names, which sort as the documents do, and their numbers of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ids_by_rank = Encoder.of(shared), order.value
+        ids_by_rank = order.value
         rank_of = np.zeros(int(ids_by_rank.max(initial=0)) + 1, dtype=np.uint32)
         rank_of[ids_by_rank] = np.arange(len(ids_by_rank))
+        head = MAGIC + struct.pack("<q", len(ids_by_rank)) + ids_by_rank.astype("<u4").tobytes()
         context = TaskContext.get()
-        number, total = context.partitionId(), 0
-        stream = files = None
-        final = temporary = ""
-        for batch, data, offsets in ta.pieces(batches, "text", PIECE_BYTES):
+        names, totals, stream, written = [], [], None, 0
+        files, path = pafs.FileSystem.from_uri(folder)
+        temporary = f"{path}/_{context.partitionId()}.{context.taskAttemptId()}"
+
+        def close() -> None:
+            stream.close()
+            files.move(temporary, f"{path}/{names[-1]}.bin")
+
+        for batch, data, offsets in ta.pieces(batches, "ids", 4 * PIECE_BYTES):
             if stream is None:
-                files, path = pafs.FileSystem.from_uri(folder)
-                final, temporary = f"{path}/{number:06d}.bin", f"{path}/_{number:06d}.{context.taskAttemptId()}"
                 files.create_dir(path, recursive=True)
-                stream = files.open_output_stream(temporary)
-                stream.write(MAGIC + struct.pack("<q", len(ids_by_rank)) + ids_by_rank.astype("<u4").tobytes())
-            ids, counts = encoder.encode(data, offsets, end)
+                stream, written = files.open_output_stream(temporary), 0
+                stream.write(head)
+                names.append(f"{context.partitionId():08d}-{len(names):06d}")
+                totals.append(0)
+            ids = np.frombuffer(data, kind)
             control, packed = pack(rank_of[ids])
             known = np.array(batch.column("doc_id").is_valid(), dtype=np.uint8)
             doc_ids = batch.column("doc_id").fill_null(0).to_numpy()
-            stream.write(struct.pack(BLOCK, batch.num_rows, len(ids), len(control), len(packed)))
-            for part in (known.tobytes(), doc_ids.astype("<i8").tobytes(), counts.astype("<i8").tobytes(), control, packed):
+            counts = np.diff(offsets) // ids.itemsize
+            parts = (struct.pack(BLOCK, batch.num_rows, len(ids), len(control), len(packed)), known.tobytes(), doc_ids.astype("<i8").tobytes(), counts.astype("<i8").tobytes(), control, packed)
+            for part in parts:
                 stream.write(part)
-            total += len(ids)
+            totals[-1] += len(ids)
+            written += sum(map(len, parts))
+            if written >= file_bytes:
+                close()
+                stream = None
         if stream is not None:
-            stream.close()
-            files.move(temporary, final)
-            yield pa.RecordBatch.from_pydict({"number": pa.array([number], pa.int32()), "n_ids": pa.array([total], pa.int64())})
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(totals, pa.int64())], ["name", "n_ids"])
 
     return run
 
@@ -251,7 +270,7 @@ def blocks(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """start counts from the beginning of the file."""
     for batch in batches:
-        for content, number in zip(batch.column("content"), batch.column("number").to_pylist()):
+        for content, name in zip(batch.column("content"), batch.column("name").to_pylist()):
             base = 0
             for doc_ids, known, counts, ids in blocks(content.as_py()):
                 ends = np.cumsum(counts)
@@ -259,34 +278,40 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 crc = [zlib.crc32(raw[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist())]
                 starts = base + ends - counts
                 base += int(counts.sum())
-                numbers = pa.array(np.full(len(counts), number, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([numbers, pa.array(doc_ids, pa.int64(), mask=known == 0), pa.array(starts), pa.array(counts), pa.array(crc, pa.int64())], ["number", "doc_id", "start", "n_tokens", "ids_crc32"])
+                names = pa.array([name] * len(counts), pa.string())
+                yield pa.RecordBatch.from_arrays([names, pa.array(doc_ids, pa.int64(), mask=known == 0), pa.array(starts), pa.array(counts), pa.array(crc, pa.int64())], ["name", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def write_ids(docs: DataFrame, tokenizer_json: str, folder: str, end_id: int = 2) -> DataFrame:
-    """Writes the ids of docs (doc_id, text) to files in folder; gives (number, n_ids) of each file."""
-    context = docs.sparkSession.sparkContext
-    docs = session.columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    shared = context.broadcast(tokenizer_json)
-    counted = docs.select("text").mapInArrow(_frequencies(shared, end_id), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+def write_ids(docs: DataFrame, tokenizer_json: str, folder: str, end_id: int = 2, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes the ids of docs (doc_id, text) to files in folder; gives (name, n_ids) of each file."""
+    spark = docs.sparkSession
+    tables = session.Tables(spark, "token-ids")
+    docs = session.columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    shared = spark.sparkContext.broadcast(tokenizer_json)
+    size = max(Encoder(tokenizer_json).size, end_id + 1)
+    kind = "<u2" if size <= 1 << 16 else "<u4"
+    encoded = tables.keep(docs.mapInArrow(_encoded(shared, end_id, kind), "doc_id long, tie long, ids binary"), "ids")
+    counted = encoded.select("ids").mapInArrow(_frequencies(size, kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # One row for each id of the vocabulary at most.
     ranked = np.array([r.id for r in counted.orderBy(F.desc("n"), "id").select("id").collect()], dtype=np.int64)
-    order = context.broadcast(ranked)
-    placed = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return placed.select("doc_id", "text").mapInArrow(_writer(shared, order, folder, end_id), "number int, n_ids long").checkpoint()
+    order = spark.sparkContext.broadcast(ranked)
+    placed = encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    manifest = tables.keep(placed.select("doc_id", "ids").mapInArrow(_writer(order, folder, kind, file_bytes), "name string, n_ids long"), "manifest")
+    tables.drop("ids")
+    return manifest
 
 
 def read_ids(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document in the files that manifest lists."""
-    bases = manifest.select("number", F.coalesce(F.sum("n_ids").over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    """doc_id, start, n_tokens and ids_crc32 of each document in the files that manifest lists, one row a file."""
+    bases = manifest.select("name", F.coalesce(F.sum("n_ids").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if manifest.isEmpty():
         return spark.createDataFrame([], kind)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
-    numbered = files.select("content", F.regexp_extract("path", "([0-9]+)\\.bin$", 1).cast("int").alias("number"))
+    named = files.select("content", F.regexp_extract("path", "([0-9]+-[0-9]+)\\.bin$", 1).alias("name"))
     # Contents are decoded where they are read; only the decoded rows meet the places of their files.
-    decoded = numbered.mapInArrow(_reader, f"number int, {kind}")
-    return decoded.join(bases, "number").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
+    decoded = named.mapInArrow(_reader, f"name string, {kind}")
+    return decoded.join(bases, "name").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
