@@ -3,15 +3,16 @@
 Of every window of consecutive k-gram hashes the smallest (the rightmost of equal ones) is kept as a fingerprint.
 With k-grams of k words and windows of w k-grams, any span of k + w - 1 words that an item and a document share gives
 both the same fingerprint at the same place in the span, so nothing that long is missed. Fingerprints of documents are
-joined with those of the benchmark, and hits are extended word by word to both sides; only spans of a whole item
-window count.
+joined with those of the benchmark, and hits are extended to both sides: each window of k + w - 1 words around a hit is
+looked up among the items' windows by its hash of 64 bits. Only spans of whole item windows count. A word or a passage
+that is repeated very often in a text and in an item costs a look-up for each of the text's words and no more.
 
 The benchmark's fingerprints go to all tasks as one block where they are few, which is checked: a block holds at most
 block_words words. A larger benchmark goes through in several blocks, each one pass over the documents with the
 results so far written in between. The documents are never shuffled, so no key can be hot.
 
-Defined cases: null and empty texts have no words and are not contaminated; an item without words is ignored; an item
-without item_id is reported as "null"; repeated item_ids count once; repeated documents are each returned. Columns
+Defined cases: null and empty texts have no words and are not contaminated; very long texts are read whole, one at a
+time; an item without words is ignored; an item without item_id is reported as "null"; repeated item_ids count once; repeated documents are each returned. Columns
 other than doc_id and text, item_id and text are not read.
 """
 
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,56 +51,57 @@ def winnow(hashes: np.ndarray, text: np.ndarray, gram: int, window: int) -> tupl
 
 
 class Index:
-    """Fingerprints of a block of benchmark items, and what is needed to extend hits."""
+    """Fingerprints of a block of benchmark items, and their windows."""
 
     def __init__(self, ids: list[str], texts: list[str], span: int, gram: int):
         self.span, self.gram, self.ids = span, gram, np.array(ids, dtype=object)
         data, offsets = ta.buffers(pa.array(texts, pa.string()))
         words = ta.Words(data, offsets, ta.ALNUM_LOWER)
-        self.words, self.item = words.hashes(), words.text
-        prints, at = winnow(self.words, self.item, gram, span - gram + 1)
-        order = np.argsort(prints, kind="stable")
-        self.prints, self.at = prints[order], at[order]
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in sorted({int(c) for c in words.counts if 0 < c < span}):
-            own = np.flatnonzero(words.counts == n)
-            keys = ta.gram_hashes(self.words, n)[words.first[own]]
-            order = np.argsort(keys, kind="stable")
-            self.short[n] = keys[order], own[order]
-
-
-def _runs(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (index into sought, index into the sorted keys) of equal values."""
-    low, high = np.searchsorted(keys, sought, "left"), np.searchsorted(keys, sought, "right")
-    some = np.flatnonzero(high > low)
-    n = (high - low)[some]
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(some, n), np.repeat(low[some], n) + within
-
-
-def _hits(index: Index, words: ta.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word spans of the batch that occur as windows of items: first word, end, item's index."""
+        hashes = words.hashes()
+        self.prints = np.unique(winnow(hashes, words.text, gram, span - gram + 1)[0])
+        #: For each length: the windows' hashes in order, where the items of each begin, and the items.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted({min(int(c), span) for c in words.counts if c}):
+            grams, at = ta.gram_hashes_within(hashes, words.text, n)
+            item = words.text[at]
+            whole = np.ones(len(item), dtype=bool) if n == span else words.counts[item] == n
+            grams, item = grams[whole], item[whole]
+            order = np.lexsort((item, grams))
+            grams, item = grams[order], item[order]
+            new = np.ones(len(grams), dtype=bool)
+            new[1:] = (grams[1:] != grams[:-1]) | (item[1:] != item[:-1])
+            keys, first = np.unique(grams[new], return_index=True)
+            self.windows[n] = keys, np.append(first, new.sum()), item[new]
+
+
+def _hits(index: Index, words: ta.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of items in the batch: their first words and ends; and (text, item) of each pair met."""
     hashes, text = words.hashes(), words.text
-    prints, at = winnow(hashes, text, index.gram, index.span - index.gram + 1)
-    of, key = _runs(index.prints, prints)
-    p, q = at[of], index.at[key]
-    reach = {}
-    for name, first, step in (("left", -1, -1), ("right", index.gram, 1)):
-        going, length = np.ones(len(p), dtype=bool), np.zeros(len(p), dtype=np.int64)
-        for j in range(index.span - index.gram):
-            a, b = p + first + step * j, q + first + step * j
-            going &= (a >= 0) & (a < len(hashes)) & (b >= 0) & (b < len(index.words))
-            a, b = np.where(going, a, 0), np.where(going, b, 0)
-            going &= (hashes[a] == index.words[b]) & (text[a] == text[p]) & (index.item[b] == index.item[q]) if len(a) else going
-            length += going
-        reach[name] = length
-    long = reach["left"] + index.gram + reach["right"] >= index.span
-    found = [(p[long] - reach["left"][long], p[long] + index.gram + reach["right"][long], index.item[q[long]])]
-    for n, (keys, items) in index.short.items():
-        grams, starts = ta.gram_hashes_within(hashes, text, n)
-        of, key = _runs(keys, grams)
-        found.append((starts[of], starts[of] + n, items[key]))
-    return tuple(np.concatenate(x) for x in zip(*found))
+    starts, ends, texts, items = [], [], [], []
+    for n, (keys, first, item) in index.windows.items():
+        grams = ta.gram_hashes(hashes, n)
+        if n == index.span:
+            prints, at = winnow(hashes, text, index.gram, n - index.gram + 1)
+            at = at[np.isin(prints, index.prints)]
+            at = np.unique(at[:, None] - np.arange(n - index.gram + 1))
+            at = at[(at >= 0) & (at < len(grams))]
+        else:
+            at = np.arange(len(grams))
+        at = at[text[at] == text[at + n - 1]]
+        key = np.minimum(np.searchsorted(keys, grams[at]), len(keys) - 1)
+        met = keys[key] == grams[at]
+        at, key = at[met], key[met]
+        starts.append(at)
+        ends.append(at + n)
+        # Each window of a text names its items once.
+        both = np.unique(text[at] * len(keys) + key)
+        own, key = both // len(keys), both % len(keys)
+        count = first[key + 1] - first[key]
+        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        texts.append(np.repeat(own, count))
+        items.append(item[np.repeat(first[key], count) + within])
+    empty = [np.empty(0, dtype=np.int64)]
+    return tuple(np.concatenate(x or empty) for x in (starts, ends, texts, items))
 
 
 def _scan(shared: Broadcast, kept: list[str]):
@@ -106,22 +109,26 @@ def _scan(shared: Broadcast, kept: list[str]):
         index = shared.value
         for batch, data, offsets in ta.pieces(batches, "text"):
             words = ta.Words(data, offsets, ta.ALNUM_LOWER)
-            spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-            start, end, item = _hits(index, words)
-            n_hit = np.zeros(batch.num_rows, dtype=np.int64)
-            text = words.text[start] if len(start) else start
+            start, end, text, item = _hits(index, words)
+            # What earlier blocks have hit is hit again.
+            known = batch.column("spans")
+            place = words.first[:-1][np.repeat(np.arange(batch.num_rows), pc.list_value_length(known).fill_null(0).to_numpy())]
+            flat = known.flatten().to_numpy() + place
+            edges = np.zeros(len(words.text) + 1, dtype=np.int64)
+            np.add.at(edges, np.concatenate((start, flat[0::2])), 1)
+            np.add.at(edges, np.concatenate((end, flat[1::2])), -1)
+            hit = np.cumsum(edges[:-1]) > 0
+            begins, stops = hit.copy(), hit.copy()
+            cut = words.text[1:] != words.text[:-1]
+            begins[1:] &= ~hit[:-1] | cut
+            stops[:-1] &= ~hit[1:] | cut
+            first, last = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+            base = words.first[words.text[first]]
+            spans = ta.lists(np.stack((first - base, last - base), axis=1).ravel(), 2 * np.searchsorted(first, words.first), pa.int32())
+            items = batch.column("items").to_pylist()
             for t in np.unique(text):
-                own, base = text == t, words.first[t]
-                pairs = np.unique(np.stack([start[own] - base, end[own] - base], axis=1), axis=0)
-                spans[t] = (spans[t] or []) + pairs.ravel().tolist()
-                items[t] = sorted({*(items[t] or []), *index.ids[np.unique(item[own])]})
-            for t, own in enumerate(spans):
-                if own:
-                    mark = np.zeros(words.counts[t] + 1, dtype=np.int64)
-                    np.add.at(mark, own[0::2], 1)
-                    np.add.at(mark, own[1::2], -1)
-                    n_hit[t] = np.count_nonzero(np.cumsum(mark)[:-1])
-            out = [batch.column("doc_id"), pa.array(words.counts), pa.array(n_hit), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+                items[t] = sorted({*(items[t] or []), *index.ids[np.unique(item[text == t])]})
+            out = [batch.column("doc_id"), pa.array(words.counts), pa.array(ta.per_text(hit, words.first)), spans, pa.array(items, pa.list_(pa.string()))]
             names = ["doc_id", "n_words", "n_hit", "spans", "items"]
             yield pa.RecordBatch.from_arrays([*out, *(batch.column(c) for c in kept)], [*names, *kept])
 
@@ -147,17 +154,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span_words: int = 13, g
     """Per row of docs (doc_id, text): n_words, n_hit (words in shared windows), spans (word indexes, flat pairs), items.
 
     A window is span_words consecutive words of an item of benchmark (item_id, text), or the whole item if it is shorter.
-    Columns of docs in carry are returned too.
+    Columns of docs in carry are returned too; text may be one of them.
     """
     session.prepare(docs.sparkSession)
-    state = session.columns(docs, "doc_id", "text", *carry).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"), *carry)
+    state = session.columns(docs, *dict.fromkeys(("doc_id", "text", *carry))).withColumns({"doc_id": F.col("doc_id").cast("long"), "spans": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
     blocks = _blocks(session.columns(benchmark, "item_id", "text"), block_words, span_words, gram_words)
     index = next(blocks)
     while index is not None:
         following = next(blocks, None)
         shared = docs.sparkSession.sparkContext.broadcast(index)
         more = following is not None
-        kept = [*(["text"] if more else []), *carry]
+        kept = list(dict.fromkeys([*(["text"] if more else []), *carry]))
         kind = T.StructType([*T.StructType.fromDDL(STATE).fields, *(state.schema[c] for c in kept)])
         state = state.mapInArrow(_scan(shared, kept), kind)
         if more:
@@ -167,5 +174,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span_words: int = 13, g
 
 
 def contaminated(scanned: DataFrame, hit_share: int = 20) -> DataFrame:
-    """Adds the verdict: some word is hit, and at least one in hit_share is."""
+    """Adds contaminated to what decontaminate gives: some word is hit, and at least one in hit_share is."""
     return scanned.withColumn("contaminated", F.expr(f"n_hit > 0 and {hit_share} * n_hit >= n_words"))
