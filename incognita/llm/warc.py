@@ -7,12 +7,15 @@ number, verifies the numbers and the total length, joins them and decodes the ch
 are decoded where they are read.
 
 Payloads of at least least_bytes that are equal are stored once, as the response of the largest page_id; the others are
-revisit records that name it. Whether they are equal is decided on length and SHA-1, which are shuffled without texts.
+revisit records that name it. Whether they are equal is decided on length and SHA-1, which are shuffled without texts;
+payloads met twice or more are a table of their own, so Spark sends it to all tasks where it is small and else splits the
+rows of a payload that very many pages have.
 
 Each record is a gzip member of its own, as is usual. Files are written under the shared folder to a temporary name and
 then moved; Spark's binaryFile source reads them.
 
-Defined cases: null and empty html are payloads of no bytes and responses. Rows that repeat a page_id are records of
+Defined cases: null and empty html are payloads of no bytes and responses. A very long page is as many segments as it
+takes, joined in one pass. Rows that repeat a page_id are records of
 their own; where such rows hold the largest page_id of equal payloads, each is a response. A page without page_id is
 always a response. An empty table gives an empty result. Columns other than page_id, url and html are not read.
 """
@@ -147,10 +150,12 @@ def _writer(folder: str, segment: int):
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html) as WARC files under folder; gives the files' names."""
+    tables = session.Tables(pages.sparkSession, "warc-equal")
     pages = session.columns(pages, "page_id", "url", "html").withColumn("page_id", F.col("page_id").cast("long"))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.withColumn("digest", F.sha1(payload)).withColumn("bytes", F.octet_length(payload).cast("long"))
     equal = pages.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("d"), F.col("bytes").alias("b"), "keeper")
+    equal = tables.keep(equal, "equal")
     revisits = pages.select("page_id", "digest", "bytes").filter("page_id is not null").join(equal, [F.col("digest") == F.col("d"), F.col("bytes") == F.col("b")])
     revisits = revisits.filter("page_id <> keeper").groupBy("page_id", "digest").agg(F.max("keeper").alias("refers_to"))
     revisits = revisits.select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "refers_to")
@@ -190,7 +195,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for row in batch.to_pylist():
-            head, _, body = row["block"].partition(b"\r\n\r\n")
+            head, _, body = b"".join(row["blocks"]).partition(b"\r\n\r\n")
             out = {"page_id": row["page_id"], "record_type": row["record_type"], "refers_to": row["refers_to"]}
             if row["record_type"] == "revisit":
                 (n,) = (int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
@@ -207,15 +212,16 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each page archived under folder: digests, record type and, but for revisits, the payload."""
     records = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content").mapInArrow(_reader, RECORDS)
-    whole = records.filter("number is null").select("page_id", "record_type", "refers_to", "digest", "block")
+    whole = records.filter("number is null").select("page_id", "record_type", "refers_to", "digest", F.array("block").alias("blocks"))
     pieces = records.filter("number is not null").groupBy("origin").agg(
         F.array_sort(F.collect_list(F.struct("number", "block"))).alias("pieces"), F.max("total").alias("total"), F.max(F.when(F.col("is_first"), F.col("page_id"))).alias("page_id"),
         F.max("record_type").alias("record_type"), F.max("digest").alias("digest"),
     )
     # A missing or repeated segment, or a wrong total, is an error and not a shorter page.
-    block = F.aggregate("pieces", F.lit(b""), lambda whole_, piece: F.concat(whole_, piece["block"]))
-    sound = (F.transform("pieces", lambda p: p["number"]) == F.sequence(F.lit(1), F.size("pieces"))) & (F.octet_length("block") == F.col("total"))
-    joined = pieces.withColumn("block", block).select("page_id", "record_type", F.lit(None).cast("long").alias("refers_to"), "digest", F.when(sound, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments do not add up: "), "origin"))).alias("block"))
+    size = F.aggregate("pieces", F.lit(0).cast("long"), lambda so_far, p: so_far + F.octet_length(p["block"]))
+    sound = (F.transform("pieces", lambda p: p["number"]) == F.sequence(F.lit(1), F.size("pieces"))) & (size == F.col("total"))
+    blocks = F.when(sound, F.transform("pieces", lambda p: p["block"])).otherwise(F.raise_error(F.concat(F.lit("segments do not add up: "), "origin")))
+    joined = pieces.select("page_id", "record_type", F.lit(None).cast("long").alias("refers_to"), "digest", blocks.alias("blocks"))
     return whole.union(joined).mapInArrow(_decoded, PAGES)
 
 
