@@ -10,16 +10,21 @@ Logs are folded message by message in the order of seq, then messages are put in
 
 Template: each turn is START role NEWLINE text END NEWLINE. In roles and texts a backslash goes before every
 backslash, and into every control string (also those of other templates), so that texts hold no control string and
-taking the backslashes out gives them back. loss_spans holds the code points of the (escaped) assistant texts.
+taking the backslashes out gives them back. spans holds, for each turn, where its (escaped) text stands in the
+conversation and in its turn, in code points, and whether it is under the loss mask, as assistant texts are.
 
-Defined cases: null text and null role are empty. Rows with equal seq are ordered by event and text. A conversation
-whose messages are all deleted has no row. A null conv_id is a conversation of its own. Columns other than those named
-are not read.
+Every step takes time in proportion to the size of a conversation: turns are measured by a window over them, texts are cut
+by one pattern, and turns and their spans are read side by side.
+
+Defined cases: null text and null role are empty. Very long roles, texts and conversations are taken whole; a conversation
+is one row. Rows with equal seq are ordered by event and text, equal turns by the hashes of role and text. A conversation
+whose messages are all deleted has no row. A null conv_id is a conversation of its own. Equal rows of a finished
+conversation are turns of their own. An empty table gives an empty result. Columns other than those named are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|start|>", "<|end|>"
@@ -62,39 +67,46 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """conv_id, formatted and loss_spans (start and length in code points) of final messages."""
+    """conv_id, formatted and spans (start, within, length, loss; one for each turn) of final messages."""
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     parts = messages.select("conv_id", "first_seq", "message_id", "role", head.alias("head"), escape(F.col("text")).alias("body"))
-    turns = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("first_seq", "message_id", "role", "head", "body"))).alias("turns"))
-    close = END + "\n"
-    formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(close))), "")
-    sizes = turns.withColumn("sizes", F.transform("turns", lambda t: F.struct(F.char_length(t["head"]).alias("h"), F.char_length(t["body"]).alias("b"), (t["role"] == "assistant").alias("loss"))))
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    step = lambda acc, s: F.struct(
-        (acc["at"] + s["h"] + s["b"] + len(close)).alias("at"), F.when(s["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + s["h"]).alias("start"), s["b"].alias("length"))))).otherwise(acc["spans"]).alias("spans")
-    )
-    return sizes.select("conv_id", formatted.alias("formatted"), F.aggregate("sizes", nothing, step)["spans"].alias("loss_spans"))
+    h, b, close = F.char_length("head").cast("long"), F.char_length("body").cast("long"), END + "\n"
+    until = F.sum(h + b + len(close)).over(Window.partitionBy("conv_id").orderBy("first_seq", "message_id").rowsBetween(Window.unboundedPreceding, 0))
+    span = F.struct((until - b - len(close)).alias("start"), h.alias("within"), b.alias("length"), (F.col("role") == "assistant").alias("loss"))
+    placed = parts.select("conv_id", F.struct("first_seq", "message_id", F.concat("head", "body", F.lit(close)).alias("turn"), span.alias("span")).alias("t"))
+    turns = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    return turns.select("conv_id", F.array_join(F.col("turns")["turn"], "").alias("formatted"), F.col("turns")["span"].alias("spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (role and text) and loss_text, taken from the rendered text and its spans."""
+    """conv_id, formatted, turns (role and text) and loss_text, taken from the rendered text and its spans."""
+    # Each piece lacks the START that it was cut at; roles and texts hold none.
     pieces = F.slice(F.split("formatted", "<\\|start\\|>", -1), 2, 1_000_000_000)
-    turn = lambda p: F.regexp_extract(p, "(?s)^((?:[^\\\\\\n]|\\\\.)*)\\n", 1)
-    body = lambda p: F.substring(p, F.char_length(turn(p)) + 2, F.char_length(p) - F.char_length(turn(p)) - 2 - len(END))
-    turns = F.transform(pieces, lambda p: F.struct(unescape(turn(p)).alias("role"), unescape(body(p)).alias("text")))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
-    return formatted.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss_text"))
+    role = lambda p: F.regexp_extract(p, "(?s)^((?:[^\\\\\\n]++|\\\\.)*+)\\n", 1)
+    body = lambda p: F.substring(p, F.char_length(role(p)) + 2, F.char_length(p) - F.char_length(role(p)) - 2 - len(END))
+    turns = F.transform(pieces, lambda p: F.struct(unescape(role(p)).alias("role"), unescape(body(p)).alias("text")))
+    masked = F.zip_with(pieces, "spans", lambda p, s: F.when(s["loss"], unescape(F.substring(p, (s["within"] - len(START) + 1).cast("int"), s["length"].cast("int")))).otherwise(""))
+    return formatted.select("conv_id", "formatted", turns.alias("turns"), F.array_join(masked, "").alias("loss_text"))
 
 
 def conversation_events(conversations: DataFrame, delta_chars: int = 1_000) -> DataFrame:
-    """The log of finished conversations (conv_id, turn, role, text): a start for each row, and its text in deltas."""
+    """A log that leads to finished conversations (conv_id, turn, role, text): for each row a start, and its text in deltas.
+
+    By a hash of their text, a third of the messages have a draft that is discarded by a regeneration before, and a third
+    a draft that an edit replaces by the beginning of the text.
+    """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = F.sequence(F.lit(1), F.greatest(F.char_length("text"), F.lit(1)), F.lit(delta_chars))
-    deltas = F.transform(cuts, lambda a: F.struct(a.alias("part"), F.lit("delta").alias("event"), F.substring(F.col("text"), a, F.lit(delta_chars)).alias("piece")))
-    start = F.array(F.struct(F.lit(0).alias("part"), F.lit("start").alias("event"), F.lit("").alias("piece")))
     # Equal turns are told apart by role and text; equal rows stay rows by number.
     key = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), "text")
     numbered = rows.groupBy("conv_id", key.alias("key")).agg(F.count("*").alias("times")).select("conv_id", "key.*", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
-    message = F.struct("turn", "role", F.sha2("text", 256).alias("text_sha256"), "copy")
-    each = numbered.select("conv_id", message.alias("message_id"), "role", F.coalesce("turn", F.lit(-1)).alias("turn"), F.explode(F.concat(start, deltas)).alias("e"))
-    return each.select("conv_id", "message_id", F.struct("turn", "e.part").alias("seq"), "e.event", "role", F.col("e.piece").alias("text"))
+    way = F.pmod(F.xxhash64("text"), F.lit(3))
+    event = lambda part, name, text: F.struct(F.lit(part).alias("part"), F.lit(name).alias("event"), text.alias("piece"))
+    draft = F.array(event(0, "start", F.lit("")), event(1, "delta", F.concat(F.lit("draft: "), F.reverse("role"))))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{delta_chars}}}"), F.lit(0))
+    # The first piece is what an edit brings; of an empty text it is empty.
+    told = F.when(F.size(pieces) == 0, F.array(F.lit(""))).otherwise(pieces)
+    deltas = F.transform(told, lambda x, i: F.struct((i + 3).alias("part"), F.when((i == 0) & (way == 2), F.lit("edit")).otherwise(F.lit("delta")).alias("event"), x.alias("piece")))
+    log = F.when(way == 0, F.concat(F.array(event(0, "start", F.lit(""))), deltas)).when(way == 1, F.concat(draft, F.array(event(2, "regenerate", F.lit(""))), deltas)).otherwise(F.concat(draft, deltas))
+    message = F.struct("turn", F.sha2("role", 256).alias("role_sha256"), F.sha2("text", 256).alias("text_sha256"), "copy")
+    each = numbered.select("conv_id", message.alias("message_id"), "role", F.coalesce("turn", F.lit(-1)).alias("turn"), F.explode(log).alias("e"))
+    return each.select("conv_id", "message_id", F.struct("turn", "e.part").alias("seq"), "e.event", F.when(F.col("e.event") == "start", F.col("role")).alias("role"), F.col("e.piece").alias("text"))

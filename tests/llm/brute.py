@@ -144,7 +144,25 @@ def conversations(rows):
         turns[conv].append((-1 if turn is None else turn, role or "", text or ""))
     out = []
     for conv, own in turns.items():
-        own.sort(key=lambda t: (t[0], t[1], sha(t[2])))
+        own.sort(key=lambda t: (t[0], sha(t[1]), sha(t[2])))
         loss = "".join(t for _, r, t in own if r == "assistant")
         out.append((conv, len(own), sha("".join(f"{r}\n{t}\n" for _, r, t in own)), len(loss), sha(loss)))
     return out
+
+
+def mix_targets(docs, weights=(1, 2, 3), most=3):
+    """doc_id, size, source_size and target of each (doc_id, text, source)."""
+    size = lambda t: len(re.findall(SPACED, t or ""))
+    words = collections.Counter()
+    for _, text, source in docs:
+        words[source] += size(text)
+    ordered = sorted((s for s in words if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in words)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(ordered)}
+    full = set()
+    while True:
+        left, share = sum(words.values()) - sum(most * words[s] for s in full), sum(weight[s] for s in ordered if s not in full)
+        target = {s: most * words[s] if s in full else left * weight[s] / share for s in ordered}
+        over = {s for s in ordered if s not in full and target[s] > most * words[s]}
+        if not over:
+            return [(d, size(t), words[s], round(float(target[s]), 6)) for d, t, s in docs]
+        full |= over
