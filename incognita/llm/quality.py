@@ -5,8 +5,10 @@ English, German, French and Spanish, and one place for all others). The same his
 language are that language's reference. A document whose Jensen-Shannon distance from its language's reference exceeds
 a threshold, in either histogram, is rejected; each histogram is judged only on documents long enough for it.
 
-Defined cases: null and empty texts have no words and fail the base rule. Null languages share one reference. Repeated
-rows are counted and returned each. Columns other than doc_id, text and lang are not read.
+Defined cases: null and empty texts have no words and fail the base rule; a language of which no text has a character has
+no reference, and no distance from it. Null languages share one reference. A distance equal to its limit is kept. Very long
+texts are read whole, one at a time. Repeated rows are counted and returned each. Columns other than doc_id, text and lang
+are not read.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ COMMON = {
 WORDS = sorted({w for words in COMMON.values() for w in words.split()})
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other", "beyond")
+WIDTH = len(CLASSES) + len(WORDS) + 1
 
 _class = np.full(256, 6, dtype=np.uint8)
 _class[ord("a") : ord("z") + 1] = 0
@@ -50,8 +52,9 @@ _keys = _keys[_order]
 
 
 def class_histograms(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    kinds = _class[data]
-    return np.array([np.bincount(kinds[a:b], minlength=9)[:8] for a, b in zip(offsets[:-1], offsets[1:])], dtype=np.int64).reshape(-1, 8)
+    texts = len(offsets) - 1
+    place = np.repeat(np.arange(texts) * 9, np.diff(offsets)) + _class[data]
+    return np.bincount(place, minlength=9 * texts).reshape(-1, 9)[:, :8]
 
 
 def word_histograms(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -131,20 +134,33 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str | None, np.ndarray] = {}
     for batch, data, offsets in ta.pieces(batches, "text"):
         both = np.hstack((class_histograms(data, offsets), word_histograms(data, offsets)))
-        langs = batch.column("lang").to_numpy(zero_copy_only=False)
-        for lang in pd.unique(langs):
-            own = np.array([x is None for x in langs]) if lang is None else langs == lang
-            sums[lang] = sums.get(lang, 0) + both[own].sum(axis=0)
+        langs = batch.column("lang").dictionary_encode(null_encoding="encode")
+        place = langs.indices.to_numpy()
+        for i, lang in enumerate(langs.dictionary.to_pylist()):
+            sums[lang] = sums.get(lang, 0) + both[place == i].sum(axis=0)
     rows = [(lang, i, int(n)) for lang, v in sums.items() for i, n in enumerate(v) if n]
     yield pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows], pa.string()), "place": pa.array([r[1] for r in rows], pa.int32()), "n": pa.array([r[2] for r in rows], pa.int64())})
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = [np.array(x, "<i8").tobytes() for x in batch.column("reference").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(raw, pa.binary())], ["of_lang", "reference"])
+
+
 def references(docs: DataFrame) -> DataFrame:
-    """One row per language: lang, reference (class counts, then word counts) over all documents."""
-    width = len(CLASSES) + len(WORDS) + 1
+    """One row per language with a character: of_lang, reference (class counts, then word counts, as 64-bit numbers) over all documents."""
     counted = docs.select("text", "lang").mapInArrow(_summed, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
     filled = counted.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("of"))
-    return filled.select("lang", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("of", i), F.lit(0).cast("long"))).alias("reference"))
+    wide = filled.select("lang", F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.coalesce(F.element_at("of", i), F.lit(0).cast("long"))).alias("reference"))
+    return wide.mapInArrow(_packed, "of_lang string, reference binary")
+
+
+def _rows_of(packed: pa.Array) -> np.ndarray:
+    """The reference of each row; the few different ones are unpacked once. Zeros where there is none."""
+    few = packed.dictionary_encode()
+    matrix = np.frombuffer(b"".join([*few.dictionary.to_pylist(), bytes(8 * WIDTH)]), "<i8").reshape(-1, WIDTH)
+    return matrix[few.indices.fill_null(len(matrix) - 1).to_numpy()].astype(np.float64)
 
 
 def _judged(limits: dict[str, float]):
@@ -153,7 +169,7 @@ def _judged(limits: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in ta.pieces(batches, "text"):
             base = base_counts(data, offsets)
-            reference = np.array(batch.column("reference").to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
+            reference = _rows_of(batch.column("reference"))
             kinds, words = class_histograms(data, offsets), word_histograms(data, offsets)
             class_distance, word_distance = js_distance(kinds, reference[:, :k]), js_distance(words, reference[:, k:])
             odd = (kinds.sum(axis=1) >= limits["class_chars"]) & (class_distance > limits["class_distance"])
@@ -175,8 +191,8 @@ def judge_quality(docs: DataFrame, class_chars: int = 600, class_distance: float
     """Base counts, distances and verdict for each row of docs (doc_id, text, lang)."""
     session.prepare(docs.sparkSession)
     docs = session.columns(docs, "doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id").cast("long"))
-    refs = references(docs).select(F.col("lang").alias("of_lang"), "reference").checkpoint()
+    refs = references(docs).checkpoint()
     few = refs.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
-    joined = docs.join(F.broadcast(refs) if few else refs, F.col("lang").eqNullSafe(F.col("of_lang")))
+    joined = docs.join(F.broadcast(refs) if few else refs, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
     limits = {"class_chars": class_chars, "class_distance": class_distance, "word_words": word_words, "word_distance": word_distance}
     return joined.select("doc_id", "text", "reference").mapInArrow(_judged(limits), JUDGED)
