@@ -7,13 +7,15 @@ settles in the first level in which it collides with none, and the rank of its b
 fingerprints, document counts and largest doc_ids. A document's hashes then probe these arrays, a shard at a time; lines
 are never joined with lines. A key outside the index is told by its fingerprint of 64 bits.
 
-The number of shards follows the number of indexed keys, so a shard's arrays stay small. Probes of a shard that many
-lines meet are salted over tasks, each with its own copy of the small arrays, so a line that a third of all documents
-hold is probed in many tasks.
-
-Defined cases: a null or empty text is one empty line and loses nothing. Rows that repeat a doc_id count as one
-document and lose the same lines. Rows without doc_id lose nothing and are not counted. Columns other than doc_id and
-text are not read.
+The number of shards follows the number of indexed keys, so a shard's arrays stay small. A shard's probes are salted by
+document into groups of about probes_per_task, counted over all lines, indexed or not; each group meets its own copy of
+the small arrays, so a line that a third of all documents hold is probed in many tasks. Lines are hashed once and their
+hashes written.
+
+Defined cases: a null or empty text is one empty line and loses nothing. Very long texts and lines are taken whole. A line
+that stands in a document several times counts once, and all of its lines go or stay together. Rows that repeat a doc_id
+count as one document and lose the same lines. Rows without doc_id lose nothing and are not counted. Columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -151,16 +153,17 @@ def deduplicate_lines(docs: DataFrame, least_chars: int = 20, least_docs: int =
 
     A key of at least least_chars code points that at least least_docs documents hold stays in the largest doc_id only.
     """
-    session.prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    session.prepare(spark)
+    tables = session.Tables(spark, "line-dedup")
     docs = session.columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    hashed = docs.filter("doc_id is not null").mapInArrow(_hashed(least_chars), HASHES)
-    counted = hashed.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("largest")).filter("n_docs > 1").checkpoint()
-    n_keys = counted.count()
-    shards = max(1, -(-n_keys // keys_per_shard))
-    # Probes of a shard are dealt over as many tasks as the session shuffles to, or more where the indexed ones alone need it.
-    n_probes = counted.agg(F.sum("n_docs")).first()[0] or 0
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_probes // probes_per_task))
-    salts = -(-tasks // shards)
+    hashed = tables.keep(docs.filter("doc_id is not null").mapInArrow(_hashed(least_chars), HASHES), "hashes")
+    counted = hashed.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("largest"))
+    counted = tables.keep(counted.filter("n_docs > 1"), "counted")
+    shards = max(1, -(-counted.count() // keys_per_shard))
+    # A small input is dealt over as many tasks as the session shuffles to.
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-hashed.count() // probes_per_task))
+    salts = -(-groups // shards)
     shard = F.pmod(F.col("h1"), F.lit(shards)).alias("shard")
     arrays = counted.select("*", shard).groupBy("shard").applyInPandas(_built, ARRAYS).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
     probes = hashed.select("*", shard, F.pmod(F.xxhash64("doc_id", "h2"), F.lit(salts)).alias("salt"))
