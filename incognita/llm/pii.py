@@ -1,17 +1,19 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Seeds are what four plain patterns find: e-mail and IP addresses, card numbers, phone numbers. Words before tokens that
-look like identifiers (they have a digit or an at sign) are lexical patterns. Patterns and tokens form a graph, which is
+Seeds are what four plain patterns find: e-mail and IP addresses, card numbers, phone numbers. The two words before tokens
+that look like identifiers (they have a digit or an at sign), back to the one before, are lexical patterns; so is a single
+word where there is but one. Patterns and tokens form a graph, which is
 scored in rounds: a pattern's score is the mean score of the distinct tokens that follow it, provided enough of them
 are good; a token's score is 1 for a seed and else that of its best pattern. Tokens that end above the threshold are
 added, wherever a pattern above the threshold precedes them. The graph is counted over all documents, by partial sums.
 
-Positions come from splitting the text at the matches: lengths of gaps and matches are summed up in a window over one
-text's matches. All positions are code points. Patterns begin only where a run of their characters begins, or where the
-last match ended, so a long run without a match costs one pass.
+Positions come from splitting the text at the matches: gaps and matches are read side by side, and their lengths summed up
+in a window over one text's matches. All positions are code points. Patterns begin only where a run of their characters
+begins, or where the last match ended, so a long run without a match costs one pass, and time grows with the length of a
+text also where it has very many matches.
 
-Defined cases: null and empty texts have no spans. Rows that repeat a doc_id are each returned; equal rows have equal
-spans. A row without doc_id is treated like any other. An empty table gives an empty result. Columns other than doc_id
+Defined cases: null and empty texts have no spans. Very long texts are read whole. Spans with one start are ordered by kind,
+then by end. Rows that repeat a doc_id are each returned; equal rows have equal spans. A row without doc_id is treated like any other. An empty table gives an empty result. Columns other than doc_id
 and text are not read.
 """
 
@@ -34,8 +36,6 @@ PATTERNS = {
 }
 _SPACE = " \\t\\n\\x0B\\f\\r"
 TOKEN = f"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
-_BEFORE = f"([^{_SPACE}]+)[{_SPACE}]+([^{_SPACE}]+)[{_SPACE}]+$"
-CONTEXT_CHARS = 80
 
 
 def digits(value: Column) -> Column:
@@ -52,17 +52,23 @@ def valid(kind: str, value: Column) -> Column:
     return (n.between(12, 19) & F.call_function("luhn_check", digits(value))) if kind == "card" else n.between(9, 15)
 
 
+def _last_words(gap: Column) -> Column:
+    """The last two words of a gap between tokens, in small letters; a single one where it has but one."""
+    spaced = F.rtrim(F.translate(gap, "\t\n\x0b\f\r", "     "))
+    last = F.substring_index(spaced, " ", -1)
+    rest = F.rtrim(F.substring(spaced, F.lit(1), F.char_length(spaced) - F.char_length(last)))
+    return F.lower(F.trim(F.concat_ws(" ", F.substring_index(rest, " ", -1), last)))
+
+
 def _pieces(text: Column, pattern: str, when: Column, context: bool = False) -> Column:
-    """The matches, each with the length of the gap before it, and the last two words of that gap if asked for."""
+    """The matches, each with the length of the gap before it, and the last words of that gap if asked for."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
 
-    def piece(value: Column, i: Column) -> Column:
-        gap = F.get(gaps, i)
-        tail = F.substring(gap, -CONTEXT_CHARS, CONTEXT_CHARS)
-        before = F.lower(F.concat_ws(" ", F.regexp_extract(tail, _BEFORE, 1), F.regexp_extract(tail, _BEFORE, 2))) if context else F.lit("")
-        return F.struct(F.char_length(gap).alias("gap"), value.alias("value"), F.trim(before).alias("before"))
+    def piece(value: Column, gap: Column) -> Column:
+        return F.struct(F.char_length(gap).alias("gap"), value.alias("value"), (_last_words(gap) if context else F.lit("")).alias("before"))
 
-    return F.when(when, F.transform(found, piece))
+    # The last gap has no match behind it.
+    return F.when(when, F.filter(F.zip_with(found, gaps, piece), lambda p: p["value"].isNotNull()))
 
 
 def matches(docs: DataFrame) -> DataFrame:
@@ -122,15 +128,19 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, threshold: float = 0.9,
     # Closing punctuation behind a token is not part of it.
     trimmed = F.char_length(F.col("value")) - F.char_length(F.regexp_replace("value", "[.,;:!?)\\]\"']+$", ""))
     added = added.select("doc_id", "version", F.lit(FOUND).alias("kind"), "start", (F.col("end") - trimmed).alias("end"))
+    # No base span is lost to an added one: an added one that overlaps a base span is dropped. It does if of the base
+    # spans that begin before its end one ends behind its start.
+    is_base = F.col("kind") != FOUND
+    placed = base.union(added).withColumn("at", F.when(is_base, F.col("start")).otherwise(F.col("end")))
+    own = Window.partitionBy("doc_id", "version").orderBy("at", is_base.cast("int")).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max(F.when(is_base, F.col("end"))).over(own), F.lit(0))
+    clear = placed.withColumn("reach", reach).filter(is_base | (F.col("reach") <= F.col("start")))
     rank = F.array_position(F.array(*map(F.lit, (*BASE_KINDS, FOUND))), F.col("kind")).cast("int")
-    spans = base.union(added).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans"))
+    spans = clear.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("s_doc"), F.col("version").alias("s_version"), "spans")
     rows = docs.select("doc_id", F.xxhash64("text").alias("version"))
     joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("version") == F.col("s_version")), "left")
-    # No base span is lost to an added one: an added one that overlaps a base span is dropped.
-    kept = F.filter("spans", lambda s: (s["kind"] != FOUND) | ~F.exists(F.col("spans"), lambda b: (b["kind"] != FOUND) & (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    kept = F.when(F.exists("spans", lambda s: s["kind"] == FOUND), kept).otherwise(F.col("spans"))
-    return joined.select("doc_id", F.coalesce(kept, F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")).alias("spans"))
+    return joined.select("doc_id", F.coalesce("spans", F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")).alias("spans"))
 
 
 def number_of(kind: str) -> Column:
