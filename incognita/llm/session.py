@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The most text in one Arrow batch: tasks hold a few batches outside the heap.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 _BATCH_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -61,7 +61,7 @@ class Tables:
         self.spark, self.folder = spark, f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.folder}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, *names: str) -> None:
