@@ -59,8 +59,9 @@ def test_fit_is_near_and_within_budget():
         assert (picked <= counts).all() and (picked >= 0).all() and (picked * lengths).sum() == budget
 
 
-def test_targets_share_the_excess():
-    found = mixing.targets([("a", 10), ("b", 1000), (None, 0), ("Ω", 1)], (1, 2, 3))
+def test_targets_share_the_excess(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 0), ("Ω", 1)], "source string, words long").repartition(3)
+    found = {r.source: r.target for r in mixing.targets(sizes, (1, 2, 3)).collect()}
     assert found[None] == 0 and found["a"] == 30 and found["Ω"] == 3 and abs(sum(found.values()) - 1011) < 1e-9
 
 
