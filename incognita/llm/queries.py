@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incognita.llm import chat, session, toxicity
+from incognita.llm import chat, oracles, session, toxicity
 from incognita.llm import pii as personal
 from incognita.llm.decontamination import contaminated, decontaminate
 from incognita.llm.line_dedup import deduplicate_lines
@@ -29,7 +29,8 @@ def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.find_personal_data(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != personal.FOUND)
     counts = [personal.number_of(k).alias(f"n_{k}") for k in personal.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(personal.written(base), 256).alias("base_sha256"), personal.written(F.col("spans")).alias("spans"))
+    every = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(personal.written(base), 256).alias("base_sha256"), personal.written(F.col("spans")).alias("spans"), every)
 
 
 def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,8 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     awkward = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", awkward), (-7, 1, "assistant", awkward)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select(*extra.columns).union(extra)
-    formatted = chat.render(chat.fold_events(chat.conversation_events(rows)))
+    session.prepare(spark)
+    formatted = session.Tables(spark, "chat").keep(chat.render(chat.fold_events(chat.conversation_events(rows))), "formatted")
     read = chat.read_back(formatted)
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
@@ -71,7 +73,8 @@ def op7_ranked_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_quality(_table(spark, sf_dir, "documents"))
+    judged = judge_quality(_table(spark, sf_dir, "documents"))
+    return judged.select(*[F.round(c, 6).alias(c) if c.endswith("distance") else c for c in judged.columns])
 
 
 def op9_perfect_hash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,12 +86,21 @@ def op10_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).drop("source", "row_key")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10 gives but for the picks, which SQL can't make."""
+    return op10_subset_sum_mixing(spark, sf_dir).drop("taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bootstrapped_pii, op2_counterfactual_toxicity, op3_minhash_near_dedup, op4_winnowing_decontamination, op5_warc_segments,
-        op6_chat_formatting, op7_ranked_token_ids, op8_divergence_quality, op9_perfect_hash_line_dedup, op10_subset_sum_mixing,
+        op6_chat_formatting, op7_ranked_token_ids, op8_divergence_quality, op9_perfect_hash_line_dedup, op10_subset_sum_mixing, mixing_targets,
     )
 }
 
-ORACLES: dict[str, str] = {}
+#: SQL can express neither a classifier, nor a tokenizer, nor spans that patterns learned from the texts add; for op10, all but the picks.
+ORACLES: dict[str, str] = {
+    "op3_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op4_winnowing_decontamination": oracles.DECONTAMINATION, "op5_warc_segments": oracles.ARCHIVES,
+    "op6_chat_formatting": oracles.CONVERSATIONS, "op8_divergence_quality": oracles.QUALITY, "op9_perfect_hash_line_dedup": oracles.LINES, "mixing_targets": oracles.MIX_TARGETS,
+}
