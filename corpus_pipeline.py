@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from incognita.llm import session, toxicity
@@ -26,10 +26,22 @@ def _with_row(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.struct("*").alias("row"))
 
 
+def _carried(docs: DataFrame) -> tuple[DataFrame, list[str], list[Column]]:
+    """docs with its other columns under names that clash with none, these names, and what gives the columns of docs again.
+
+    So a text goes through Python once, and not once more as part of its row.
+    """
+    others = {c: f"_carried_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    named = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in others.items()])
+    return named, list(others.values()), [F.col(others.get(c, c)).alias(c) for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below one half; the model sees the labels that op2 learns from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels.filter(~toxicity.held_out()))
-    return toxicity.score(_with_row(docs), model).filter("score < 0.5").select("row.*")
+    named, _, back = _carried(docs)
+    return toxicity.score(named, model).filter("score < 0.5").select(back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +56,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scanned = decontaminate(_with_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=("row",))
-    return contaminated(scanned).filter("not contaminated").select("row.*")
+    """Documents of which less than a twentieth of the words stands in benchmark windows."""
+    named, others, back = _carried(docs)
+    scanned = decontaminate(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=("text", *others))
+    return contaminated(scanned).filter("not contaminated").select(back)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +74,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's ids begin in the files, how many they are, and their checksum."""
     return token_ids(docs, TOKENIZER)
 
 
@@ -71,7 +86,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("token-id output", write_token_ids),
 ]
 
-#: SQL can express neither the classifier, nor components, nor the tokenizer; tests compare with brute force.
+#: SQL can express neither the classifier nor the tokenizer; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL: str | None = None
 
 
