@@ -26,11 +26,9 @@ def all_digits(value: Column, n: int) -> Column:
 
 def weighted(value: Column, weights: tuple[int, ...]) -> Column:
     """The sum of the first digits times their weights; null where a digit is missing."""
-    terms = [F.try_to_number(F.substring(value, i + 1, 1), F.lit("9")).cast("int") * w for i, w in enumerate(weights)]
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return total
+    chars = F.split(F.substring(value, 1, len(weights)), "")
+    terms = F.zip_with(chars, F.array(*map(F.lit, weights)), lambda c, w: F.try_to_number(c, F.lit("9")).cast("int") * w)
+    return F.aggregate(terms, F.lit(0), lambda total, term: total + term)
 
 
 def kz_check_digit(body: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ SPAN = "array<struct<start:int,end:int,value:string>>"
 _DOUBLE_SUFFIX = ("com", "org", "net", "gov", "edu", "co")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once, however often body names it, also within lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold_yo(value: Column) -> Column:
     """ё is written е as often as not."""
     return F.translate(value, "ёЁ", "еЕ")
@@ -40,9 +47,10 @@ def registrable_domain(host: Column) -> Column:
 
 
 def match_spans(text: Column, pattern: str) -> Column:
-    """start, end and value of each match of a pattern in a short text: gaps and matches summed up from the left."""
+    """start, end and value of each match of a pattern in a short text: gaps and matches, side by side, summed up from the left."""
     gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    pairs = F.transform(values, lambda v, i: F.struct(F.char_length(F.get(gaps, i)).alias("gap"), v.alias("value")))
+    # The last gap has no match behind it.
+    pairs = F.filter(F.zip_with(values, gaps, lambda v, g: F.struct(F.char_length(g).alias("gap"), v.alias("value"))), lambda p: p["value"].isNotNull())
     nothing = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def add(acc: Column, p: Column) -> Column:
@@ -67,7 +75,7 @@ def shadow_caps(text: Column) -> Column:
     pattern = f"(?U)\\b[{UPPER}]{{2,}}(?:-[{UPPER}]{{2,}})?\\b"
     gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
     titled = F.transform(values, lambda v: F.array_join(F.transform(F.split(v, "-"), lambda part: F.initcap(part)), "-"))
-    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(titled, i), F.lit("")))), "")
+    return F.array_join(F.zip_with(gaps, titled, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
 
 
 def _by_letter(value: Column) -> Column:
@@ -123,11 +131,17 @@ def splice(text: Column, spans: Column) -> Column:
     return F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text)))
 
 
-def keep_disjoint(spans: Column, kind: str) -> Column:
-    """Of ordered spans, each that overlaps none kept before it; kind is the array's type."""
+def keep_disjoint(spans: Column, kind: str, by_place: bool = False) -> Column:
+    """Of ordered spans, each that overlaps none kept before it; kind is the array's type.
+
+    Of spans that are ordered by place (and are not empty), only the last one kept can reach into the next.
+    """
 
     def add(acc: Column, s: Column) -> Column:
-        clash = F.exists(acc, lambda k: (s["start"] < k["end"]) & (k["start"] < s["end"]))
+        if by_place:
+            clash = F.coalesce(s["start"] < F.try_element_at(acc, F.lit(-1))["end"], F.lit(False))
+        else:
+            clash = F.exists(acc, lambda k: (s["start"] < k["end"]) & (k["start"] < s["end"]))
         return F.when(clash, acc).otherwise(F.concat(acc, F.array(s)))
 
     return F.aggregate(spans, F.array().cast(kind), add)

@@ -47,12 +47,12 @@ def new_keys(candidates: DataFrame, stoplist: DataFrame | None = None) -> DataFr
     return keys
 
 
-def extend_mapping(fragments: DataFrame, mapping: DataFrame, secret: str, stoplist: DataFrame | None = None) -> DataFrame:
-    """mapping with stand-ins for all numbers, addresses and domains of fragments.
+def extend_mapping(candidates: DataFrame, mapping: DataFrame, secret: str, stoplist: DataFrame | None = None) -> DataFrame:
+    """mapping with stand-ins for all numbers, addresses and domains among candidates, as detect_numbers gives them.
 
     Addresses are given stand-ins after domains: the part behind the at sign is the domain's stand-in.
     """
-    keys = new_keys(detect_numbers(fragments), stoplist).checkpoint()
+    keys = new_keys(candidates, stoplist).checkpoint()
     others = mapping.unionByName(assign(keys.filter("typ <> 'email'"), mapping, secret))
     emails = assign(keys.filter("typ = 'email'"), mapping, secret)
     host = F.substring_index("key", "@", -1)
@@ -88,29 +88,37 @@ def looked_up(candidates: DataFrame, mapping: DataFrame, restore: bool) -> DataF
 
 
 def form_spans(fragments: DataFrame, forms: DataFrame) -> DataFrame:
-    """Spans of token sequences in fragments that forms (first, key, dst, need_quotes) has.
+    """Spans of token sequences in fragments that forms (key, dst, need_quotes) has.
 
     From the left, the longest form at each place is taken and the search goes on behind it. Forms are found by an
-    equi-join on their first token.
+    equi-join with all runs of tokens that are as long as some form; rows of that join hold no text, and only fragments
+    with a hit meet their text again.
     """
-    toks = fragments.select("doc_id", "frag_id", "text", tx.tokens(F.col("text")).alias("toks")).withColumn("names", F.transform("toks", lambda t: tx.fold_yo(t["value"])))
-    at = toks.select("*", F.posexplode("names").alias("i", "first"))
-    met = at.join(forms.select("first", "key", "dst", "need_quotes"), "first")
-    n = F.size("key")
-    same = F.slice("names", F.col("i") + 1, n) == F.col("key")
-    left, right = F.get("names", F.col("i") - 1), F.get("names", F.col("i") + n)
-    quoted = F.coalesce(left.rlike(f"^[{tx.OPENING}]$") & right.rlike(f"^[{tx.CLOSING}]$"), F.lit(False))
-    start, end = F.get("toks", F.col("i"))["start"], F.get("toks", F.col("i") + n - 1)["end"]
-    inner = F.slice("toks", F.col("i") + 1, n)
-    gaps = F.transform(F.slice(inner, 1, n - 1), lambda t, k: F.substring(F.col("text"), t["end"] + 1, F.get(inner, k + 1)["start"] - t["end"]))
-    blank = F.forall(gaps, lambda g: g.rlike("^\\s*$"))
-    # As many tokens: the source's gaps are kept; else single spaces.
-    joined = F.array_join(F.transform("dst", lambda d, k: F.concat(F.when(k == 0, "").otherwise(F.get(gaps, k - 1)), d)), "")
-    new = F.when(F.size("dst") == n, joined).otherwise(F.array_join("dst", " "))
-    hits = met.filter(same & (~F.col("need_quotes") | quoted)).filter(blank).select("doc_id", "frag_id", "i", n.alias("n"), start.alias("start"), end.alias("end"), F.substring(F.col("text"), start + 1, end - start).alias("old"), new.alias("new"))
-    longest = hits.groupBy("doc_id", "frag_id", "i").agg(F.max_by(F.struct("n", "start", "end", "old", "new"), "n").alias("h"))
-    rows = longest.groupBy("doc_id", "frag_id").agg(F.array_sort(F.collect_list(F.struct("h.start", "h.end", "h.old", "h.new"))).alias("spans"))
-    kept = tx.keep_disjoint(F.col("spans"), "array<struct<start:int,end:int,old:string,new:string>>")
+    between = "\x1f"
+    lengths = F.broadcast(forms.agg(F.collect_set(F.size("key")).alias("lengths")))
+    named = fragments.select("doc_id", "frag_id", F.transform(tx.words(F.col("text")), tx.fold_yo).alias("names")).filter(F.size("names") > 0).crossJoin(lengths)
+    run = lambda n: F.transform(F.sequence(F.lit(0), F.size("names") - n), lambda i: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice("names", i + 1, n), between).alias("key")))
+    runs = named.select("doc_id", "frag_id", F.explode(F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.size("names")), run))).alias("r")).select("doc_id", "frag_id", "r.*")
+    met = runs.join(forms.select(F.array_join("key", between).alias("key"), "dst", "need_quotes"), "key")
+    hits = met.groupBy(F.col("doc_id").alias("h_doc"), F.col("frag_id").alias("h_frag")).agg(F.collect_list(F.struct("i", "n", "dst", "need_quotes")).alias("hits"))
+    rows = fragments.join(hits, F.col("doc_id").eqNullSafe(F.col("h_doc")) & (F.col("frag_id") == F.col("h_frag"))).select("doc_id", "frag_id", "text", tx.tokens(F.col("text")).alias("toks"), "hits")
+
+    def span(h: Column) -> Column:
+        own, text = F.slice("toks", h["i"] + 1, h["n"]), F.col("text")
+        left, right = F.get("toks", h["i"] - 1)["value"], F.get("toks", h["i"] + h["n"])["value"]
+        quoted = F.coalesce(left.rlike(f"^[{tx.OPENING}]$") & right.rlike(f"^[{tx.CLOSING}]$"), F.lit(False))
+        after = F.slice("toks", h["i"] + 2, h["n"] - 1)
+        gaps = F.zip_with(F.slice(own, F.lit(1), h["n"] - 1), after, lambda t, u: F.substring(text, t["end"] + 1, u["start"] - t["end"]))
+        ok = (~h["need_quotes"] | quoted) & F.forall(gaps, lambda g: g.rlike("^\\s*$"))
+        # As many tokens: the source's gaps are kept; else single spaces.
+        joined = F.array_join(F.zip_with(h["dst"], F.concat(F.array(F.lit("")), gaps), lambda d, g: F.concat(g, d)), "")
+        new = F.when(F.size(h["dst"]) == h["n"], joined).otherwise(F.array_join(h["dst"], " "))
+        start, end = F.get("toks", h["i"])["start"], F.get("toks", h["i"] + h["n"] - 1)["end"]
+        return F.struct(ok.alias("ok"), start.alias("start"), end.alias("end"), F.substring(text, start + 1, end - start).alias("old"), new.alias("new"))
+
+    order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).when(a["new"] < b["new"], -1).otherwise(1)
+    found = F.array_sort(F.filter(F.transform("hits", span), lambda s: s["ok"]), order)
+    kept = tx.keep_disjoint(found, "array<struct<ok:boolean,start:int,end:int,old:string,new:string>>", by_place=True)
     each = rows.select("doc_id", "frag_id", F.explode(kept).alias("s"))
     return each.select("doc_id", "frag_id", F.lit(PRIORITY.index("form")).alias("prio"), "s.start", "s.end", F.lit("form").alias("typ"), "s.old", "s.new").filter("new <> old")
 
@@ -138,9 +146,9 @@ def resolve(spans: DataFrame) -> DataFrame:
     return ordered.select("doc_id", "frag_id", F.array_sort(kept, by_place).alias("spans"))
 
 
-def replace(fragments: DataFrame, mapping: DataFrame, restore: bool = False, forms: DataFrame | None = None, exact: DataFrame | None = None) -> DataFrame:
-    """fragments with new_text and spans. Blank and null texts stay as they are."""
-    spans = looked_up(detect_numbers(fragments), mapping, restore)
+def replace(fragments: DataFrame, mapping: DataFrame, restore: bool = False, forms: DataFrame | None = None, exact: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """fragments with new_text and spans. Blank and null texts stay as they are. candidates: what detect_numbers has found in them, if at hand."""
+    spans = looked_up(detect_numbers(fragments) if candidates is None else candidates, mapping, restore)
     direction = "rev" if restore else "fwd"
     if forms is not None:
         spans = spans.unionByName(form_spans(fragments, forms.filter(F.col("direction") == direction)))

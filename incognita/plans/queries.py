@@ -7,6 +7,7 @@ query, and the SQL states the count that must come out.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,9 +56,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _prepare(spark: SparkSession) -> None:
     """A checkpoint folder where the cluster names none (the library's jobs cut long lineages)."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="incognita-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="incognita-"))
 
 
 def _no_mapping(spark: SparkSession) -> DataFrame:
@@ -67,13 +69,19 @@ def _no_mapping(spark: SparkSession) -> DataFrame:
 def roundtrip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses and cards of documents: how many, and whether replacing and restoring gives the text back."""
     _prepare(spark)
-    docs = _documents(spark, sf_dir)
-    mapping = extend_mapping(docs, _no_mapping(spark), SECRET).checkpoint()
-    done = replace(docs, mapping).select("doc_id", "frag_id", "text", "hint", "new_text", "spans").checkpoint()
-    back = replace(done.select("doc_id", "frag_id", F.col("new_text").alias("text"), "hint"), mapping, restore=True)
-    count = lambda kind: F.size(F.filter("spans", lambda s: s["typ"] == kind)).cast("long")
-    told = done.select("doc_id", count("email").alias("n_email"), count("card").alias("n_card"), F.col("text").alias("was"))
-    return told.join(back.select("doc_id", F.col("new_text").alias("now")), "doc_id").select("doc_id", "n_email", "n_card", F.col("was").eqNullSafe(F.col("now")).alias("roundtrip_ok"))
+    lines = F.posexplode_outer(F.split("text", "\n")).alias("frag_id", "text")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", lines).select("doc_id", F.coalesce("frag_id", F.lit(0)).alias("frag_id"), "text", F.lit(None).cast("string").alias("hint"))
+    found = detect_numbers(docs).checkpoint()
+    mapping = extend_mapping(found, _no_mapping(spark), SECRET).checkpoint()
+    done = replace(docs, mapping, candidates=found).select("doc_id", "frag_id", "text", "hint", "new_text", "spans").checkpoint()
+    # Lines that did not change are their own copies.
+    changed = done.filter(F.size("spans") > 0)
+    back = replace(changed.select("doc_id", "frag_id", F.col("new_text").alias("text"), "hint"), mapping, restore=True)
+    wrong = changed.select("doc_id", "frag_id", "text").join(back.select("doc_id", "frag_id", F.col("new_text").alias("now")), ["doc_id", "frag_id"]).filter(~F.col("text").eqNullSafe(F.col("now")))
+    wrong = wrong.groupBy("doc_id").agg(F.count("*").alias("wrong"))
+    count = lambda kind: F.sum(F.size(F.filter("spans", lambda s: s["typ"] == kind))).cast("long")
+    told = done.groupBy("doc_id").agg(count("email").alias("n_email"), count("card").alias("n_card"))
+    return told.join(wrong, "doc_id", "left").select("doc_id", "n_email", "n_card", F.col("wrong").isNull().alias("roundtrip_ok"))
 
 
 _DOUBLED = "regexp_replace(text, '([^0-9])', '\\1\\1', 'g')"
@@ -244,7 +252,7 @@ O_ORGS = "SELECT 'ромашка' || CAST(c_custkey % 50 AS VARCHAR) AS key, cou
 def stand_ins_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each type: keys, distinct stand-ins, stand-ins that are real values, and stand-ins that are not valid."""
     _prepare(spark)
-    mapping = extend_mapping(fragments(spark, sf_dir), _no_mapping(spark), SECRET).checkpoint()
+    mapping = extend_mapping(detect_numbers(fragments(spark, sf_dir)), _no_mapping(spark), SECRET).checkpoint()
     fake, key, typ = F.col("fake"), F.col("key"), F.col("typ")
     keeps = F.when(typ.isin("card", "bin"), 6).when(typ == "acc20", 5).when(typ == "phone", 3).when(typ.isin("inn", "rekv"), 2).otherwise(0)
     shape = F.char_length(fake) == F.char_length(key)
@@ -263,21 +271,22 @@ def stand_ins_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 O_STAND_INS = f"SELECT typ, count(DISTINCT key) AS keys, count(DISTINCT key) AS fakes, 0 AS real_values, 0 AS unsound FROM (SELECT typ, key FROM ({O_FRAGMENTS}) WHERE key <> 'info@gmail.com' UNION ALL SELECT 'domain', 'firma' || CAST(c_custkey % 20 AS VARCHAR) || '.kz' FROM customer) GROUP BY typ"
 
 
-def replaced_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     _prepare(spark)
     rows = fragments(spark, sf_dir)
-    mapping = extend_mapping(rows, _no_mapping(spark), SECRET).checkpoint()
-    return by_type(replace(rows, mapping))
+    found = detect_numbers(rows).checkpoint()
+    return replace(rows, extend_mapping(found, _no_mapping(spark), SECRET).checkpoint(), candidates=found)
+
+
+def replaced_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_type(_replaced(spark, sf_dir))
 
 
 O_BY_TYPE = f"SELECT typ, count(*) AS times FROM ({O_FRAGMENTS}) WHERE key <> 'info@gmail.com' GROUP BY ROLLUP (typ)"
 
 
 def most_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _prepare(spark)
-    rows = fragments(spark, sf_dir)
-    mapping = extend_mapping(rows, _no_mapping(spark), SECRET).checkpoint()
-    return statistics(replace(rows, mapping)).groupBy("typ", "before").agg(F.sum("times").alias("times"), F.count_distinct("after").cast("long").alias("afters"))
+    return statistics(_replaced(spark, sf_dir)).groupBy("typ", "before").agg(F.sum("times").alias("times"), F.count_distinct("after").cast("long").alias("afters"))
 
 
 O_MOST = f"WITH f AS ({DERIVED}), s AS ({O_FRAGMENTS}) SELECT s.typ, substr(f.text, CAST(span_start AS INT) + 1, CAST(span_end - span_start AS INT)) AS before, count(*) AS times, 1 AS afters FROM s JOIN f ON s.doc_id = f.doc_id AND s.frag_id = f.frag_id WHERE key <> 'info@gmail.com' GROUP BY ALL"
@@ -286,8 +295,9 @@ O_MOST = f"WITH f AS ({DERIVED}), s AS ({O_FRAGMENTS}) SELECT s.typ, substr(f.te
 def _full_cycle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, jobs.Knowledge, DataFrame]:
     _prepare(spark)
     rows = fragments(spark, sf_dir).select("doc_id", "frag_id", "text", "hint")
-    known = jobs.learn(rows, _no_mapping(spark), SECRET)
-    return rows, known, jobs.obfuscate(rows, known).checkpoint()
+    found = detect_numbers(rows).checkpoint()
+    known = jobs.learn(rows, _no_mapping(spark), SECRET, candidates=found)
+    return rows, known, jobs.obfuscate(rows, known, found).checkpoint()
 
 
 def full_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,7 +386,7 @@ O_RUNS = "SELECT n_nationkey, 'Поставщик ' || n_name || '|| № ' || CA
 
 def exported_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     _prepare(spark)
-    mapping = extend_mapping(fragments(spark, sf_dir), _no_mapping(spark), SECRET)
+    mapping = extend_mapping(detect_numbers(fragments(spark, sf_dir)), _no_mapping(spark), SECRET)
     return export_rows(mapping).select("typ", "real")
 
 
@@ -385,9 +395,10 @@ O_EXPORTED = f"SELECT DISTINCT typ, key AS real FROM ({O_FRAGMENTS}) WHERE key <
 
 def person_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best reading of some mentions."""
+    _prepare(spark)
     rows = spark.createDataFrame([(k,) for k in _READINGS], "mention string")
     read = names.readings(names.parsed(rows))
-    best = read.groupBy("mention").agg(F.max_by(F.struct("sur", "gender", "name", "patr", "init_n", "init_p"), "score").alias("r"))
+    best = read.groupBy("mention").agg(F.max_by(F.struct("sur", "gender", "name", "patr", "init_n", "init_p"), F.struct("score", "gender", "sur")).alias("r"))
     return best.select("mention", F.concat_ws(" ", "r.sur", "r.gender", "r.name", "r.patr", "r.init_n", "r.init_p").alias("reading"))
 
 
