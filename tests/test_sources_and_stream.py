@@ -5,7 +5,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from incognita.operators.replace import MAPPING, replace
+from incognita.operators.replace import MAPPING
+from incognita.plans import jobs
 from incognita.sources import files
 from incognita.streaming import incremental
 
@@ -55,18 +56,37 @@ def test_numbers_in_cells(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = [(i, 0, f"тел. +7 (701) 123-45-{i % 7:02d}, user{i % 5}@firma.kz", None) for i in range(40)]
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
+    rows = [(i, 0, f"тел. +7 (701) 123-45-{i % 7:02d}, user{i % 5}@firma.kz, ТОО «Ромашка{i % 3}»", None) for i in range(20)]
     frame = spark.createDataFrame(rows, "doc_id long, frag_id long, text string, hint string")
-    source, mapping, out = f"{tmp_path}/source", f"{tmp_path}/mapping", f"{tmp_path}/out"
-    frame.repartition(4).write.parquet(source)
-    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    incremental.start(stream, mapping, out, f"{tmp_path}/checkpoint", "k").awaitTermination(300)
-    known = incremental.read_mapping(spark, mapping)
-    assert known.groupBy("family", "key").count().filter("count > 1").isEmpty() and known.groupBy("family", "fake").count().filter("count > 1").isEmpty()
+    source, state, out = f"{tmp_path}/source", f"{tmp_path}/state", f"{tmp_path}/out"
+    frame.repartition(2).write.parquet(source)
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    incremental.start(stream, state, out, f"{tmp_path}/checkpoint", "k").awaitTermination(600)
+    mapping = incremental.read_mapping(spark, state).checkpoint()
+    assert mapping.groupBy("family", "key").count().filter("count > 1").isEmpty() and mapping.groupBy("family", "fake").count().filter("count > 1").isEmpty()
     streamed = sorted(tuple(r) for r in spark.read.parquet(out).select("doc_id", "text").collect())
-    whole = sorted(tuple(r) for r in replace(frame, known).select("doc_id", F.col("new_text").alias("text")).collect())
-    assert streamed == whole and not any("+7 (701) 123" in t for _, t in streamed)
-    assert set(known.columns) == {c.split()[0] for c in MAPPING.split(", ")}
+    known = jobs.learn(frame, mapping, "k", people=incremental.read_people(spark, state))
+    whole = sorted(tuple(r) for r in jobs.obfuscate(frame, known).select("doc_id", F.col("new_text").alias("text")).collect())
+    assert streamed == whole and not any("+7 (701) 123" in t or "Ромашка" in t for _, t in streamed)
+    assert known.mapping.count() == mapping.count() and set(mapping.columns) == {c.split()[0] for c in MAPPING.split(", ")}
+
+
+def test_stream_learns_people_and_tells_what_to_redo(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
+    kind = "doc_id long, frag_id long, text string, hint string"
+    batches = [[(1, 0, "Звоните Иванову завтра", None), (2, 0, "ничего", None)], [(3, 0, "Принят Иванов Сергей Петрович.", None)], [(4, 0, "Передано Иванову С.П.", None)]]
+    state, out = f"{tmp_path}/state", f"{tmp_path}/out"
+    incremental.begin(spark, state, out)
+    for batch, rows in enumerate(batches):
+        incremental.process_batch(spark.createDataFrame(rows, kind), batch, state, out, "k")
+        incremental.process_batch(spark.createDataFrame(rows, kind), batch, state, out, "k")
+    copies = {r.doc_id: r.text for r in spark.read.parquet(out).collect()}
+    people = incremental.read_people(spark, state).collect()
+    assert len(people) == 1 and people[0].sur == "Иванов" and people[0].patr == "Петрович"
+    assert copies[1] == "Звоните Иванову завтра" and "Иванов" not in copies[3] + copies[4] and copies[3].split()[1][:4] == copies[4].split()[1][:4]
+    again = {r.doc_id: r.new_text for r in incremental.redo(spark.createDataFrame(sum(batches, []), kind), state, "k").collect()}
+    assert set(again) == {1} and "Иванов" not in again[1] and again[1].split()[1][:4] == copies[4].split()[1][:4]
 
 
 def test_decode():
