@@ -27,7 +27,7 @@ def all_digits(value: Column, n: int) -> Column:
 def weighted(value: Column, weights: tuple[int, ...]) -> Column:
     """The sum of the first digits times their weights; null where a digit is missing."""
     chars = F.split(F.substring(value, 1, len(weights)), "")
-    terms = F.zip_with(chars, F.array(*map(F.lit, weights)), lambda c, w: F.try_to_number(c, F.lit("9")).cast("int") * w)
+    terms = F.zip_with(chars, F.expr(f"array({', '.join(map(str, weights))})"), lambda c, w: F.try_to_number(c, F.lit("9")).cast("int") * w)
     return F.aggregate(terms, F.lit(0), lambda total, term: total + term)
 
 

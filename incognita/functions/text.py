@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +27,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def quoted(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strings(values: Iterable[str]) -> Column:
+    """An array of strings. One SQL expression: many small ones take their time to build."""
+    return F.expr(f"array({', '.join(map(quoted, values))})")
+
+
 def fold_yo(value: Column) -> Column:
     """ё is written е as often as not."""
     return F.translate(value, "ёЁ", "еЕ")
@@ -79,7 +89,7 @@ def shadow_caps(text: Column) -> Column:
 
 
 def _by_letter(value: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for pair in TRANSLIT.items() for x in pair))
+    table = F.map_from_arrays(strings(TRANSLIT), strings(TRANSLIT.values()))
     return F.array_join(F.transform(F.split(F.lower(value), ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
 
 

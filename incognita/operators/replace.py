@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from incognita.functions import text as tx
 from incognita.operators.detect import PRIORITY, detect_numbers
-from incognita.operators.stand_ins import GENERIC_LOCALS, PUBLIC_DOMAINS, assign
+from incognita.operators.stand_ins import GENERIC_LOCALS, PLAIN, PUBLIC_DOMAINS, assign
 
 SPAN = "array<struct<prio:int,start:int,end:int,typ:string,old:string,new:string>>"
 MAPPING = "typ string, family string, key string, fake string"
@@ -24,8 +24,8 @@ MAPPING = "typ string, family string, key string, fake string"
 def creatable(typ: Column, key: Column) -> Column:
     """Public and government domains, and generic addresses at them, name nobody."""
     host = F.substring_index(key, "@", -1)
-    public = host.isin(*PUBLIC_DOMAINS) | host.endswith(".gov.kz")
-    generic = F.substring_index(key, "@", 1).isin(*GENERIC_LOCALS)
+    public = F.array_contains(tx.strings(PUBLIC_DOMAINS), host) | host.endswith(".gov.kz")
+    generic = F.array_contains(tx.strings(GENERIC_LOCALS), F.substring_index(key, "@", 1))
     return F.when(typ == "domain", ~public).when(typ == "email", ~(public & generic)).otherwise(True)
 
 
@@ -53,8 +53,8 @@ def extend_mapping(candidates: DataFrame, mapping: DataFrame, secret: str, stopl
     Addresses are given stand-ins after domains: the part behind the at sign is the domain's stand-in.
     """
     keys = new_keys(candidates, stoplist).checkpoint()
-    others = mapping.unionByName(assign(keys.filter("typ <> 'email'"), mapping, secret))
-    emails = assign(keys.filter("typ = 'email'"), mapping, secret)
+    others = mapping.unionByName(assign(keys.filter("typ <> 'email'"), mapping, secret, PLAIN))
+    emails = assign(keys.filter("typ = 'email'"), mapping, secret, ("email",))
     host = F.substring_index("key", "@", -1)
     tail = tx.registrable_domain(host)
     domains = others.filter("typ = 'domain'").select(F.col("key").alias("tail"), F.col("fake").alias("tail_fake"))

@@ -42,7 +42,7 @@ def learn(fragments: DataFrame, mapping: DataFrame, secret: str, stoplist: DataF
         orgs = orgs.join(stop, F.col("key") == F.col("stop"), "left_anti")
     found, orgs = found.checkpoint(), orgs.checkpoint()
     shown, mapping = names.with_stand_ins(found, mapping, secret)
-    mapping = mapping.unionByName(assign(orgs.select(F.lit("org").alias("typ"), F.lit("org").alias("family"), "key"), mapping, secret))
+    mapping = mapping.unionByName(assign(orgs.select(F.lit("org").alias("typ"), F.lit("org").alias("family"), "key"), mapping, secret, ("org",)))
     mapping = extend_mapping(detect_numbers(fragments) if candidates is None else candidates, mapping, secret, stoplist).checkpoint()
     person_forms, person_exact = names.person_forms(shown.checkpoint())
     org_forms, org_exact = names.organisation_forms(orgs.join(mapping.filter("family = 'org'").select("key", "fake"), "key"))
