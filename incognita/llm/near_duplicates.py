@@ -218,7 +218,7 @@ def star_edges(shared: DataFrame, fan: int) -> DataFrame:
     return near.union(arms).union(inner.select(F.col("centre").alias("a"), F.col("own").alias("b"))).filter("a <> b").distinct()
 
 
-def further_stars(named: DataFrame, centres: int) -> DataFrame:
+def further_stars(tables: session.Tables, named: DataFrame, centres: int, name: str) -> DataFrame:
     """Pairs (a, b) of nodes b of buckets (bucket, nid, label) and some nodes a of the label that most of the bucket has.
 
     Which nodes are centres goes by hashes of nid, so that buckets with much the same nodes have the same centres.
@@ -226,7 +226,8 @@ def further_stars(named: DataFrame, centres: int) -> DataFrame:
     drawn = F.array(*[F.min_by("nid", F.xxhash64("nid", F.lit(j))) for j in range(centres)]).alias("drawn")
     by_label = named.groupBy("bucket", "label").agg(F.count("*").alias("n"), drawn)
     most = by_label.groupBy("bucket").agg(F.max_by(F.struct("label", "drawn"), F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
-    arms = named.join(most, "bucket").filter("label <> main.label")
+    # A table of its own, so that Spark can split the rows of a bucket that very many nodes are in.
+    arms = named.join(tables.keep(most, name), "bucket").filter("label <> main.label")
     return arms.select(F.explode(F.array_distinct("main.drawn")).alias("a"), F.col("nid").alias("b")).distinct()
 
 
@@ -288,16 +289,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     turn, asked, joined = 0, 1, 1
     while joined and 10 * joined >= asked:
         named = tables.keep(shared.filter("n > 2").select("bucket", "nid").join(known, "nid"), f"named-{turn}")
-        pairs = tables.keep(further_stars(named, centres), f"pairs-{turn}")
+        pairs = tables.keep(further_stars(tables, named, centres, f"most-{turn}"), f"pairs-{turn}")
         found = confirmed(pairs, f"found-{turn}")
         asked, joined = (x.select("b").distinct().count() for x in (pairs, found))
         if joined:
             known = components(tables, known, found, f"labels-of-{turn}")
-        tables.drop(f"pairs-{turn}", f"found-{turn}", *[f"named-{turn}"] * bool(joined))
+        tables.drop(f"most-{turn}", f"pairs-{turn}", f"found-{turn}", *[f"named-{turn}"] * bool(joined))
         turn += 1
     if joined:
         named = tables.keep(shared.filter("n > 2").select("bucket", "nid").join(known, "nid"), "named")
     mixed = named.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("bucket")
+    mixed = tables.keep(mixed, "mixed")
     apart = named.join(mixed, "bucket", "left_semi").select("nid", "label").distinct()
     apart_sets = tables.keep(sets.join(apart, "nid").select("nid", "label", "shingles"), "apart-sets")
     tables.drop("candidates", "shared", "named" if joined else f"named-{turn - 1}")
