@@ -132,3 +132,43 @@ f0 AS (SELECT source, CAST(sum(size) AS DOUBLE) AS words, (row_number() OVER (OR
 t AS (SELECT source, words, CASE WHEN filled THEN 3 * words ELSE ((SELECT sum(words) FROM f{_ROUNDS}) - (SELECT coalesce(sum(3 * words), 0) FROM f{_ROUNDS} WHERE filled)) * weight / (SELECT sum(weight) FROM f{_ROUNDS} WHERE NOT filled) END AS target FROM f{_ROUNDS})
 SELECT doc_id, size, CAST(words AS BIGINT) AS source_size, target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """
+
+MIDDLES = f"""
+WITH h AS (SELECT doc_id, {_TEXT} AS t, regexp_extract_all({_TEXT}, '[^\\n]*\\n|[^\\n]+') AS u, sha256('7:' || CAST(doc_id AS VARCHAR)) AS x FROM documents),
+r AS (SELECT *, len(u) AS n, {", ".join(f"CAST('0x' || substr(x, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))} FROM h),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+#: Of pages whose article is one article element of headings and paragraphs, with the character references that the tables have.
+_DECODED = "regexp_replace(replace(b, '<br>', ' '), '<[^>]*>', '', 'g')"
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _DECODED = f"replace({_DECODED}, '{_name}', '{_char}')"
+_DECODED = f"regexp_replace({_DECODED}, '&amp$', '&')"
+PAGE_TEXTS = f"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS x FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(x, '</?(?:p|h1)>'), lambda b: trim(regexp_replace({_DECODED}, '\\s+', ' ', 'g'))) AS bs FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(bs, lambda b: b <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
+
+PHRASES = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, {_small(_TEXT)} AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM d),
+w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p),
+g AS ({" UNION ALL ".join(f"SELECT lang, {k} AS k, unnest({_grams('w', str(k))}) AS phrase FROM w WHERE len(w) >= {k}" for k in (1, 2, 3))}),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+c AS (SELECT lang, k, phrase, f AS a FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT c.*, j, array_to_string(list_slice(string_split(phrase, ' '), 1, j), ' ') AS p1, array_to_string(list_slice(string_split(phrase, ' '), j + 1, k), ' ') AS p2 FROM c, (VALUES (1), (2)) AS v(j) WHERE j < k),
+s AS (SELECT cut.lang, cut.k, cut.phrase, a, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score, j FROM cut JOIN f AS x ON x.lang = cut.lang AND x.phrase = p1 JOIN f AS y ON y.lang = cut.lang AND y.phrase = p2),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+stay AS (SELECT * FROM best WHERE NOT EXISTS (SELECT 1 FROM c AS o WHERE o.lang = best.lang AND o.k > best.k AND contains(' ' || o.phrase || ' ', ' ' || best.phrase || ' ') AND 100 * o.a >= 50 * best.a)),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT stay.lang, row_number() OVER (PARTITION BY stay.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n.n, score
+FROM stay JOIN n ON n.lang = stay.lang QUALIFY rank <= 2000
+"""

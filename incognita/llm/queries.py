@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from incognita.llm import chat, oracles, session, toxicity
 from incognita.llm import pii as personal
+from incognita.llm.collocations import collocations
 from incognita.llm.decontamination import contaminated, decontaminate
+from incognita.llm.fill_in_middle import fill_in_middle, restored
 from incognita.llm.line_dedup import deduplicate_lines
 from incognita.llm.mixing import mix
 from incognita.llm.near_duplicates import near_duplicates
+from incognita.llm.page_text import main_texts
 from incognita.llm.quality import judge_quality
 from incognita.llm.token_ids import token_ids
 from incognita.llm.warc import archive
@@ -86,6 +89,20 @@ def op10_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).drop("source", "row_key")
 
 
+def op11_chunked_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = F.sha2(restored(F.col("output"), F.col("form")), 256)
+    return told.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), back.alias("restored_sha256"))
+
+
+def op12_wrapper_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op10 gives but for the picks, which SQL can't make."""
     return op10_subset_sum_mixing(spark, sf_dir).drop("taken")
@@ -96,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_bootstrapped_pii, op2_counterfactual_toxicity, op3_minhash_near_dedup, op4_winnowing_decontamination, op5_warc_segments,
         op6_chat_formatting, op7_ranked_token_ids, op8_divergence_quality, op9_perfect_hash_line_dedup, op10_subset_sum_mixing, mixing_targets,
+        op11_chunked_fill_in_middle, op12_wrapper_page_text, op13_phrase_collocations,
     )
 }
 
@@ -103,4 +121,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op4_winnowing_decontamination": oracles.DECONTAMINATION, "op5_warc_segments": oracles.ARCHIVES,
     "op6_chat_formatting": oracles.CONVERSATIONS, "op8_divergence_quality": oracles.QUALITY, "op9_perfect_hash_line_dedup": oracles.LINES, "mixing_targets": oracles.MIX_TARGETS,
+    "op11_chunked_fill_in_middle": oracles.MIDDLES, "op12_wrapper_page_text": oracles.PAGE_TEXTS, "op13_phrase_collocations": oracles.PHRASES,
 }

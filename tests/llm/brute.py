@@ -166,3 +166,41 @@ def mix_targets(docs, weights=(1, 2, 3), most=3):
         if not over:
             return [(d, size(t), words[s], round(float(target[s]), 6)) for d, t, s in docs]
         full |= over
+
+
+def middle(doc, text):
+    text, digest = text or "", sha(f"7:{'' if doc is None else doc}")
+    lines = re.findall(r"[^\n]*\n|[^\n]+", text)
+    n = len(lines)
+    h1, h2, _, h4 = (int(digest[8 * i : 8 * i + 8], 16) for i in range(4))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")):
+        return n, "plain", None, None, sha(text), sha(text)
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    prefix, mid, suffix = "".join(lines[:a]), "".join(lines[a:b]), "".join(lines[b:])
+    form = "spm" if h4 % 100 < 50 else "psm"
+    out = f"<S>{suffix}<P>{prefix}<M>{mid}" if form == "spm" else f"<P>{prefix}<S>{suffix}<M>{mid}"
+    return n, form, len(prefix), len(mid), sha(out), sha(text)
+
+
+def phrases(docs, max_n=3, least=10, top=2000):
+    """(lang, rank, phrase, a, l, r, n, score) of docs (lang, text)."""
+    counts, total = collections.defaultdict(collections.Counter), collections.Counter()
+    for lang, text in docs:
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", lower(text)):
+            words = re.findall("[^ \t]+", piece)
+            total[lang or "und"] += len(words)
+            for k in range(1, max_n + 1):
+                counts[lang or "und"].update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        wanted = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        inside = lambda p, q: any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))
+        scored = []
+        for p, a in wanted.items():
+            if any(len(q) > len(p) and inside(p, q) and 100 * b >= 50 * a for q, b in wanted.items()):
+                continue
+            score, _, left, right = min((1_000_000 * a * a // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+            scored.append((-score, -a, " ".join(p).encode(), left, right))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(scored)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, total[lang], -score))
+    return out

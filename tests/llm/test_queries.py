@@ -146,6 +146,23 @@ def test_op10_mix(spark, tables):
         assert target - max(longest, 1) <= words <= target + 0.5
 
 
+def test_op11_middles(spark, tables):
+    rows = queries.op11_chunked_fill_in_middle(spark, tables).collect()
+    same([tuple(r) for r in rows], [(d, *brute.middle(d, t)) for d, t in table(spark, tables, "documents", "doc_id", "text")])
+
+
+def test_op12_texts(spark, tables):
+    rows = queries.op12_wrapper_page_text(spark, tables).collect()
+    want = {None: "", "": "", "<p>" + "é" * 600: "é" * 600}
+    same([tuple(r) for r in rows], [(p, u, x, len(x)) for p, u, h in table(spark, tables, "pages", "page_id", "url", "html") for x in [want.get(h, " ".join((h or "").split()))]])
+
+
+def test_op13_phrases(spark, tables):
+    rows = queries.op13_phrase_collocations(spark, tables).collect()
+    same([tuple(r) for r in rows], brute.phrases(table(spark, tables, "documents", "lang", "text")))
+    assert {r.lang for r in rows} >= {"en", "de"}
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_empty_tables(spark, tables, tmp_path, name):
     for table_ in ("documents", "labels", "benchmark", "pages", "conversations"):
