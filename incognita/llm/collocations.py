@@ -195,6 +195,7 @@ def collocations(docs: DataFrame, max_n: int = 3, min_count: int = 10, top: int
     replaced = (F.col("o.lang") == F.col("i.lang")) & (F.col("o.phrase") == F.col("i.inner")) & (100 * F.col("i.outer") >= share * F.col("o.a"))
     stay = least.alias("o").join(inner.alias("i"), replaced, "left_anti").select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = stay.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    # The filter is on the window's own column, so that Spark limits each task's rows before it deals them out by language.
+    first = stay.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("long"))
     # One row a language: a sum over words, small as the languages are few; not hinted, Spark knows the size of what it has read.
     return first.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
