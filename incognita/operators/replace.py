@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from incognita.functions import text as tx
 from incognita.operators.detect import PRIORITY, detect_numbers
-from incognita.operators.stand_ins import GENERIC_LOCALS, PLAIN, PUBLIC_DOMAINS, assign
+from incognita.operators.links import linked_addresses, linked_domains
+from incognita.operators.permuted import TYPES, permuted
+from incognita.operators.stand_ins import GENERIC_LOCALS, PUBLIC_DOMAINS, assign, unassigned
 
 SPAN = "array<struct<prio:int,start:int,end:int,typ:string,old:string,new:string>>"
 MAPPING = "typ string, family string, key string, fake string"
@@ -47,14 +49,27 @@ def new_keys(candidates: DataFrame, stoplist: DataFrame | None = None) -> DataFr
     return keys
 
 
-def extend_mapping(candidates: DataFrame, mapping: DataFrame, secret: str, stoplist: DataFrame | None = None) -> DataFrame:
+def extend_mapping(candidates: DataFrame, mapping: DataFrame, secret: str, stoplist: DataFrame | None = None, people: DataFrame | None = None) -> DataFrame:
     """mapping with stand-ins for all numbers, addresses and domains among candidates, as detect_numbers gives them.
 
-    Addresses are given stand-ins after domains: the part behind the at sign is the domain's stand-in.
+    Domains that spell an organisation of mapping, and addresses that hold the surname of one of people (as
+    names.with_stand_ins gives them), carry the stand-ins of these. Addresses are given stand-ins after domains: the part
+    behind the at sign is the domain's stand-in.
     """
     keys = new_keys(candidates, stoplist).checkpoint()
-    others = mapping.unionByName(assign(keys.filter("typ <> 'email'"), mapping, secret, PLAIN))
-    emails = assign(keys.filter("typ = 'email'"), mapping, secret, ("email",))
+    met = {r.typ for r in keys.select("typ").distinct().collect()}
+    others = mapping
+    if met & set(TYPES):
+        others = others.unionByName(permuted(unassigned(keys.filter(F.col("typ").isin(*TYPES)), mapping), mapping, secret))
+    if "domain" in met:
+        hosts = keys.filter("typ = 'domain'")
+        named = linked_domains(hosts.select("key"), mapping.filter("family = 'org'").select("key", "fake")).select(F.lit("domain").alias("family"), "key", "fake")
+        others = others.unionByName(assign(hosts, mapping, secret, ("domain",), proposed=named))
+    if "email" not in met:
+        return others
+    written_to = keys.filter("typ = 'email'")
+    meant = None if people is None else linked_addresses(written_to.select("key"), people).select(F.lit("email").alias("family"), "key", "fake")
+    emails = assign(written_to, mapping, secret, ("email",), proposed=meant)
     host = F.substring_index("key", "@", -1)
     tail = tx.registrable_domain(host)
     domains = others.filter("typ = 'domain'").select(F.col("key").alias("tail"), F.col("fake").alias("tail_fake"))

@@ -43,8 +43,9 @@ def learn(fragments: DataFrame, mapping: DataFrame, secret: str, stoplist: DataF
     found, orgs = found.checkpoint(), orgs.checkpoint()
     shown, mapping = names.with_stand_ins(found, mapping, secret)
     mapping = mapping.unionByName(assign(orgs.select(F.lit("org").alias("typ"), F.lit("org").alias("family"), "key"), mapping, secret, ("org",)))
-    mapping = extend_mapping(detect_numbers(fragments) if candidates is None else candidates, mapping, secret, stoplist).checkpoint()
-    person_forms, person_exact = names.person_forms(shown.checkpoint())
+    shown = shown.checkpoint()
+    mapping = extend_mapping(detect_numbers(fragments) if candidates is None else candidates, mapping.checkpoint(), secret, stoplist, shown).checkpoint()
+    person_forms, person_exact = names.person_forms(shown)
     org_forms, org_exact = names.organisation_forms(orgs.join(mapping.filter("family = 'org'").select("key", "fake"), "key"))
     # What is a person's name already is no organisation's: a form stands for one thing.
     org_forms = org_forms.join(person_forms.select("direction", "key"), ["direction", "key"], "left_anti")

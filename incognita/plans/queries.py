@@ -7,17 +7,17 @@ query, and the SQL states the count that must come out.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from incognita import cluster
 from incognita.functions import checks, headers
 from incognita.functions import morphology as mo
 from incognita.functions import text as tx
 from incognita.functions.keyed import digits, hmac_hex, padded
-from incognita.operators import audit, names
+from incognita.operators import audit, links, names
 from incognita.operators.detect import detect_numbers, find_organisations
 from incognita.operators.replace import MAPPING, by_type, extend_mapping, replace, statistics
 from incognita.plans import jobs
@@ -53,22 +53,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("frag_id"), "text", F.lit(None).cast("string").alias("hint"))
 
 
-def _prepare(spark: SparkSession) -> None:
-    """A checkpoint folder where the cluster names none (the library's jobs cut long lineages)."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="incognita-"))
-
-
 def _no_mapping(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], MAPPING)
+    """An empty mapping that the optimizer knows to be empty."""
+    return spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {kind}) AS {name}" for name, kind in (c.split() for c in MAPPING.split(", "))) + " WHERE false")
 
 
 def roundtrip_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses and cards of documents: how many, and whether replacing and restoring gives the text back."""
-    _prepare(spark)
+    cluster.prepare(spark)
     lines = F.posexplode_outer(F.split("text", "\n")).alias("frag_id", "text")
     docs = _table(spark, sf_dir, "documents").select("doc_id", lines).select("doc_id", F.coalesce("frag_id", F.lit(0)).alias("frag_id"), "text", F.lit(None).cast("string").alias("hint"))
     found = detect_numbers(docs).checkpoint()
@@ -251,7 +243,7 @@ O_ORGS = "SELECT 'ромашка' || CAST(c_custkey % 50 AS VARCHAR) AS key, cou
 
 def stand_ins_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each type: keys, distinct stand-ins, stand-ins that are real values, and stand-ins that are not valid."""
-    _prepare(spark)
+    cluster.prepare(spark)
     mapping = extend_mapping(detect_numbers(fragments(spark, sf_dir)), _no_mapping(spark), SECRET).checkpoint()
     fake, key, typ = F.col("fake"), F.col("key"), F.col("typ")
     keeps = F.when(typ.isin("card", "bin"), 6).when(typ == "acc20", 5).when(typ == "phone", 3).when(typ.isin("inn", "rekv"), 2).otherwise(0)
@@ -272,7 +264,7 @@ O_STAND_INS = f"SELECT typ, count(DISTINCT key) AS keys, count(DISTINCT key) AS
 
 
 def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _prepare(spark)
+    cluster.prepare(spark)
     rows = fragments(spark, sf_dir)
     found = detect_numbers(rows).checkpoint()
     return replace(rows, extend_mapping(found, _no_mapping(spark), SECRET).checkpoint(), candidates=found)
@@ -293,7 +285,7 @@ O_MOST = f"WITH f AS ({DERIVED}), s AS ({O_FRAGMENTS}) SELECT s.typ, substr(f.te
 
 
 def _full_cycle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, jobs.Knowledge, DataFrame]:
-    _prepare(spark)
+    cluster.prepare(spark)
     rows = fragments(spark, sf_dir).select("doc_id", "frag_id", "text", "hint")
     found = detect_numbers(rows).checkpoint()
     known = jobs.learn(rows, _no_mapping(spark), SECRET, candidates=found)
@@ -328,7 +320,7 @@ _FATHERS = ("Петр", "Олег", "Болат", "Николай")
 
 def people_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names told in full in one fragment and with initials, in another case, in the next: linked, replaced, restored."""
-    _prepare(spark)
+    cluster.prepare(spark)
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("c_custkey") % n % len(values)).cast("int") + 1)
     man = _table(spark, sf_dir, "customer").select("c_custkey", pick(_SURNAMES, 8).alias("s"), pick(_NAMES, 90).alias("n"), mo.make_patronymic(pick(_FATHERS, 1000), F.lit("m")).alias("p"))
     m = F.lit("m")
@@ -347,6 +339,55 @@ def people_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 O_PEOPLE = "SELECT frag_id, count(*) AS rows, count(*) AS changed, count(*) AS restored FROM (SELECT unnest([0, 1]) AS frag_id, c_custkey FROM customer) GROUP BY frag_id"
 
 
+_STEMS_LINKED = (("Иван", "ivan"), ("Петр", "petr"), ("Сидор", "sidor"), ("Кузнец", "kuznec"), ("Щербак", "scherbak"), ("Цветк", "tsvetk"), ("Харит", "harit"), ("Южан", "iuzhan"))
+_LINKED_SURNAMES = [(a + b, x + y) for a, x in _STEMS_LINKED for b, y in (("ов", "ov"), ("ин", "in"), ("енко", "enko"), ("ский", "skiy"))]
+_NTH = lambda values: f"split_part('{','.join(values)}', ',', CAST(c_custkey % {len(values)} + 1 AS INT))"
+#: An employee of each customer: surname, gender, address and employer. Some addresses name the person, some do not.
+LINKED = f"""
+SELECT sur, gender, org, CASE CAST(({_N} - {_N} % 32) / 32 AS BIGINT) % 6 WHEN 0 THEN latin || CAST({_N} AS STRING) WHEN 1 THEN substr('abcdefghij', CAST({_N} % 10 + 1 AS INT), 1) || '.' || latin
+  WHEN 2 THEN latin || '_ip' || CAST({_N} % 10 AS STRING) WHEN 3 THEN 'info' WHEN 4 THEN 'user' || CAST({_N} AS STRING) ELSE 'x' || latin || 'a' || CAST({_N} % 100 AS STRING) END || '@' || host AS address
+FROM (
+  SELECT c_custkey, latin, CASE WHEN c_custkey % 4 < 2 AND CAST(({_N} - {_N} % 32) / 32 AS BIGINT) % 3 = 0 THEN sur || 'а' ELSE sur END AS sur, CASE WHEN c_custkey % 4 < 2 AND CAST(({_N} - {_N} % 32) / 32 AS BIGINT) % 3 = 0 THEN 'f' ELSE 'm' END AS gender,
+    CASE WHEN c_custkey % 5 > 0 THEN 'ромашка ' || CAST({_N} % 50 AS STRING) END AS org, CASE WHEN c_custkey % 5 > 0 THEN 'romashka' || CAST({_N} % 50 AS STRING) ELSE 'firma' || CAST({_N} % 20 AS STRING) END || '.kz' AS host
+  FROM (SELECT c_custkey, {_NTH([a for a, _ in _LINKED_SURNAMES])} AS sur, {_NTH([b for _, b in _LINKED_SURNAMES])} AS latin FROM customer) AS c
+) AS d
+"""
+
+
+def addresses_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whose surname each address holds, spelled how and where, and whose domain it is at; of all customers' employees."""
+    cluster.prepare(spark)
+    staff = spark.sql(LINKED.replace("FROM customer", "FROM {customer}"), customer=_table(spark, sf_dir, "customer").select("c_custkey")).checkpoint()
+    people = staff.select(F.concat_ws("|", "sur", "gender").alias("person_id"), "sur", "gender").distinct()
+    orgs = staff.filter("org is not null").select(F.col("org").alias("key"), F.lit("Ольмента").alias("fake")).distinct()
+    addresses = staff.select(F.col("address").alias("key")).distinct()
+    found = links.surnames_within(addresses, people).select("key", F.col("at").cast("long").alias("place"), "spelling", F.col("person.person_id").alias("person"))
+    host = F.substring_index("key", "@", -1)
+    owned = links.linked_domains(addresses.select(host.alias("key")).distinct(), orgs).select(F.col("key").alias("host"), "org")
+    return addresses.join(found, "key", "left").withColumn("host", host).join(owned, "host", "left").drop("host")
+
+
+def _spellings() -> list[tuple[str, str, str]]:
+    """Surname, gender and each spelling of it, of all surnames of LINKED."""
+    out = []
+    for base, _ in _LINKED_SURNAMES:
+        plain = "".join(tx.TRANSLIT[c] for c in base.lower())
+        forms = {plain, plain.replace("kh", "h"), plain.replace("yu", "iu").replace("ya", "ia"), plain.replace("zh", "j"), plain.replace("ts", "c")}
+        forms |= {plain[:-2] + e for e in "yi" if plain.endswith("iy")}
+        out += [(base, "m", f) for f in forms] + [(base + "а", "f", f + e) for f in forms for e in ("", "a")]
+    return out
+
+
+O_LINKED = f"""
+WITH d AS ({LINKED}), v AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _spellings())}) AS t(sur, gender, spelling)),
+s AS (SELECT spelling, min(d.sur || '|' || d.gender) AS person FROM d JOIN v ON v.sur = d.sur AND v.gender = d.gender WHERE length(spelling) >= 4 GROUP BY spelling),
+a AS (SELECT DISTINCT address AS key, split_part(address, '@', 1) AS local, split_part(address, '@', 2) AS host FROM d),
+m AS (SELECT key, strpos(local, spelling) - 1 AS place, spelling, person FROM a JOIN s ON contains(local, spelling) WHERE local <> 'info' QUALIFY row_number() OVER (PARTITION BY key ORDER BY length(spelling) DESC, strpos(local, spelling), spelling) = 1),
+o AS (SELECT DISTINCT org, replace(replace(org, 'ромашка', 'romashka'), ' ', '') || '.kz' AS host FROM d WHERE org IS NOT NULL)
+SELECT a.key, place, spelling, person, org FROM a LEFT JOIN m ON m.key = a.key LEFT JOIN o ON o.host = a.host
+"""
+
+
 def changed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose content a ledger of the even ones (of which each fourth is outdated) does not have."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
@@ -385,7 +426,7 @@ O_RUNS = "SELECT n_nationkey, 'Поставщик ' || n_name || '|| № ' || CA
 
 
 def exported_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _prepare(spark)
+    cluster.prepare(spark)
     mapping = extend_mapping(detect_numbers(fragments(spark, sf_dir)), _no_mapping(spark), SECRET).checkpoint()
     return export_rows(mapping).select("typ", "real")
 
@@ -395,7 +436,7 @@ O_EXPORTED = f"SELECT DISTINCT typ, key AS real FROM ({O_FRAGMENTS}) WHERE key <
 
 def person_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best reading of some mentions."""
-    _prepare(spark)
+    cluster.prepare(spark)
     rows = spark.createDataFrame([(k,) for k in _READINGS], "mention string")
     read = names.readings(names.parsed(rows))
     best = read.groupBy("mention").agg(F.max_by(F.struct("sur", "gender", "name", "patr", "init_n", "init_p"), F.struct("score", "gender", "sur")).alias("r"))
@@ -413,7 +454,7 @@ _ALL = (
     (iban_checks, O_IBAN), (normalised_keys, O_KEYS), (registrable_domains, O_DOMAINS), (header_kinds, O_HEADERS), (paradigms, O_PARADIGMS), (keyed_digits, O_KEYED),
     (organisations_found, O_ORGS), (stand_ins_by_type, O_STAND_INS), (replaced_by_type, O_BY_TYPE), (most_replaced, O_MOST), (full_roundtrip, O_FULL), (audit_of_copies, O_AUDIT),
     (people_roundtrip, O_PEOPLE), (changed_documents, O_CHANGED), (texts_holding_stems, O_STEMS), (written_like, O_WRITTEN), (runs_redistributed, O_RUNS), (exported_mapping, O_EXPORTED),
-    (person_readings, O_READINGS),
+    (person_readings, O_READINGS), (addresses_linked, O_LINKED),
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f, _ in _ALL}
 ORACLES: dict[str, str] = {f.__name__: sql for f, sql in _ALL}
