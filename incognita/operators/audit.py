@@ -1,7 +1,7 @@
 """Audit of copies, leftovers of restoring, and what has to be done again.
 
-Substring searches of the kind "does any text hold any of these stems" are equi-joins here: stems stand at the
-beginnings of words, so the beginnings of a text's distinct words meet the longest words of the stems by equality.
+Substring searches of the kind "does any text hold any of these stems" are equi-joins here: runs of letters of the distinct
+words of all texts meet the longest words of the stems by equality, and only ids meet texts.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from incognita.functions import morphology as mo
 from incognita.functions import text as tx
-from incognita.operators import names
+from incognita.operators import lexicon, names, substrings
 from incognita.operators.detect import detect_numbers, find_organisations
 from incognita.operators.replace import looked_up
 from incognita.operators.stand_ins import PUBLIC_DOMAINS
@@ -39,7 +39,7 @@ def leftovers(copies: DataFrame, mapping: DataFrame) -> DataFrame:
     given = mapping.filter("family = 'org'").select(F.explode(F.array("key", tx.norm_key(F.col("fake")))).alias("k")).distinct()
     orgs = orgs.withColumn("k", tx.norm_key(F.col("value"))).join(given, "k", "left_anti")
     said = names.mentions(copies)
-    read = names.readings(names.parsed(said.select("mention").distinct()))
+    read = names.readings(lexicon.veto(names.parsed(said.select("mention").distinct()).checkpoint(), copies))
     fakes = mapping.filter("family = 'surname'").select(tx.norm_key(F.col("fake")).alias("base")).distinct()
     ours = read.withColumn("base", tx.norm_key(mo.surname_base(F.col("sur"), F.col("gender")))).join(fakes, "base", "left_semi").select("mention").distinct()
     strangers = said.join(read.select("mention").distinct(), "mention", "left_semi").join(ours, "mention", "left_anti")
@@ -68,23 +68,30 @@ def stems(mapping: DataFrame, side: str = "fake") -> DataFrame:
     return found.select(tx.norm_key(F.col("stem")).alias("stem")).filter(F.char_length("stem") >= 4).distinct()
 
 
-def holding(texts: DataFrame, stems_: DataFrame) -> DataFrame:
-    """doc_id and stem for each text (doc_id, text) in which a stem stands at the beginning of a word.
+def holding(texts: DataFrame, stems_: DataFrame, inside: bool = False) -> DataFrame:
+    """doc_id and stem for each text (doc_id, text) in which a stem stands at the beginning of a word; or anywhere, if inside.
 
-    Texts and stems are split into words alike. A stem is looked up by the longest of its words: where the stem stands,
-    a word of the text begins with it. Of the texts met, those that hold the whole stem are returned.
+    A stem is looked up by the longest of its words in the distinct words of all texts, and the ids of the texts that have
+    such a word follow by an equi-join. That settles stems of one word; for others, the texts of these ids are read.
+    Stems without a letter or figure are not looked up; a stem stands in no null text. Case, ё and repeated white space do not
+    count.
     """
     parts = lambda c: F.filter(F.split(c, "(?U)[^\\w]+"), lambda w: w != "")
     longest = F.get(F.array_sort(parts(F.col("stem")), lambda a, b: F.char_length(b) - F.char_length(a)), F.lit(0))
-    wanted = stems_.select("stem", longest.alias("start")).filter("start is not null").distinct()
-    lengths = F.broadcast(wanted.agg(F.collect_set(F.char_length("start")).alias("lengths")))
+    wanted = stems_.select("stem", longest.alias("piece")).filter("piece is not null").distinct()
     keyed = texts.select("doc_id", tx.norm_key(F.col("text")).alias("text"))
-    words = keyed.select("doc_id", "text", F.explode(F.array_distinct(parts(F.col("text")))).alias("word")).crossJoin(lengths)
-    fitting = F.filter("lengths", lambda n: n <= F.char_length("word"))
-    starts = words.select("doc_id", "text", F.explode(F.transform(fitting, lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("start"))
-    written = F.concat(F.lit("(?U)(?:^|[^\\w])\\Q"), F.replace("stem", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    met = starts.join(wanted, "start").filter(F.contains("text", "stem"))
-    return met.filter(F.rlike("text", written)).select("doc_id", "stem").distinct()
+    words = keyed.select("doc_id", F.explode(F.array_distinct(parts(F.col("text")))).alias("word")).checkpoint()
+    met = substrings.places(words.select(F.col("word").alias("key"), F.col("word").alias("text")).distinct(), wanted)
+    met = (met if inside else met.filter("at = 0")).join(wanted, "piece").select(F.col("key").alias("word"), "piece", "stem").distinct()
+    found = words.join(met, "word").select("doc_id", "piece", "stem").distinct().checkpoint()
+    whole = found.filter("piece = stem").select("doc_id", "stem")
+    several = found.filter("piece <> stem").select("doc_id", "stem")
+    # Texts are read once more where a stem has several words, or a character that is of none.
+    meant = keyed.join(several.select("doc_id").distinct(), "doc_id", "left_semi").join(several, "doc_id").filter(F.contains("text", "stem"))
+    if not inside:
+        written = F.concat(F.lit("(?U)(?:^|[^\\w])\\Q"), F.replace("stem", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        meant = meant.filter(F.rlike("text", written))
+    return whole.union(meant.select("doc_id", "stem")).distinct()
 
 
 def changed_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -95,6 +102,4 @@ def changed_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
 def to_redo(old_texts: DataFrame, mapping: DataFrame, new_since: DataFrame) -> DataFrame:
     """doc_ids of old texts that name people or organisations learned since (new_since: family, key)."""
     fresh = mapping.join(new_since, ["family", "key"], "left_semi")
-    return holding(old_texts, stems(fresh, "key")).select("doc_id").distinct()
-
-
+    return holding(old_texts, stems(fresh, "key"), inside=True).select("doc_id").distinct()

@@ -2,13 +2,12 @@
 
 `ivanov.s@romashka.kz` names a person and an organisation that texts name as well: its stand-in carries the stand-in of the
 surname, with the stand-in's initials, and the stand-in of the organisation. Both sides are spelled out and meet in
-equi-joins: organisations by every usual transliteration of their names, people by those of their surnames. A surname may
-stand anywhere in a local part. Places of local parts whose next GRAM letters begin some surname are found by a semi-join,
-and from these places the pieces as long as some surname meet the surnames. Each piece meets one row at most, however many
-people have the surname, so neither a common surname nor a common beginning of surnames multiplies rows.
+equi-joins: organisations by every usual transliteration of their names, people by those of their surnames, which may stand
+anywhere in a local part (see substrings.py). A piece of a local part meets one row at most, however many people have the
+surname, so neither a common surname nor a common beginning of surnames multiplies rows.
 
 Defined cases: of the surnames in a local part the longest counts, of equally long ones the leftmost, and of people with one
-spelling the first by person_id; of organisations with one spelling the first by key. Spellings shorter than GRAM letters are
+spelling the first by person_id; of organisations with one spelling the first by key. Spellings shorter than LEAST letters are
 not looked for. Local parts that name an office and no person (info, sales) are left to others. Null addresses link to nothing.
 """
 
@@ -19,10 +18,11 @@ from pyspark.sql import functions as F
 
 from incognita.functions import morphology as mo
 from incognita.functions import text as tx
+from incognita.operators import substrings
 from incognita.operators.stand_ins import GENERIC_LOCALS
 
 #: Letters that a surname must have to be looked for in a local part.
-GRAM = 4
+LEAST = 4
 
 
 def _closed(word: Column) -> Column:
@@ -51,21 +51,15 @@ def surname_spellings(people: DataFrame) -> DataFrame:
     # Women's surnames are spelled with their ending, and as often without it.
     forms = F.when(F.col("person.gender") == "f", F.array(F.concat("plain", F.lit("a")), "plain")).otherwise(F.array("plain"))
     each = each.select("person", F.explode(forms).alias("spelling")).select("person", _closed(F.col("spelling")).alias("spelling"))
-    return each.filter(F.char_length("spelling") >= GRAM).groupBy("spelling").agg(F.min_by("person", "person.person_id").alias("person"))
+    return each.filter(F.char_length("spelling") >= LEAST).groupBy("spelling").agg(F.min_by("person", "person.person_id").alias("person"))
 
 
 def surnames_within(addresses: DataFrame, people: DataFrame) -> DataFrame:
     """key, at (from 0), spelling and person of each of addresses (key) whose local part holds a surname of people."""
     known = surname_spellings(people).checkpoint()
     local = F.substring_index("key", "@", 1)
-    rows = addresses.select("key", local.alias("local")).filter(~F.col("local").isin(*GENERIC_LOCALS) & (F.char_length("local") >= GRAM)).distinct()
-    places = rows.select("key", "local", F.explode(F.sequence(F.lit(0), F.char_length("local") - GRAM)).alias("at"))
-    places = places.select("key", "at", F.substr("local", F.col("at") + 1).alias("tail")).withColumn("gram", F.substring("tail", 1, GRAM))
-    begun = places.join(known.select(F.substring("spelling", 1, GRAM).alias("gram")).distinct(), "gram", "left_semi")
-    # One row: how long surnames are.
-    lengths = F.broadcast(known.agg(F.collect_set(F.char_length("spelling")).alias("lengths")))
-    pieces = begun.crossJoin(lengths).select("key", "at", "tail", F.explode(F.filter("lengths", lambda n: n <= F.char_length("tail"))).alias("n"))
-    met = pieces.select("key", "at", F.substring("tail", F.lit(1), F.col("n")).alias("spelling")).join(known, "spelling")
+    rows = addresses.select("key", local.alias("text")).filter(~F.col("text").isin(*GENERIC_LOCALS)).distinct()
+    met = substrings.places(rows, known.select(F.col("spelling").alias("piece"))).withColumnRenamed("piece", "spelling").join(known, "spelling")
     best = met.groupBy("key").agg(F.min(F.struct((-F.char_length("spelling")).alias("size"), "at", "spelling", "person.person_id")).alias("b"))
     return best.select("key", "b.at", "b.spelling").join(known, "spelling")
 

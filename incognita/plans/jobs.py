@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from incognita.functions.headers import is_other
 from incognita.functions.text import norm_key
-from incognita.operators import audit, names
+from incognita.operators import audit, lexicon, names
 from incognita.operators.detect import detect_numbers
 from incognita.operators.replace import extend_mapping, replace
 from incognita.operators.stand_ins import assign
@@ -25,14 +25,14 @@ class Knowledge:
     people: DataFrame
 
 
-def learn(fragments: DataFrame, mapping: DataFrame, secret: str, stoplist: DataFrame | None = None, people: DataFrame | None = None, candidates: DataFrame | None = None) -> Knowledge:
+def learn(fragments: DataFrame, mapping: DataFrame, secret: str, stoplist: DataFrame | None = None, people: DataFrame | None = None, candidates: DataFrame | None = None, words: DataFrame | None = None) -> Knowledge:
     """Stand-ins for all people, organisations, numbers, addresses and domains of fragments.
 
     mapping and people are what earlier runs learned. Learning comes to its end before anything is replaced, so a name told
     in full in one place is known everywhere. Cells whose hint is person or org are learned whole. candidates: what
-    detect_numbers has found in fragments, if at hand.
+    detect_numbers has found in fragments, if at hand. words (word, small): common words known from elsewhere.
     """
-    told = names.parsed(names.mentions(fragments).select("mention").distinct())
+    told = lexicon.veto(names.parsed(names.mentions(fragments).select("mention").distinct()).checkpoint(), fragments, words)
     read = names.readings(told.union(names.parsed_cells(names.typed_cells(fragments, "person"))).distinct()).checkpoint()
     found = names.people(read, people)
     orgs = names.organisations(fragments, mapping)

@@ -17,7 +17,7 @@ from incognita.functions import checks, headers
 from incognita.functions import morphology as mo
 from incognita.functions import text as tx
 from incognita.functions.keyed import digits, hmac_hex, padded
-from incognita.operators import audit, links, names
+from incognita.operators import audit, lexicon, links, names
 from incognita.operators.detect import detect_numbers, find_organisations
 from incognita.operators.replace import MAPPING, by_type, extend_mapping, replace, statistics
 from incognita.plans import jobs
@@ -388,6 +388,32 @@ SELECT a.key, place, spelling, person, org FROM a LEFT JOIN m ON m.key = a.key L
 """
 
 
+_BESIDE = ("Отчёт", "Протокол", "Иванов", "Ким", "Вестник", "Юнг", "Ведомость", "Гофман", "Реестр", "Лист")
+#: A word beside initials in each customer's first fragment; in the second, some of these words written small.
+BESIDE = f"""
+SELECT c_custkey AS doc_id, 'Смотри: ' || word || ' ' || substr('АБВГДЕКЛМН', CAST(({_N} - {_N} % 10) / 10 % 10 + 1 AS INT), 1) || '. ' || substr('ПРСТ', CAST(c_custkey % 4 + 1 AS INT), 1) || '.' AS text FROM (SELECT c_custkey, {_NTH(_BESIDE)} AS word FROM customer) AS c
+UNION ALL SELECT c_custkey, 'это ' || {_NTH(["отчет", "протокол", "иванов", "вестник", "ведомость", "лист", "рассказ"])} || ' за год' FROM customer
+UNION ALL SELECT c_custkey, 'смотри реестр и гофман' FROM customer WHERE c_custkey = 7
+"""
+
+
+def common_words_vetoed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of a word beside initials: how often, and whether the texts' own words leave them a name."""
+    cluster.prepare(spark)
+    rows = spark.sql(BESIDE.replace("FROM customer", "FROM {customer}"), customer=_table(spark, sf_dir, "customer").select("c_custkey"))
+    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("frag_id"), "text", F.lit(None).cast("string").alias("hint")).checkpoint()
+    said = names.mentions(rows).groupBy("mention").agg(F.count("*").alias("times"))
+    kept = lexicon.veto(names.parsed(said.select("mention")).checkpoint(), rows).select("mention", F.lit(True).alias("kept"))
+    return said.join(kept, "mention", "left").select("mention", "times", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+O_VETO = f"""
+WITH f AS ({BESIDE}), s AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[а-яё]{{2,}}')) AS w FROM f WHERE NOT starts_with(text, 'Смотри: ')) GROUP BY w),
+m AS (SELECT replace(text, 'Смотри: ', '') AS mention, count(*) AS times FROM f WHERE starts_with(text, 'Смотри: ') GROUP BY 1)
+SELECT mention, times, starts_with(mention, 'Иванов ') OR coalesce(n, 0) < 2 AS kept FROM m LEFT JOIN s ON w = replace(lower(split_part(mention, ' ', 1)), 'ё', 'е')
+"""
+
+
 def changed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose content a ledger of the even ones (of which each fourth is outdated) does not have."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
@@ -399,6 +425,7 @@ O_CHANGED = "SELECT doc_id AS path, sha256(text) AS sha256 FROM documents WHERE
 
 
 def texts_holding_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cluster.prepare(spark)
     stems = spark.createDataFrame([("idio",), ("worthless",), ("berlin",), ("thanedble",)], "stem string")
     return audit.holding(_table(spark, sf_dir, "documents").select("doc_id", "text"), stems)
 
@@ -406,6 +433,23 @@ def texts_holding_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 O_STEMS = "SELECT DISTINCT doc_id, stem FROM documents, (VALUES ('idio'), ('worthless'), ('berlin'), ('thanedble')) AS s(stem) WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])' || stem)"
 
 
+def texts_holding_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a piece out of the middle of a long word of the benchmark, or across two of its words, anywhere."""
+    cluster.prepare(spark)
+    items = _table(spark, sf_dir, "benchmark").select(F.lower("text").alias("t"))
+    long = items.select(F.explode(F.regexp_extract_all("t", F.lit("[a-z]{8,}"), 0)).alias("w")).select(F.substring("w", 3, 5).alias("stem"))
+    across = items.select(F.regexp_extract("t", "[a-z]{2} [a-z]{5}", 0).alias("stem")).filter("stem <> ''")
+    return audit.holding(_table(spark, sf_dir, "documents").select("doc_id", "text"), long.union(across).distinct(), inside=True)
+
+
+O_SUBSTRINGS = """
+WITH i AS (SELECT lower(text) AS t FROM benchmark),
+s AS (SELECT substr(w, 3, 5) AS stem FROM (SELECT unnest(regexp_extract_all(t, '[a-z]{8,}')) AS w FROM i) UNION SELECT regexp_extract(t, '[a-z]{2} [a-z]{5}') FROM i WHERE regexp_matches(t, '[a-z]{2} [a-z]{5}')),
+d AS (SELECT doc_id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS t FROM documents)
+SELECT DISTINCT doc_id, stem FROM d JOIN s ON contains(t, stem)
+"""
+
+
 def written_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.lpad(((F.col("c_custkey").cast("long") * 12347) % 10000000000).cast("string"), 10, "0")
     rows = _table(spark, sf_dir, "customer").select("c_custkey", key.alias("key"))
@@ -454,7 +498,7 @@ _ALL = (
     (iban_checks, O_IBAN), (normalised_keys, O_KEYS), (registrable_domains, O_DOMAINS), (header_kinds, O_HEADERS), (paradigms, O_PARADIGMS), (keyed_digits, O_KEYED),
     (organisations_found, O_ORGS), (stand_ins_by_type, O_STAND_INS), (replaced_by_type, O_BY_TYPE), (most_replaced, O_MOST), (full_roundtrip, O_FULL), (audit_of_copies, O_AUDIT),
     (people_roundtrip, O_PEOPLE), (changed_documents, O_CHANGED), (texts_holding_stems, O_STEMS), (written_like, O_WRITTEN), (runs_redistributed, O_RUNS), (exported_mapping, O_EXPORTED),
-    (person_readings, O_READINGS), (addresses_linked, O_LINKED),
+    (person_readings, O_READINGS), (addresses_linked, O_LINKED), (texts_holding_substrings, O_SUBSTRINGS), (common_words_vetoed, O_VETO),
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f, _ in _ALL}
 ORACLES: dict[str, str] = {f.__name__: sql for f, sql in _ALL}
