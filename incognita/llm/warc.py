@@ -12,7 +12,7 @@ payloads met twice or more are a table of their own, so Spark sends it to all ta
 rows of a payload that very many pages have.
 
 Each record is a gzip member of its own, as is usual. Files are written under the shared folder to a temporary name and
-then moved; Spark's binaryFile source reads them.
+then moved; Spark's binaryFile source reads those that the tasks that finished have named.
 
 Defined cases: null and empty html are payloads of no bytes and responses. A very long page is as many segments as it
 takes, joined in one pass. Rows that repeat a page_id are records of
@@ -118,7 +118,8 @@ def unzipped(content: bytes) -> bytes:
 def _writer(folder: str, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        stem = f"{context.partitionId():06d}"
+        # A task that runs again writes other files, and only the names that the finished one returns count.
+        stem = f"{context.partitionId():06d}-{context.taskAttemptId()}"
         files = stream = None
         written: list[str] = []
         n_rows, size, temporary, final = 0, 0, "", ""
@@ -209,9 +210,18 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, kinds)
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each page archived under folder: digests, record type and, but for revisits, the payload."""
-    records = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content").mapInArrow(_reader, RECORDS)
+def read_archives(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
+    """One row for each page archived in the named files (file) under folder: digests, record type and, but for revisits, the payload.
+
+    Other files there, which lost tasks have left, are not read; a named file that is missing is an error.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).withColumn("file", F.substring_index("path", "/", -1))
+    found = files.select("file")
+    if not names.join(found, "file", "left_anti").isEmpty():
+        raise ValueError("an archive that was written is missing")
+    # One name for each attempt that was lost: none, as a rule.
+    stale = [r.file for r in found.join(names, "file", "left_anti").collect()]
+    records = files.filter(~F.col("file").isin(stale)).select("content").mapInArrow(_reader, RECORDS)
     whole = records.filter("number is null").select("page_id", "record_type", "refers_to", "digest", F.array("block").alias("blocks"))
     pieces = records.filter("number is not null").groupBy("origin").agg(
         F.array_sort(F.collect_list(F.struct("number", "block"))).alias("pieces"), F.max("total").alias("total"), F.max(F.when(F.col("is_first"), F.col("page_id"))).alias("page_id"),
@@ -230,6 +240,7 @@ def archive(pages: DataFrame, least_bytes: int = 1000, segment_bytes: int = SEGM
     spark = pages.sparkSession
     session.prepare(spark)
     folder = f"{session.shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    if not write_archives(pages, folder, least_bytes, segment_bytes).count():
+    names = write_archives(pages, folder, least_bytes, segment_bytes)
+    if names.isEmpty():
         return spark.createDataFrame([], PAGES)
-    return read_archives(spark, folder)
+    return read_archives(spark, folder, names)

@@ -98,7 +98,7 @@ def test_missing_segments_are_errors(spark, tmp_path):
 
     (tmp_path / "x.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts[:2] + parts[3:]))
     with pytest.raises(Exception, match="segments do not add up"):
-        warc.read_archives(spark, str(tmp_path)).collect()
+        warc.read_archives(spark, str(tmp_path), spark.createDataFrame([(f.name,) for f in tmp_path.glob("*.warc.gz")], "file string")).collect()
 
 
 def test_events_are_folded(spark):
@@ -190,3 +190,17 @@ def test_slices_when_the_heaviest_component_changes(spark):
     for limit in (6, 1):  # two slices, and one for each comparison
         found = near_duplicates.near_duplicates(table, 1, 50, 1, 1, comparisons_per_slice=limit).collect()
         assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 2, 3: 2, 9: 2}
+
+
+def test_files_of_lost_tasks_are_not_read(spark, tmp_path):
+    """A file that a lost attempt left, whole or cut, changes nothing; one that is missing is an error."""
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i}" * (400 if i % 3 else 9000)) for i in range(20)], "page_id long, url string, html string").repartition(2)
+    names = warc.write_archives(pages, f"file://{tmp_path}")
+    first, *_ = sorted(tmp_path.glob("*.warc.gz"))
+    (tmp_path / "000000-999-0000.warc.gz").write_bytes(first.read_bytes())
+    (tmp_path / "000001-998-0000.warc.gz").write_bytes(first.read_bytes()[:100])
+    rows = warc.read_archives(spark, f"file://{tmp_path}", names).collect()
+    assert sorted(r.page_id for r in rows) == list(range(20)) and all(bytes(r.payload).decode() == f"<p>{r.page_id}" * (400 if r.page_id % 3 else 9000) for r in rows)
+    first.unlink()
+    with pytest.raises(ValueError):
+        warc.read_archives(spark, f"file://{tmp_path}", names)
