@@ -191,14 +191,32 @@ _HEADERS = {
 }
 
 
+def _by_customer(spark: SparkSession, sf_dir: str, texts: tuple[str, ...]) -> DataFrame:
+    """c_custkey and word: one of the texts for each customer, in turn."""
+    named = F.element_at(tx.strings(texts), (F.col("c_custkey") % len(texts)).cast("int") + 1)
+    return _table(spark, sf_dir, "customer").select("c_custkey", named.alias("word"))
+
+
+def _in_turn(rows: str) -> str:
+    """DuckDB: c_custkey with the row that _by_customer gives it, of VALUES whose first column is the place."""
+    return f"SELECT * FROM customer JOIN (VALUES {rows}) AS t"
+
+
 def header_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(h,) for h in _HEADERS], "header string")
-    return rows.select("header", headers.kind_by_header(F.col("header")).alias("kind"), headers.is_other(F.col("header")).alias("other"))
+    """What the headers of columns tell, each spelled as in a customer's own sheet: with white space, capitals and a number."""
+    rows = _by_customer(spark, sf_dir, tuple(_HEADERS))
+    spelled = F.when(F.col("word") == "", "").when(F.col("c_custkey") % 3 == 0, F.upper("word")).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("  "), "word")).otherwise(F.concat("word", F.lit(" "), F.col("c_custkey").cast("string")))
+    rows = rows.select("c_custkey", spelled.alias("header"))
+    return rows.select("c_custkey", "header", headers.kind_by_header(F.col("header")).alias("kind"), headers.is_other(F.col("header")).alias("other"))
 
 
 _text = lambda v: "NULL" if v is None else f"'{v}'"
 _OTHER_HEADERS = ("Счет-фактура", "Сумма, тг", "Дата")
-O_HEADERS = "SELECT * FROM (VALUES " + ", ".join(f"({_text(h)}, CAST({_text(k)} AS VARCHAR), {str(h in _OTHER_HEADERS).lower()})" for h, k in _HEADERS.items()) + ") AS t(header, kind, other)"
+_HEADER_ROWS = ", ".join(f"({i}, {_text(h)}, CAST({_text(k)} AS VARCHAR), {str(h in _OTHER_HEADERS).lower()})" for i, (h, k) in enumerate(_HEADERS.items()))
+O_HEADERS = f"""
+SELECT c_custkey, CASE WHEN word = '' THEN '' WHEN c_custkey % 3 = 0 THEN upper(word) WHEN c_custkey % 3 = 1 THEN '  ' || word ELSE word || ' ' || CAST(c_custkey AS VARCHAR) END AS header, kind, other
+FROM ({_in_turn(_HEADER_ROWS)}(i, word, kind, other) ON i = c_custkey % {len(_HEADERS)})
+"""
 
 _PARADIGMS = (
     ("surname", "m", "Иванов Иванова Иванову Иванова Ивановым Иванове"), ("surname", "f", "Иванова Ивановой Ивановой Иванову Ивановой Ивановой"),
@@ -214,13 +232,22 @@ _PARADIGMS = (
 
 
 def paradigms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, g, f.split()[0]) for k, g, f in _PARADIGMS], "kind string, gender string, word string")
+    """All cases of names that belong to customers; every other customer's surname is the half of a double one."""
+    rows = _by_customer(spark, sf_dir, tuple(f"{k} {g} {f.split()[0]}" for k, g, f in _PARADIGMS)).withColumn("w", F.split("word", " "))
+    own = F.get("w", F.lit(2))
+    double = (F.get("w", F.lit(0)) == "surname") & (F.get("w", F.lit(1)) == "m") & (F.floor(F.col("c_custkey") / 19) % 2 == 1)
+    rows = rows.select("c_custkey", F.get("w", F.lit(0)).alias("kind"), F.get("w", F.lit(1)).alias("gender"), F.when(double, F.concat(own, F.lit("-Ким"))).otherwise(own).alias("word"))
     word, gender = F.col("word"), F.col("gender")
     forms = F.when(F.col("kind") == "surname", mo.decline_surname(word, gender)).when(F.col("kind") == "name", mo.decline_name(word, gender)).otherwise(mo.decline_patronymic(word, gender))
-    return rows.select("kind", "gender", "word", F.array_join(forms, " ").alias("forms"))
+    return rows.select("c_custkey", "kind", "gender", "word", F.array_join(forms, " ").alias("forms"))
 
 
-O_PARADIGMS = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{g}', '{f.split()[0]}', '{f}')" for k, g, f in _PARADIGMS) + ") AS t(kind, gender, word, forms)"
+_KIM = ("Ким", "Кима", "Киму", "Кима", "Кимом", "Киме")
+_CASES = ", ".join(f"({i}, '{k}', '{g}', '{f.split()[0]}', '{f}', '{' '.join(f'{w}-{c}' for w, c in zip(f.split(), _KIM))}')" for i, (k, g, f) in enumerate(_PARADIGMS))
+O_PARADIGMS = f"""
+SELECT c_custkey, kind, gender, CASE WHEN double THEN word || '-Ким' ELSE word END AS word, CASE WHEN double THEN doubled ELSE forms END AS forms
+FROM (SELECT *, kind = 'surname' AND gender = 'm' AND c_custkey // 19 % 2 = 1 AS double FROM ({_in_turn(_CASES)}(i, kind, gender, word, forms, doubled) ON i = c_custkey % {len(_PARADIGMS)}))
+"""
 
 
 def keyed_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -479,19 +506,23 @@ O_EXPORTED = f"SELECT DISTINCT typ, key AS real FROM ({O_FRAGMENTS}) WHERE key <
 
 
 def person_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best reading of some mentions."""
+    """The best readings of mentions in customers' notes, and how many customers have each."""
     cluster.prepare(spark)
-    rows = spark.createDataFrame([(k,) for k in _READINGS], "mention string")
-    read = names.readings(names.parsed(rows))
+    notes = _by_customer(spark, sf_dir, tuple(_READINGS)).withColumn("word", F.concat(F.lit("Договор с "), "word", F.lit(" подписан, № "), F.col("c_custkey").cast("string")))
+    rows = notes.select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("frag_id"), F.col("word").alias("text"), F.lit(None).cast("string").alias("hint"))
+    said = names.mentions(rows).groupBy("mention").agg(F.count("*").alias("times")).checkpoint()
+    read = names.readings(names.parsed(said.select("mention")))
     best = read.groupBy("mention").agg(F.max_by(F.struct("sur", "gender", "name", "patr", "init_n", "init_p"), F.struct("score", "gender", "sur")).alias("r"))
-    return best.select("mention", F.concat_ws(" ", "r.sur", "r.gender", "r.name", "r.patr", "r.init_n", "r.init_p").alias("reading"))
+    best = best.select("mention", F.concat_ws(" ", "r.sur", "r.gender", "r.name", "r.patr", "r.init_n", "r.init_p").alias("reading"))
+    return said.join(best, "mention").select("mention", "reading", "times")
 
 
 _READINGS = {
     "Ивановой Марией Петровной": "Иванова f Мария Петровна М П", "Иванову Сергею Олеговичу": "Иванов m Сергей Олегович С О", "А. С. Пушкину": "Пушкин m А С", "Иванова М.П.": "Иванова f М П",
     "Серик Нұрлан Болатұлы": "Серик m Нұрлан Болатұлы Н Б", "Игоря Николаевича Чайковского": "Чайковский m Игорь Николаевич И Н",
 }
-O_READINGS = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _READINGS.items()) + ") AS t(mention, reading)"
+_READ = ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(_READINGS.items()))
+O_READINGS = f"SELECT mention, reading, count(*) AS times FROM ({_in_turn(_READ)}(i, mention, reading) ON i = c_custkey % {len(_READINGS)}) GROUP BY ALL"
 
 _ALL = (
     (roundtrip_documents, O_ROUNDTRIP), (detect_emails, O_EMAILS), (detect_url_domains, O_URL_DOMAINS), (detect_in_fragments, O_FRAGMENTS), (validate_numbers, O_VALIDATE),
