@@ -10,8 +10,8 @@ pass and changes no result.
 A phrase that is met min_count times has parts that are met as often at least. So candidates meet the counts of their
 first and last parts in joins on (lang, phrase), are scored in Decimal, lose to an extension by one word that is met half
 as often (anti-join; an extension by more words is met no more often than the one by one word between them), and are
-ranked by a window that keeps only the first rows of each language in every task before it brings them together. A
-language that holds most rows is no hot group, as the sums are by phrase.
+ranked by a window, first within SHARDS parts of each language and then among the first of these. A language that holds most
+rows is no hot group, as the sums are by phrase.
 
 Defined cases: null texts are empty; null languages are `und`. Texts without words give no rows, nor do empty tables.
 Repeated rows count each. Ties of score and count go to the phrase whose UTF-8 bytes come first. Very long texts are read
@@ -36,6 +36,8 @@ from incognita.llm.text_arrays import U64
 SHARE = 50
 #: Hashes that a task sums up at once.
 HELD = 4 << 20
+#: Parts of a language that are ranked by themselves before the language is.
+SHARDS = 32
 _PLACE_BITS = 27
 FILTER_BITS = 1 << _PLACE_BITS
 
@@ -194,8 +196,10 @@ def collocations(docs: DataFrame, max_n: int = 3, min_count: int = 10, top: int
     inner = inner.groupBy("lang", "inner").agg(F.max("outer").alias("outer"))
     replaced = (F.col("o.lang") == F.col("i.lang")) & (F.col("o.phrase") == F.col("i.inner")) & (100 * F.col("i.outer") >= share * F.col("o.a"))
     stay = least.alias("o").join(inner.alias("i"), replaced, "left_anti").select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    # The filter is on the window's own column, so that Spark limits each task's rows before it deals them out by language.
-    first = stay.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("long"))
+    # First within shards of a language, so that no task gets more than SHARDS times top of its rows.
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    shard = F.pmod(F.xxhash64("phrase"), F.lit(SHARDS))
+    first = stay.withColumn("shard", shard).withColumn("rank", place("lang", "shard")).filter(F.col("rank") <= top).drop("shard", "rank")
+    first = first.withColumn("rank", place("lang")).filter(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("long"))
     # One row a language: a sum over words, small as the languages are few; not hinted, Spark knows the size of what it has read.
     return first.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
