@@ -8,10 +8,12 @@ root of its size (`fan` at least), each with a centre of its own, and the centre
 node has more than that many arms in a bucket, and no key of the joins behind is hotter. Candidates are confirmed on full
 shingle sets, as hashes of 48 bits.
 
-A star misses pairs of which neither is the centre. In buckets that hold several components, the nodes outside the one that
-holds most of the bucket are therefore the arms of further stars, around `centres` nodes of that one, for as long as this
-joins a tenth of them. A completing step then takes the nodes of buckets that still hold several components, and finds the similar pairs among them exactly: shingles are put into one order, those that few
-of these nodes have first (counted in a table of fixed size, so counts may be too high, which changes the order but no
+A star misses pairs of which neither is the centre. In buckets that hold several components, further stars are therefore
+made for as long as they join a tenth of their arms: a bucket's nodes are dealt into parts, by another hash in each round,
+and in each part the nodes outside the component that holds most of it are the arms of `centres` nodes of that one. Parts
+are as small as those of a star of stars, so no node has more arms in a bucket than there. A completing step then takes
+the nodes of buckets that still hold several components, and finds the similar pairs among them exactly: shingles are put
+into one order, those that few of these nodes have first (counted in a table of fixed size, so counts may be too high, which changes the order but no
 result); similar nodes share a shingle among the first few of each, and where they share it bounds their intersection.
 Only pairs of different components are compared; of a shingle's nodes, those of the component that holds it most often are
 not compared with one another. If many comparisons are ahead, the step goes by slices of the nodes: which nodes are
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incognita.llm import session
@@ -207,27 +209,34 @@ def _confirm(percent: int):
     return run
 
 
+def parts(n: str, fan: int) -> Column:
+    """Into how many parts a bucket of n nodes is dealt: of up to fan nodes each, or the square root of n where that is more.
+
+    Powers of two, so that buckets of about one size deal their nodes alike and their stars are much the same.
+    """
+    return F.expr(f"shiftleft(1L, cast(ceil(log2(greatest(1, {n} / greatest({fan}, sqrt({n}))))) as int))")
+
+
 def star_edges(shared: DataFrame, fan: int) -> DataFrame:
     """Candidate pairs (a, b) of buckets: shared has bucket, nid, centre and n, the bucket's number of nodes."""
     near = shared.filter(F.col("n") <= fan).select(F.col("centre").alias("a"), F.col("nid").alias("b"))
-    # Powers of two, so that buckets of about one size deal their nodes alike and their stars are much the same.
-    parts = F.expr(f"shiftleft(1L, cast(ceil(log2(n / greatest({fan}, sqrt(n)))) as int))")
-    wide = shared.filter(F.col("n") > fan).withColumn("part", F.pmod(F.xxhash64("nid"), parts))
+    wide = shared.filter(F.col("n") > fan).withColumn("part", F.pmod(F.xxhash64("nid"), parts("n", fan)))
     inner = wide.groupBy("bucket", "part").agg(F.min("nid").alias("own"), F.min("centre").alias("centre"))
     arms = wide.select("bucket", "part", "nid").join(inner, ["bucket", "part"]).select(F.col("own").alias("a"), F.col("nid").alias("b"))
     return near.union(arms).union(inner.select(F.col("centre").alias("a"), F.col("own").alias("b"))).filter("a <> b").distinct()
 
 
-def further_stars(tables: session.Tables, named: DataFrame, centres: int, name: str) -> DataFrame:
-    """Pairs (a, b) of nodes b of buckets (bucket, nid, label) and some nodes a of the label that most of the bucket has.
+def further_stars(named: DataFrame, centres: int, fan: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of nodes b of a bucket's part and some nodes a of the label that most of the part has.
 
-    Which nodes are centres goes by hashes of nid, so that buckets with much the same nodes have the same centres.
+    named has bucket, n, nid and label. Which nodes are centres goes by hashes of nid, so that buckets with much the same
+    nodes have the same centres.
     """
+    dealt = named.withColumn("part", F.pmod(F.xxhash64("nid", F.lit(-1 - turn)), parts("n", fan)))
     drawn = F.array(*[F.min_by("nid", F.xxhash64("nid", F.lit(j))) for j in range(centres)]).alias("drawn")
-    by_label = named.groupBy("bucket", "label").agg(F.count("*").alias("n"), drawn)
-    most = by_label.groupBy("bucket").agg(F.max_by(F.struct("label", "drawn"), F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
-    # A table of its own, so that Spark can split the rows of a bucket that very many nodes are in.
-    arms = named.join(tables.keep(most, name), "bucket").filter("label <> main.label")
+    by_label = dealt.groupBy("bucket", "part", "label").agg(F.count("*").alias("m"), drawn)
+    most = by_label.groupBy("bucket", "part").agg(F.max_by(F.struct("label", "drawn"), F.struct("m", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
+    arms = dealt.join(most, ["bucket", "part"]).filter("label <> main.label")
     return arms.select(F.explode(F.array_distinct("main.drawn")).alias("a"), F.col("nid").alias("b")).distinct()
 
 
@@ -259,7 +268,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     Sets linked: 100 * intersection >= percent * union. At 32 bands of 6 bins, texts of similarity 0.85 share no band
     with a probability of 3e-7, of 0.8 with 6e-5. comparisons_per_slice bounds the pairs looked at at once in the
-    completing step, fan the arms of a star below which a bucket is one star; centres is the number of further stars.
+    completing step, fan the arms of a star below which a bucket is one star; centres is the number of further stars in a part.
     """
     spark = docs.sparkSession
     session.prepare(spark)
@@ -288,19 +297,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     known = components(tables, active.select("nid", F.col("nid").alias("label")), links, "labels")
     turn, asked, joined = 0, 1, 1
     while joined and 10 * joined >= asked:
-        named = tables.keep(shared.filter("n > 2").select("bucket", "nid").join(known, "nid"), f"named-{turn}")
-        pairs = tables.keep(further_stars(tables, named, centres, f"most-{turn}"), f"pairs-{turn}")
+        named = tables.keep(shared.filter("n > 2").select("bucket", "n", "nid").join(known, "nid"), f"named-{turn}")
+        pairs = tables.keep(further_stars(named, centres, fan, turn), f"pairs-{turn}")
         found = confirmed(pairs, f"found-{turn}")
         asked, joined = (x.select("b").distinct().count() for x in (pairs, found))
         if joined:
             known = components(tables, known, found, f"labels-of-{turn}")
-        tables.drop(f"most-{turn}", f"pairs-{turn}", f"found-{turn}", *[f"named-{turn}"] * bool(joined))
+        tables.drop(f"pairs-{turn}", f"found-{turn}", *[f"named-{turn}"] * bool(joined))
         turn += 1
     if joined:
-        named = tables.keep(shared.filter("n > 2").select("bucket", "nid").join(known, "nid"), "named")
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("bucket")
-    mixed = tables.keep(mixed, "mixed")
-    apart = named.join(mixed, "bucket", "left_semi").select("nid", "label").distinct()
+        named = tables.keep(shared.filter("n > 2").select("bucket", "n", "nid").join(known, "nid"), "named")
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.first("n").alias("n")).filter("least <> most")
+    # A bucket's nodes meet it part by part, so that no task gets all of a large one.
+    mixed = tables.keep(mixed.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), parts("n", fan) - 1)).alias("part")), "mixed")
+    dealt = named.withColumn("part", F.pmod(F.xxhash64("nid"), parts("n", fan)))
+    apart = dealt.join(mixed, ["bucket", "part"], "left_semi").select("nid", "label").distinct()
     apart_sets = tables.keep(sets.join(apart, "nid").select("nid", "label", "shingles"), "apart-sets")
     tables.drop("candidates", "shared", "named" if joined else f"named-{turn - 1}")
     often = np.zeros(SLOTS, dtype=np.int64)

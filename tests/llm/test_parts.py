@@ -180,6 +180,16 @@ def test_large_near_copy_group(spark):
     assert sorted(map(str, found)) == sorted(map(str, sliced))
 
 
+def test_further_stars_have_bounded_arms(spark):
+    """A bucket of 6,000 nodes that nothing links, and one where most are of one component: no centre has many arms, all nodes are asked."""
+    rows = spark.range(6_000).selectExpr("explode(array(1L, 2L)) as bucket", "6000L as n", "id as nid").selectExpr("*", "if(bucket = 2 and nid % 3 > 0, 1L, nid) as label")
+    for turn in (0, 1):
+        pairs = near_duplicates.further_stars(rows, 4, 64, turn)
+        assert pairs.groupBy("a").count().agg(F.max("count")).first()[0] <= 160
+        # In the bucket without links each part's main component is one node.
+        assert 5_800 <= pairs.select("b").distinct().count() <= 6_000 and pairs.count() < 6 * 6_000
+
+
 def test_slices_when_the_heaviest_component_changes(spark):
     """In the first slice 9 is heaviest and 3 joins 2; then 2 is, and its pair with 9 must still be compared."""
     docs = [
