@@ -1,11 +1,13 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Seeds are what four plain patterns find: e-mail and IP addresses, card numbers, phone numbers. The two words before tokens
-that look like identifiers (they have a digit or an at sign), back to the one before, are lexical patterns; so is a single
-word where there is but one. Patterns and tokens form a graph, which is
+Seeds are what four plain patterns find (e-mail and IP addresses, card numbers, phone numbers), and keys: runs of 24 or more
+letters and digits that have both, as access tokens and digests are. Each token that looks like an identifier (it has a digit
+or an at sign) has two lexical patterns: the two words before it, back to the token before (a single one where there is but
+one), and the words next to it on both sides. Patterns and tokens form a graph, which is
 scored in rounds: a pattern's score is the mean score of the distinct tokens that follow it, provided enough of them
 are good; a token's score is 1 for a seed and else that of its best pattern. Tokens that end above the threshold are
-added, wherever a pattern above the threshold precedes them. The graph is counted over all documents, by partial sums.
+added, wherever a pattern above the threshold holds them. A key is no base match, so it is added only there too: a digest
+in some other place, as of a file, is left alone. The graph is counted over all documents, by partial sums.
 
 Positions come from splitting the text at the matches: gaps and matches are read side by side, and their lengths summed up
 in a window over one text's matches. All positions are code points. Patterns begin only where a run of their characters
@@ -36,6 +38,8 @@ PATTERNS = {
 }
 _SPACE = " \\t\\n\\x0B\\f\\r"
 TOKEN = f"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
+KEY = "(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{24,}+"
+_PIECES = "array<struct<gap:int,value:string,contexts:array<string>>>"
 
 
 def digits(value: Column) -> Column:
@@ -60,26 +64,38 @@ def _last_words(gap: Column) -> Column:
     return F.lower(F.trim(F.concat_ws(" ", F.substring_index(rest, " ", -1), last)))
 
 
+def _contexts(before: Column, after: Column) -> Column:
+    """The patterns of a token between two gaps, in small letters: the last words before it, and the words on both sides."""
+    left = _last_words(before)
+    right = F.lower(F.substring_index(F.ltrim(F.translate(F.coalesce(after, F.lit("")), "\t\n\x0b\f\r", "     ")), " ", 1))
+    sides = F.when((left != "") & (right != ""), F.concat(F.substring_index(left, " ", -1), F.lit(" _ "), right))
+    return F.array_compact(F.array(F.nullif(left, F.lit("")), sides))
+
+
 def _pieces(text: Column, pattern: str, when: Column, context: bool = False) -> Column:
-    """The matches, each with the length of the gap before it, and the last words of that gap if asked for."""
+    """The matches, each with the length of the gap before it, and its patterns if asked for."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
 
-    def piece(value: Column, gap: Column) -> Column:
-        return F.struct(F.char_length(gap).alias("gap"), value.alias("value"), (_last_words(gap) if context else F.lit("")).alias("before"))
+    def piece(value: Column, gap: Column, contexts: Column) -> Column:
+        return F.struct(F.char_length(gap).alias("gap"), value.alias("value"), contexts.alias("contexts"))
 
     # The last gap has no match behind it.
-    return F.when(when, F.filter(F.zip_with(found, gaps, piece), lambda p: p["value"].isNotNull()))
+    if not context:
+        none = F.array().cast("array<string>")
+        return F.when(when, F.filter(F.zip_with(found, gaps, lambda v, g: piece(v, g, none)), lambda p: p["value"].isNotNull()))
+    pairs = F.zip_with(gaps, F.slice(gaps, 2, F.size(gaps)), lambda before, after: F.struct(before.alias("before"), after.alias("after")))
+    return F.when(when, F.filter(F.zip_with(found, pairs, lambda v, g: piece(v, g["before"], _contexts(g["before"], g["after"]))), lambda p: p["value"].isNotNull()))
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """All matches of the four patterns and all identifier-like tokens: doc_id, version, kind, start, end, value, before.
+    """All matches of the four patterns and all identifier-like tokens: doc_id, version, kind, start, end, value, contexts.
 
     version tells texts of one doc_id apart. Equal rows give their matches once.
     """
     text = F.col("text")
     at, digit = F.contains(text, F.lit("@")), text.rlike("[0-9]")
     when = {"email": at, "ip": digit & F.contains(text, F.lit(".")), "card": digit, "phone": F.contains(text, F.lit("+"))}
-    kinds = [F.struct(F.lit(k).alias("kind"), F.coalesce(_pieces(text, p, when[k]), F.array().cast("array<struct<gap:int,value:string,before:string>>")).alias("pieces")) for k, p in PATTERNS.items()]
+    kinds = [F.struct(F.lit(k).alias("kind"), F.coalesce(_pieces(text, p, when[k]), F.array().cast(_PIECES)).alias("pieces")) for k, p in PATTERNS.items()]
     kinds.append(F.struct(F.lit("token").alias("kind"), _pieces(text, TOKEN, at | digit, context=True).alias("pieces")))
     # The cheap test comes first, in a filter of its own, so that most texts meet none of the patterns.
     some = docs.filter(at | digit).select("doc_id", F.xxhash64("text").alias("version"), F.explode(F.array(*kinds)).alias("of"))
@@ -87,27 +103,28 @@ def matches(docs: DataFrame) -> DataFrame:
     each = once.select("doc_id", "version", "kind", F.posexplode("pieces").alias("i", "p"))
     size = F.char_length("p.value")
     until = F.sum(F.col("p.gap") + size).over(Window.partitionBy("doc_id", "version", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    return each.select("doc_id", "version", "kind", (until - size).alias("start"), until.alias("end"), F.col("p.value").alias("value"), F.col("p.before").alias("before"))
+    return each.select("doc_id", "version", "kind", (until - size).alias("start"), until.alias("end"), F.col("p.value").alias("value"), F.col("p.contexts").alias("contexts"))
 
 
 def is_seed(token: Column) -> Column:
     """Whether a token holds a base match or begins one."""
     first = lambda kind: F.regexp_extract(token, PATTERNS[kind], 0)
     checks = [(first(k) != "") & F.coalesce(valid(k, first(k)), F.lit(False)) for k in ("email", "ip", "card")]
-    return checks[0] | checks[1] | checks[2] | token.rlike("\\+[0-9]")
+    return checks[0] | checks[1] | checks[2] | token.rlike("\\+[0-9]") | token.rlike(KEY)
 
 
 def bootstrap(tokens: DataFrame, rounds: int, threshold: float, support: int) -> DataFrame:
-    """(before, value) pairs to add: tokens that are no seeds, behind high-scoring patterns."""
-    graph = tokens.filter("before <> ''").groupBy("before", "value").agg(F.lit(1).alias("edge")).select("before", "value", is_seed(F.col("value")).alias("seed")).checkpoint()
+    """(context, value) pairs to add: tokens in high-scoring patterns. tokens has contexts and value."""
+    edges = tokens.select(F.explode("contexts").alias("context"), "value").groupBy("context", "value").agg(F.lit(1).alias("edge"))
+    graph = edges.select("context", "value", is_seed(F.col("value")).alias("seed")).checkpoint()
     scored = graph.withColumn("score", F.col("seed").cast("double"))
     for _ in range(rounds):
-        patterns = scored.groupBy("before").agg(F.avg("score").alias("mean"), F.count_if(F.col("score") >= threshold).alias("good"))
-        patterns = patterns.select("before", F.when(F.col("good") >= support, F.col("mean")).otherwise(0.0).alias("pattern_score"))
-        edges = graph.join(patterns, "before")
+        patterns = scored.groupBy("context").agg(F.avg("score").alias("mean"), F.count_if(F.col("score") >= threshold).alias("good"))
+        patterns = patterns.select("context", F.when(F.col("good") >= support, F.col("mean")).otherwise(0.0).alias("pattern_score"))
+        edges = graph.join(patterns, "context")
         best = edges.groupBy("value").agg(F.max("pattern_score").alias("best"))
-        scored = edges.join(best, "value").select("before", "value", "seed", "pattern_score", F.when(F.col("seed"), 1.0).otherwise(F.col("best")).alias("score"))
-    return scored.filter((~F.col("seed")) & (F.col("score") >= threshold) & (F.col("pattern_score") >= threshold)).select("before", "value")
+        scored = edges.join(best, "value").select("context", "value", "seed", "pattern_score", F.when(F.col("seed"), 1.0).otherwise(F.col("best")).alias("score"))
+    return scored.filter((F.col("score") >= threshold) & (F.col("pattern_score") >= threshold)).select("context", "value")
 
 
 def find_personal_data(docs: DataFrame, rounds: int = 3, threshold: float = 0.9, support: int = 5) -> DataFrame:
@@ -124,10 +141,13 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, threshold: float = 0.9,
         ok = F.when(F.col("kind") == k, F.coalesce(valid(k, F.col("value")), F.lit(False))).otherwise(ok)
     base = found.filter(F.col("kind") != "token").filter(ok).select("doc_id", "version", "kind", "start", "end")
     tokens = found.filter(F.col("kind") == "token")
-    added = tokens.join(bootstrap(tokens, rounds, threshold, support), ["before", "value"])
-    # Closing punctuation behind a token is not part of it.
-    trimmed = F.char_length(F.col("value")) - F.char_length(F.regexp_replace("value", "[.,;:!?)\\]\"']+$", ""))
-    added = added.select("doc_id", "version", F.lit(FOUND).alias("kind"), "start", (F.col("end") - trimmed).alias("end"))
+    held = tokens.select("doc_id", "version", "start", "end", "value", F.explode("contexts").alias("context"))
+    # Punctuation around a token is not part of it; a token of nothing else goes. Both of its patterns may hold it.
+    inner = F.regexp_replace("value", "[^\\p{L}\\p{N}=]+$", "")
+    lead = F.char_length(inner) - F.char_length(F.regexp_replace(inner, "^[^\\p{L}\\p{N}@+]+", ""))
+    added = held.join(bootstrap(tokens, rounds, threshold, support), ["context", "value"])
+    added = added.select("doc_id", "version", F.lit(FOUND).alias("kind"), (F.col("start") + lead).alias("start"), (F.col("end") - F.char_length("value") + F.char_length(inner)).alias("end"))
+    added = added.filter("start < end").distinct()
     # No base span is lost to an added one: an added one that overlaps a base span is dropped. It does if of the base
     # spans that begin before its end one ends behind its start.
     is_base = F.col("kind") != FOUND
