@@ -3,7 +3,7 @@
 Seeds are what four plain patterns find (e-mail and IP addresses, card numbers, phone numbers), and keys: runs of 24 or more
 letters and digits that have both, as access tokens and digests are. Each token that looks like an identifier (it has a digit
 or an at sign) has two lexical patterns: the two words before it, back to the token before (a single one where there is but
-one), and the words next to it on both sides. Patterns and tokens form a graph, which is
+one), and the words next to it on both sides; those without a letter are none. Patterns and tokens form a graph, which is
 scored in rounds: a pattern's score is the mean score of the distinct tokens that follow it, provided enough of them
 are good; a token's score is 1 for a seed and else that of its best pattern. Tokens that end above the threshold are
 added, wherever a pattern above the threshold holds them. A key is no base match, so it is added only there too: a digest
@@ -69,7 +69,8 @@ def _contexts(before: Column, after: Column) -> Column:
     left = _last_words(before)
     right = F.lower(F.substring_index(F.ltrim(F.translate(F.coalesce(after, F.lit("")), "\t\n\x0b\f\r", "     ")), " ", 1))
     sides = F.when((left != "") & (right != ""), F.concat(F.substring_index(left, " ", -1), F.lit(" _ "), right))
-    return F.array_compact(F.array(F.nullif(left, F.lit("")), sides))
+    # A pattern holds a word, not signs alone.
+    return F.filter(F.array(left, sides), lambda c: c.rlike("\\p{L}"))
 
 
 def _pieces(text: Column, pattern: str, when: Column, context: bool = False) -> Column:
