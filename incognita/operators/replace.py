@@ -17,6 +17,7 @@ from incognita.functions import text as tx
 from incognita.operators.detect import PRIORITY, detect_numbers
 from incognita.operators.links import linked_addresses, linked_domains
 from incognita.operators.permuted import TYPES, permuted
+from incognita.operators.sequences import path, standing
 from incognita.operators.stand_ins import GENERIC_LOCALS, PUBLIC_DOMAINS, assign, unassigned
 
 SPAN = "array<struct<prio:int,start:int,end:int,typ:string,old:string,new:string>>"
@@ -105,16 +106,11 @@ def looked_up(candidates: DataFrame, mapping: DataFrame, restore: bool) -> DataF
 def form_spans(fragments: DataFrame, forms: DataFrame) -> DataFrame:
     """Spans of token sequences in fragments that forms (key, dst, need_quotes) has.
 
-    From the left, the longest form at each place is taken and the search goes on behind it. Forms are found by an
-    equi-join with all runs of tokens that are as long as some form; rows of that join hold no text, and only fragments
-    with a hit meet their text again.
+    From the left, the longest form at each place is taken and the search goes on behind it. Forms are found by a walk along
+    them, sorted (sequences.py); places hold a few tokens and no text, and only fragments with a hit meet their text again.
     """
-    between = "\x1f"
-    lengths = F.broadcast(forms.agg(F.collect_set(F.size("key")).alias("lengths")))
-    named = fragments.select("doc_id", "frag_id", F.transform(tx.words(F.col("text")), tx.fold_yo).alias("names")).filter(F.size("names") > 0).crossJoin(lengths)
-    run = lambda n: F.transform(F.sequence(F.lit(0), F.size("names") - n), lambda i: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice("names", i + 1, n), between).alias("key")))
-    runs = named.select("doc_id", "frag_id", F.explode(F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.size("names")), run))).alias("r")).select("doc_id", "frag_id", "r.*")
-    met = runs.join(forms.select(F.array_join("key", between).alias("key"), "dst", "need_quotes"), "key")
+    named = fragments.select("doc_id", "frag_id", F.transform(tx.words(F.col("text")), tx.fold_yo).alias("names"))
+    met = standing(named, forms.select("key")).join(forms.select(path(F.col("key")).alias("path"), "dst", "need_quotes"), "path")
     hits = met.groupBy(F.col("doc_id").alias("h_doc"), F.col("frag_id").alias("h_frag")).agg(F.collect_list(F.struct("i", "n", "dst", "need_quotes")).alias("hits"))
     rows = fragments.join(hits, F.col("doc_id").eqNullSafe(F.col("h_doc")) & (F.col("frag_id") == F.col("h_frag"))).select("doc_id", "frag_id", "text", tx.tokens(F.col("text")).alias("toks"), "hits")
 

@@ -20,6 +20,7 @@ from incognita.functions.keyed import digits, hmac_hex, padded
 from incognita.operators import audit, lexicon, links, names
 from incognita.operators.detect import detect_numbers, find_organisations
 from incognita.operators.replace import MAPPING, by_type, extend_mapping, replace, statistics
+from incognita.operators.sequences import standing
 from incognita.plans import jobs
 from incognita.sources.mapping_export import export_rows
 
@@ -477,6 +478,32 @@ SELECT DISTINCT doc_id, stem FROM d JOIN s ON contains(t, stem)
 """
 
 
+#: How many words the longest beginnings of benchmark items have.
+_LONGEST = 15
+
+
+def sequences_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At how many places of documents each beginning of a benchmark item, one to fifteen words long, is the longest that stands there."""
+    cluster.prepare(spark)
+    item = tx.words(F.lower("text"))
+    lengths = F.sequence(F.lit(1), F.least(F.size(item), F.lit(_LONGEST)))
+    begins = _table(spark, sf_dir, "benchmark").select(F.explode(F.transform(lengths, lambda n: F.slice(item, F.lit(1), n))).alias("key")).distinct()
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("frag_id"), tx.words(F.lower("text")).alias("names"))
+    found = standing(docs, begins).groupBy("doc_id", "i").agg(F.max_by("path", "n").alias("path"), F.max("n").alias("words"))
+    return found.groupBy(F.rtrim(F.translate("path", "\x01", " ")).alias("begin"), F.col("words").cast("long").alias("words")).agg(F.count("*").alias("places"))
+
+
+O_SEQUENCES = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}]\\.|[\\p{{L}}\\p{{M}}\\p{{N}}_]+(?:[-‐][\\p{{L}}\\p{{M}}\\p{{N}}_]+)*|[«»"“”„'']') AS t FROM documents),
+b AS (SELECT regexp_extract_all(lower(text), '[\\p{{L}}]\\.|[\\p{{L}}\\p{{M}}\\p{{N}}_]+(?:[-‐][\\p{{L}}\\p{{M}}\\p{{N}}_]+)*|[«»"“”„'']') AS t FROM benchmark),
+k AS (SELECT DISTINCT n, array_to_string(t[1:n], ' ') AS begin FROM b, range(1, {_LONGEST + 1}) AS r(n) WHERE n <= len(t)),
+f AS (SELECT DISTINCT begin FROM k WHERE n = 1),
+p AS (SELECT doc_id, i, t[i:i + {_LONGEST - 1}] AS run FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM w) WHERE t[i] IN (SELECT begin FROM f)),
+h AS (SELECT doc_id, i, p.n, array_to_string(run[1:p.n], ' ') AS begin FROM (SELECT * FROM p, range(1, {_LONGEST + 1}) AS r(n) WHERE n <= len(run)) AS p SEMI JOIN k ON k.n = p.n AND k.begin = array_to_string(run[1:p.n], ' '))
+SELECT begin, n AS words, count(*) AS places FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY n DESC) = 1) GROUP BY ALL
+"""
+
+
 def written_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.lpad(((F.col("c_custkey").cast("long") * 12347) % 10000000000).cast("string"), 10, "0")
     rows = _table(spark, sf_dir, "customer").select("c_custkey", key.alias("key"))
@@ -529,7 +556,7 @@ _ALL = (
     (iban_checks, O_IBAN), (normalised_keys, O_KEYS), (registrable_domains, O_DOMAINS), (header_kinds, O_HEADERS), (paradigms, O_PARADIGMS), (keyed_digits, O_KEYED),
     (organisations_found, O_ORGS), (stand_ins_by_type, O_STAND_INS), (replaced_by_type, O_BY_TYPE), (most_replaced, O_MOST), (full_roundtrip, O_FULL), (audit_of_copies, O_AUDIT),
     (people_roundtrip, O_PEOPLE), (changed_documents, O_CHANGED), (texts_holding_stems, O_STEMS), (written_like, O_WRITTEN), (runs_redistributed, O_RUNS), (exported_mapping, O_EXPORTED),
-    (person_readings, O_READINGS), (addresses_linked, O_LINKED), (texts_holding_substrings, O_SUBSTRINGS), (common_words_vetoed, O_VETO),
+    (person_readings, O_READINGS), (addresses_linked, O_LINKED), (texts_holding_substrings, O_SUBSTRINGS), (common_words_vetoed, O_VETO), (sequences_standing, O_SEQUENCES),
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f, _ in _ALL}
 ORACLES: dict[str, str] = {f.__name__: sql for f, sql in _ALL}
