@@ -17,7 +17,7 @@ from incognita.functions import checks, headers
 from incognita.functions import morphology as mo
 from incognita.functions import text as tx
 from incognita.functions.keyed import digits, hmac_hex, padded
-from incognita.operators import audit, lexicon, links, names
+from incognita.operators import audit, lexicon, links, names, paths
 from incognita.operators.detect import detect_numbers, find_organisations
 from incognita.operators.replace import MAPPING, by_type, extend_mapping, replace, statistics
 from incognita.operators.sequences import standing
@@ -513,6 +513,48 @@ def written_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 O_WRITTEN = "SELECT c_custkey, '+7 (' || substr(k, 1, 3) || ') ' || substr(k, 4, 3) || '-' || substr(k, 7, 2) || '-' || substr(k, 9, 2) AS phone, substr(k, 1, 4) || ' ' || substr(k, 5, 4) AS iban FROM (SELECT c_custkey, lpad(CAST((CAST(c_custkey AS BIGINT) * 12347) % 10000000000 AS VARCHAR), 10, '0') AS k FROM customer)"
 
 
+#: A file of each customer and the name it is to get: many get the same, and some of those that do not have a number already.
+RENAMED = f"""
+SELECT 'in/' || CAST({_N} AS STRING) AS path, CASE WHEN c_custkey % 7 = 0 THEN 'out/a' || CAST({_N} % 5 AS STRING) || ' (' || CAST({_N} % 11 + 1 AS STRING) || ').txt'
+  WHEN c_custkey % 7 = 1 THEN 'out.d/' || CAST({_N} % 3 AS STRING) WHEN c_custkey % 7 = 2 THEN '.hidden' ELSE 'out/a' || CAST({_N} % 13 AS STRING) || '.txt' END AS new_path FROM customer
+"""
+
+
+def paths_without_clash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What customers' files are called once no two have the same name."""
+    cluster.prepare(spark)
+    return paths.number_clashes(spark.sql(RENAMED.replace("FROM customer", "FROM {customer}"), customer=_table(spark, sf_dir, "customer").select("c_custkey")))
+
+
+O_NO_CLASH = f"""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY new_path ORDER BY path) AS k FROM ({RENAMED})),
+s AS (SELECT path, new_path, k, regexp_extract(new_path, '^(.*/)?[^/.]+(\\.[^./]*)$', 2) AS ext FROM r),
+t AS (SELECT *, left(new_path, length(new_path) - length(ext)) AS stem FROM s),
+p AS (SELECT new_path FROM r WHERE k = 1),
+g AS (SELECT new_path, stem, ext, max(k) AS n FROM t GROUP BY ALL HAVING n > 1),
+f AS (SELECT g.new_path, stem || ' (' || u || ')' || ext AS name, row_number() OVER (PARTITION BY g.new_path ORDER BY u) + 1 AS k FROM g, range(2, 40000) AS x(u) WHERE u <= n + 20 AND stem || ' (' || u || ')' || ext NOT IN (SELECT new_path FROM p))
+SELECT path, coalesce(name, t.new_path) AS new_path FROM t LEFT JOIN f ON f.new_path = t.new_path AND f.k = t.k
+"""
+
+
+def page_paths_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts and folders of the pages' addresses as paths: how many parts, whether the host got a stand-in, whether no other path has the new one, and whether it can be undone."""
+    cluster.prepare(spark)
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path")).checkpoint()
+    hosts = pages.select(F.col("page_id").alias("doc_id"), F.lit(0).alias("frag_id"), F.substring_index("path", "/", 1).alias("text"), F.lit(None).cast("string").alias("hint"))
+    mapping = extend_mapping(detect_numbers(hosts).checkpoint(), _no_mapping(spark), SECRET).checkpoint()
+    done = paths.map_paths(pages, lambda f: replace(f, mapping)).checkpoint()
+    back = paths.map_paths(done.select(F.col("new_path").alias("path")), lambda f: replace(f, mapping, restore=True))
+    told = done.join(back.select(F.col("path").alias("new_path"), F.col("new_path").alias("again")), "new_path").join(done.groupBy("new_path").agg(F.count("*").alias("times")), "new_path")
+    host = lambda c: F.substring_index(c, "/", 1)
+    told = told.select("path", F.size(F.split("path", "/")).cast("long").alias("parts"), (host("path") != host("new_path")).alias("replaced"), (F.col("times") == 1).alias("alone"), (F.col("again") == F.col("path")).alias("restored"))
+    return pages.join(told, "path").drop("path")
+
+
+#: example.com is one of the domains that name nobody.
+O_PAGE_PATHS = "SELECT page_id, len(string_split(regexp_replace(url, '^[a-z]+://', ''), '/')) AS parts, NOT regexp_matches(url, '^[a-z]+://([^/]*\\.)?example\\.com(/|$)') AS replaced, true AS alone, true AS restored FROM pages"
+
+
 def runs_redistributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name split over formatting runs: the stand-in goes to the run where the name begins."""
     runs = F.array(F.lit("Поставщик Ро"), F.lit("машка"), F.concat(F.lit(" № "), F.col("n_nationkey").cast("string")))
@@ -556,7 +598,7 @@ _ALL = (
     (iban_checks, O_IBAN), (normalised_keys, O_KEYS), (registrable_domains, O_DOMAINS), (header_kinds, O_HEADERS), (paradigms, O_PARADIGMS), (keyed_digits, O_KEYED),
     (organisations_found, O_ORGS), (stand_ins_by_type, O_STAND_INS), (replaced_by_type, O_BY_TYPE), (most_replaced, O_MOST), (full_roundtrip, O_FULL), (audit_of_copies, O_AUDIT),
     (people_roundtrip, O_PEOPLE), (changed_documents, O_CHANGED), (texts_holding_stems, O_STEMS), (written_like, O_WRITTEN), (runs_redistributed, O_RUNS), (exported_mapping, O_EXPORTED),
-    (person_readings, O_READINGS), (addresses_linked, O_LINKED), (texts_holding_substrings, O_SUBSTRINGS), (common_words_vetoed, O_VETO), (sequences_standing, O_SEQUENCES),
+    (person_readings, O_READINGS), (addresses_linked, O_LINKED), (texts_holding_substrings, O_SUBSTRINGS), (common_words_vetoed, O_VETO), (sequences_standing, O_SEQUENCES), (paths_without_clash, O_NO_CLASH), (page_paths_mapped, O_PAGE_PATHS),
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f, _ in _ALL}
 ORACLES: dict[str, str] = {f.__name__: sql for f, sql in _ALL}
