@@ -1,11 +1,11 @@
 """Which of many sequences of tokens stand where in many texts, the tokens of each place walked once along a sorted trie.
 
-Sequences and places are rows of one table, dealt by their first token and sorted by their tokens; a sequence comes right
+Sequences and places are rows of one table, dealt by their first two tokens and sorted by their tokens; a sequence comes right
 before all that it begins. So one pass over the sorted rows is a walk through the trie of sequences, and the path to the
-current row is all that a task holds: no trie in memory, no group collected. A place that a sequence may begin at is one
-shuffled row, however many lengths sequences have.
+current row is all that a task holds: no trie in memory, no group collected. A place where two tokens begin a sequence is
+one shuffled row, however many lengths sequences have; sequences of one token need no walk.
 
-A first token with more than PART_ROWS places is dealt into parts, and the sequences that it begins go to each of them.
+A beginning with more than PART_ROWS places is dealt into parts, and the sequences that it begins go to each of them.
 
 Defined cases: sequences without tokens stand nowhere, nor does anything in null or empty texts. Equal sequences are
 one. Repeated texts give equal rows. Tokens hold none of the marks U+0001 and U+0002.
@@ -28,13 +28,24 @@ def path(tokens: Column) -> Column:
     return F.concat(F.array_join(tokens, _END), F.lit(_END))
 
 
+def _begin(tokens: Column) -> Column:
+    """The first two tokens; null where there are fewer."""
+    return F.when(F.size(tokens) >= 2, path(F.slice(tokens, 1, 2)))
+
+
 def candidates(texts: DataFrame, sequences: DataFrame) -> DataFrame:
-    """doc_id, frag_id, i (from 0), first and path of the places of texts (doc_id, frag_id, names) whose token begins a sequence."""
-    firsts = sequences.select(F.get("key", F.lit(0)).alias("first")).filter("first is not null").distinct()
+    """doc_id, frag_id, i (from 0), first, single, begin and path of the places of texts (doc_id, frag_id, names) where a sequence may stand.
+
+    single tells whether the token alone is a sequence; begin and path are there where two tokens begin a longer one.
+    """
+    alone = sequences.filter(F.size("key") == 1).select(F.get("key", F.lit(0)).alias("first")).distinct().withColumn("single", F.lit(True))
+    begins = sequences.select(_begin(F.col("key")).alias("begin")).filter("begin is not null").distinct().withColumn("longer", F.lit(True))
     longest = F.broadcast(sequences.agg(F.max(F.size("key")).alias("longest")))
     rows = texts.select("doc_id", "frag_id", "names").filter(F.size("names") > 0).crossJoin(longest).filter("longest > 0")
-    place = lambda name, i: F.struct(i.alias("i"), name.alias("first"), path(F.slice("names", i + 1, F.col("longest"))).alias("path"))
-    return rows.select("doc_id", "frag_id", F.explode(F.transform("names", place)).alias("p")).select("doc_id", "frag_id", "p.*").join(firsts, "first", "left_semi")
+    place = lambda name, i: F.struct(i.alias("i"), name.alias("first"), F.slice("names", i + 1, F.col("longest")).alias("run"))
+    each = rows.select("doc_id", "frag_id", F.explode(F.transform("names", place)).alias("p")).select("doc_id", "frag_id", "p.*").withColumn("begin", _begin(F.col("run")))
+    met = each.join(alone, "first", "left").join(begins, "begin", "left").filter("single or longer")
+    return met.select("doc_id", "frag_id", "i", "first", F.coalesce("single", F.lit(False)).alias("single"), F.when(F.col("longer"), F.col("begin")).alias("begin"), F.when(F.col("longer"), path(F.col("run"))).alias("path"))
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,13 +70,16 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def standing(texts: DataFrame, sequences: DataFrame) -> DataFrame:
     """doc_id, frag_id, i, n and path: at which token of texts (doc_id, frag_id, names) which sequence (key), of n tokens, stands."""
     spots = candidates(texts, sequences).checkpoint()
-    parts = spots.groupBy("first").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")).checkpoint()
-    dealt = spots.join(parts.filter("parts > 1"), "first", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "frag_id", "i"), F.coalesce("parts", F.lit(1))).cast("int"))
-    begun = sequences.select("key", F.get("key", F.lit(0)).alias("first")).distinct().join(parts, "first").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    longer = spots.filter("begin is not null")
+    parts = longer.groupBy("begin").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")).checkpoint()
+    dealt = longer.join(parts.filter("parts > 1"), "begin", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "frag_id", "i"), F.coalesce("parts", F.lit(1))).cast("int"))
+    begun = sequences.select("key", _begin(F.col("key")).alias("begin")).distinct().join(parts, "begin").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     none = lambda c, kind: F.lit(None).cast(kind).alias(c)
     ids = {c: texts.schema[c].dataType for c in ("doc_id", "frag_id")}
-    every = begun.select("first", "part", path(F.col("key")).alias("path"), F.size("key").alias("n"), *(none(c, kind) for c, kind in ids.items()), none("i", "int"))
-    every = every.union(dealt.select("first", "part", "path", none("n", "int"), *ids, "i")).withColumn("path", F.concat(F.col("part").cast("string"), F.lit(_PART), "path"))
-    walked = every.repartition("first", "part").sortWithinPartitions(F.col("path"), F.col("n").isNull())
+    every = begun.select("begin", "part", path(F.col("key")).alias("path"), F.size("key").alias("n"), *(none(c, kind) for c, kind in ids.items()), none("i", "int"))
+    every = every.union(dealt.select("begin", "part", "path", none("n", "int"), *ids, "i")).withColumn("path", F.concat(F.col("part").cast("string"), F.lit(_PART), "path"))
+    walked = every.repartition("begin", "part").sortWithinPartitions(F.col("path"), F.col("n").isNull())
     kinds = ", ".join(f"{c} {kind.simpleString()}" for c, kind in ids.items())
-    return walked.select("path", "n", *ids, "i").mapInArrow(_walk, f"{kinds}, i int, n int, path string")
+    found = walked.select("path", "n", *ids, "i").mapInArrow(_walk, f"{kinds}, i int, n int, path string")
+    alone = spots.filter("single").select(*ids, "i", F.lit(1).alias("n"), F.concat("first", F.lit(_END)).alias("path"))
+    return found.union(alone)
