@@ -19,6 +19,7 @@ OPENING = "«\"“„'"
 CLOSING = "»\"”“'"
 TOKEN = "(?U)(?:[^\\W\\d_]\\.)|\\w+(?:[-‐]\\w+)*|[«»\"“”„']"
 SPAN = "array<struct<start:int,end:int,value:string>>"
+_MARK = "\x01"
 _DOUBLE_SUFFIX = ("com", "org", "net", "gov", "edu", "co")
 
 
@@ -56,11 +57,21 @@ def registrable_domain(host: Column) -> Column:
     return F.array_join(F.slice(parts, n - keep + 1, keep), ".")
 
 
+def gaps(text: Column, pattern: str) -> Column:
+    """What stands before, between and behind the matches of a pattern, which matches no empty string.
+
+    split compiles its pattern for each row, and that takes longer than matching it; replacing keeps the compiled one. So
+    matches become marks first, and texts that hold the mark themselves are split in the plain way.
+    """
+    marked = F.split(F.regexp_replace(text, pattern, _MARK), _MARK, -1)
+    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, pattern, -1)).otherwise(marked)
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """start, end and value of each match of a pattern in a short text: gaps and matches, side by side, summed up from the left."""
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    values = F.regexp_extract_all(text, F.lit(pattern), 0)
     # The last gap has no match behind it.
-    pairs = F.filter(F.zip_with(values, gaps, lambda v, g: F.struct(F.char_length(g).alias("gap"), v.alias("value"))), lambda p: p["value"].isNotNull())
+    pairs = F.filter(F.zip_with(values, gaps(text, pattern), lambda v, g: F.struct(F.char_length(g).alias("gap"), v.alias("value"))), lambda p: p["value"].isNotNull())
     nothing = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def add(acc: Column, p: Column) -> Column:
@@ -68,7 +79,8 @@ def match_spans(text: Column, pattern: str) -> Column:
         end = start + F.char_length(p["value"])
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value")))).alias("spans"))
 
-    return F.coalesce(F.aggregate(pairs, nothing, add)["spans"], F.array().cast(SPAN))
+    # Most texts have no match, which one search tells.
+    return F.when(text.rlike(pattern), F.aggregate(pairs, nothing, add)["spans"]).otherwise(F.array().cast(SPAN))
 
 
 def tokens(text: Column) -> Column:
@@ -83,9 +95,10 @@ def words(text: Column) -> Column:
 def shadow_caps(text: Column) -> Column:
     """ALL-CAPS Cyrillic words in title case, each half of a hyphenated one; the length stays."""
     pattern = f"(?U)\\b[{UPPER}]{{2,}}(?:-[{UPPER}]{{2,}})?\\b"
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    values = F.regexp_extract_all(text, F.lit(pattern), 0)
     titled = F.transform(values, lambda v: F.array_join(F.transform(F.split(v, "-"), lambda part: F.initcap(part)), "-"))
-    return F.array_join(F.zip_with(gaps, titled, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
+    joined = F.array_join(F.zip_with(gaps(text, pattern), titled, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
+    return F.when(text.rlike(pattern), joined).otherwise(text)
 
 
 def _by_letter(value: Column) -> Column:

@@ -45,9 +45,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: How many customers a task gets.
+_CUSTOMERS = 2_000
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """c_custkey of all customers, dealt out: a key is a few bytes and some work, and Spark would put all keys into a few tasks."""
+    keys = _table(spark, sf_dir, "customer").select("c_custkey")
+    return keys.repartition(keys.count() // _CUSTOMERS + 1, "c_custkey")
+
+
+def _derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """What a query that DuckDB reads too derives from customers."""
+    return spark.sql(sql.replace("FROM customer", "FROM {customer}"), customer=_customers(spark, sf_dir))
+
+
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = _table(spark, sf_dir, "customer").select("c_custkey")
-    return spark.sql(DERIVED.replace("FROM customer", "FROM {customer}"), customer=customers)
+    return _derived(spark, sf_dir, DERIVED)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +209,7 @@ _HEADERS = {
 def _by_customer(spark: SparkSession, sf_dir: str, texts: tuple[str, ...]) -> DataFrame:
     """c_custkey and word: one of the texts for each customer, in turn."""
     named = F.element_at(tx.strings(texts), (F.col("c_custkey") % len(texts)).cast("int") + 1)
-    return _table(spark, sf_dir, "customer").select("c_custkey", named.alias("word"))
+    return _customers(spark, sf_dir).select("c_custkey", named.alias("word"))
 
 
 def _in_turn(rows: str) -> str:
@@ -350,7 +364,7 @@ def people_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names told in full in one fragment and with initials, in another case, in the next: linked, replaced, restored."""
     cluster.prepare(spark)
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("c_custkey") % n % len(values)).cast("int") + 1)
-    man = _table(spark, sf_dir, "customer").select("c_custkey", pick(_SURNAMES, 8).alias("s"), pick(_NAMES, 90).alias("n"), mo.make_patronymic(pick(_FATHERS, 1000), F.lit("m")).alias("p"))
+    man = _customers(spark, sf_dir).select("c_custkey", pick(_SURNAMES, 8).alias("s"), pick(_NAMES, 90).alias("n"), mo.make_patronymic(pick(_FATHERS, 1000), F.lit("m")).alias("p"))
     m = F.lit("m")
     full = F.concat(F.lit("Принят "), "s", F.lit(" "), "n", F.lit(" "), "p", F.lit("."))
     case = (F.col("c_custkey") % 6).cast("int")
@@ -385,7 +399,7 @@ FROM (
 def addresses_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whose surname each address holds, spelled how and where, and whose domain it is at; of all customers' employees."""
     cluster.prepare(spark)
-    staff = spark.sql(LINKED.replace("FROM customer", "FROM {customer}"), customer=_table(spark, sf_dir, "customer").select("c_custkey")).checkpoint()
+    staff = _derived(spark, sf_dir, LINKED).checkpoint()
     people = staff.select(F.concat_ws("|", "sur", "gender").alias("person_id"), "sur", "gender").distinct()
     orgs = staff.filter("org is not null").select(F.col("org").alias("key"), F.lit("Ольмента").alias("fake")).distinct()
     addresses = staff.select(F.col("address").alias("key")).distinct()
@@ -428,7 +442,7 @@ UNION ALL SELECT c_custkey, 'смотри реестр и гофман' FROM cus
 def common_words_vetoed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions of a word beside initials: how often, and whether the texts' own words leave them a name."""
     cluster.prepare(spark)
-    rows = spark.sql(BESIDE.replace("FROM customer", "FROM {customer}"), customer=_table(spark, sf_dir, "customer").select("c_custkey"))
+    rows = _derived(spark, sf_dir, BESIDE)
     rows = rows.select("doc_id", F.monotonically_increasing_id().alias("frag_id"), "text", F.lit(None).cast("string").alias("hint")).checkpoint()
     said = names.mentions(rows).groupBy("mention").agg(F.count("*").alias("times"))
     kept = lexicon.veto(names.parsed(said.select("mention")).checkpoint(), rows).select("mention", F.lit(True).alias("kept"))
