@@ -125,20 +125,14 @@ def format_like(sample: Column, key: Column, significant: str = "[0-9]") -> Colu
 
     A sample that lost leading zeros gets the key without as many zeros; if the key has none to lose, the key itself.
     """
-    chars = F.split(sample, "")
-    n = F.size(F.filter(chars, lambda c: c.rlike(significant)))
+    # Significant characters, and what stands around them: one more of these.
+    own, around = F.regexp_extract_all(sample, F.lit(significant), 0), gaps(sample, significant)
+    n = F.size(own)
     lost = F.greatest(F.char_length(key) - n, F.lit(0))
     short = F.substring(key, lost + 1, F.char_length(key))
-    # The k-th significant character from the left takes place k - (n - length) of the key.
-    skip = n - F.char_length(short)
-
-    def step(acc: Column, c: Column) -> Column:
-        is_one = c.rlike(significant)
-        seen = acc["seen"] + F.when(is_one, 1).otherwise(0)
-        place = seen - skip
-        return F.struct(seen.alias("seen"), F.concat(acc["out"], F.when(is_one & (place > 0), F.substring(short, place, F.lit(1))).otherwise(c)).alias("out"))
-
-    written = F.aggregate(chars, F.struct(F.lit(0).alias("seen"), F.lit("").alias("out")), step)["out"]
+    # The first characters stay where the key has fewer.
+    signs = F.concat(F.slice(own, F.lit(1), n - F.char_length(short)), F.when(short == "", F.array().cast("array<string>")).otherwise(F.split(short, "")))
+    written = F.array_join(F.zip_with(around, signs, lambda g, c: F.concat(g, F.coalesce(c, F.lit("")))), "")
     loses_digits = (lost > 0) & F.substring(key, F.lit(1), lost).rlike("[^0]")
     return F.when(loses_digits, key).otherwise(written)
 

@@ -520,7 +520,7 @@ SELECT begin, n AS words, count(*) AS places FROM (SELECT * FROM h QUALIFY row_n
 
 def written_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.lpad(((F.col("c_custkey").cast("long") * 12347) % 10000000000).cast("string"), 10, "0")
-    rows = _table(spark, sf_dir, "customer").select("c_custkey", key.alias("key"))
+    rows = _customers(spark, sf_dir).select("c_custkey", key.alias("key"))
     return rows.select("c_custkey", tx.format_like(F.lit("+7 (701) 123-45-67"), F.col("key")).alias("phone"), tx.format_like(F.lit("KZ86 125K"), F.upper(F.substring("key", 1, 8)), "[A-Za-z0-9]").alias("iban"))
 
 

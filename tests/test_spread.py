@@ -31,3 +31,12 @@ def test_patterns_are_not_split_by_for_each_row(spark, pattern):
         assert [m.start for m in held["a\x01b +7 (701) 123-45-67\x01"]] == [4]
     if pattern == tx.TOKEN:
         assert [m.value for m in held["a\x01b +7 (701) 123-45-67\x01"]] == re.findall(r"\w+", "a\x01b +7 (701) 123-45-67\x01")[:2] + ["7", "701", "123-45-67"]
+
+
+def test_numbers_written_like_others_without_a_step_for_each_character(spark):
+    rows = queries.written_like(spark, TABLES)
+    assert rows.rdd.getNumPartitions() >= 7
+    odd = spark.createDataFrame([("+7 (701) 12", "99", "+7 (701) 99"), ("1-2", "0034", "3-4"), ("1-2", "134", "134"), ("a\x01-1\x01", "5", "a\x01-5\x01"), ("", "7", "7"), ("--", "", "--"), (None, "1", None)], "sample string, key string, want string")
+    made = odd.select("want", tx.format_like(F.col("sample"), F.col("key")).alias("got"))
+    assert "aggregate(" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r.got for r in made.collect()] == [r.want for r in made.collect()]
