@@ -164,14 +164,25 @@ class Maps:
         """A number by a keyed hash."""
         return int.from_bytes(hashlib.blake2b("|".join(map(str, message)).encode(), key=self.key, digest_size=12).digest())
 
+    def drawer(self, *begin) -> Callable[..., int]:
+        """drawn for messages that begin so: what they share is hashed once."""
+        begun = hashlib.blake2b(("|".join(map(str, begin)) + "|").encode(), key=self.key, digest_size=12)
+
+        def drawn(first, second) -> int:
+            own = begun.copy()
+            own.update(f"{first}|{second}".encode())
+            return int.from_bytes(own.digest())
+
+        return drawn
+
     def step(self, z: Parts, t: int, sign: int) -> Parts:
-        x, y = z.x, z.y
+        x, y, drawn = z.x, z.y, self.drawer(z.kind, z.kept, t)
         for i in range(ROUNDS) if sign > 0 else range(ROUNDS - 1, -1, -1):
             if i % 2 == 0:
-                x = (x + sign * self.drawn(z.kind, z.kept, t, i, y)) % z.a
+                x = (x + sign * drawn(i, y)) % z.a
             else:
-                y = (y + sign * self.drawn(z.kind, z.kept, t, i, x)) % z.b
-        rest = "".join(c if c == "0" else chr((ord(c) - 65 + sign * self.drawn(z.kind, z.kept, t, "letter", i)) % 26 + 65) for i, c in enumerate(z.rest))
+                y = (y + sign * drawn(i, x)) % z.b
+        rest = "".join(c if c == "0" else chr((ord(c) - 65 + sign * drawn("letter", i)) % 26 + 65) for i, c in enumerate(z.rest))
         return z._replace(x=x, y=y, rest=rest, block=1 - z.block if z.kind == "iin" else z.block)
 
     def walk(self, z: Parts, t: int, sign: int = 1) -> tuple[Parts, str]:
