@@ -27,14 +27,14 @@ def all_digits(value: Column, n: int) -> Column:
 def weighted(value: Column, weights: tuple[int, ...]) -> Column:
     """The sum of the first digits times their weights; null where a digit is missing."""
     chars = F.split(F.substring(value, 1, len(weights)), "")
-    terms = F.zip_with(chars, F.expr(f"array({', '.join(map(str, weights))})"), lambda c, w: F.try_to_number(c, F.lit("9")).cast("int") * w)
+    terms = F.zip_with(chars, F.expr(f"array({', '.join(map(str, weights))})"), lambda c, w: F.when(c.between("0", "9"), F.ascii(c) - 48) * w)
     return F.aggregate(terms, F.lit(0), lambda total, term: total + term)
 
 
 def kz_check_digit(body: Column) -> Column:
     """The twelfth digit for eleven given ones; null where no such number is issued."""
     first, again = weighted(body, KZ_WEIGHTS) % 11, weighted(body, KZ_WEIGHTS_AGAIN) % 11
-    return F.when(first < 10, first).when(again < 10, again)
+    return F.get(F.filter(F.array(first, again), lambda digit: digit < 10), F.lit(0))
 
 
 def kz_valid(number: Column) -> Column:

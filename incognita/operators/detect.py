@@ -46,9 +46,11 @@ def _candidates(found: Column, step: str, typ, key, tail=None, keep=None) -> Col
     def one(m: Column) -> Column:
         old = m["value"] if tail is None else tail(m["value"])
         kind = typ(m["value"]) if callable(typ) else F.lit(typ)
-        family = F.when(kind.isin("iin", "bin", "num12"), "number12").otherwise(kind)
-        start = m["end"] - F.char_length(old)
-        return F.struct(F.lit(PRIORITY.index(step)).alias("prio"), start.alias("start"), m["end"].alias("end"), kind.alias("typ"), family.alias("family"), key(old).alias("key"), old.alias("old"))
+        family = lambda k: F.when(k.isin(*FAMILIES), "number12").otherwise(k)
+        span = lambda o, k: F.struct(
+            F.lit(PRIORITY.index(step)).alias("prio"), (m["end"] - F.char_length(o)).alias("start"), m["end"].alias("end"), k.alias("typ"), family(k).alias("family"), key(o).alias("key"), o.alias("old")
+        )
+        return tx.let(old, lambda o: tx.let(kind, lambda k: span(o, k)))
 
     found = found if keep is None else F.filter(found, lambda m: keep(m["value"]))
     return F.transform(found, one)

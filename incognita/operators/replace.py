@@ -90,8 +90,8 @@ def _written(step: Column, typ: Column, old: Column, new: Column) -> Column:
 def looked_up(candidates: DataFrame, mapping: DataFrame, restore: bool) -> DataFrame:
     """Candidate spans that have a counterpart, with it as new."""
     side = mapping.select(F.col("family").alias("m_family"), (F.col("fake") if restore else F.col("key")).alias("m_key"), (F.col("key") if restore else F.col("fake")).alias("m_new"))
-    found = candidates.join(side, (F.col("family") == F.col("m_family")) & (F.col("key") == F.col("m_key")), "left")
-    new = _written(F.col("prio"), F.col("typ"), F.col("old"), F.col("m_new"))
+    found = candidates.join(side, (F.col("family") == F.col("m_family")) & (F.col("key") == F.col("m_key")), "left" if restore else "inner")
+    new = F.when(F.col("m_new").isNotNull(), _written(F.col("prio"), F.col("typ"), F.col("old"), F.col("m_new")))
     if restore:
         # An address that was changed in the copy: the local part stays, the domain comes back.
         domains = mapping.filter("typ = 'domain'").select(F.col("fake").alias("d_fake"), F.col("key").alias("d_key"))
@@ -99,8 +99,9 @@ def looked_up(candidates: DataFrame, mapping: DataFrame, restore: bool) -> DataF
         found = found.withColumn("tail", F.when(F.col("typ") == "email", tx.registrable_domain(host))).join(domains, F.col("tail") == F.col("d_fake"), "left")
         kept = F.substring(F.col("old"), F.lit(1), F.char_length("old") - F.char_length("tail"))
         new = F.when((F.col("typ") == "email") & F.col("m_new").isNull() & F.col("d_key").isNotNull(), F.concat(kept, F.col("d_key"))).otherwise(new)
-    out = found.withColumn("new", new).filter("new is not null and new <> old")
-    return out.select("doc_id", "frag_id", "prio", "start", "end", "typ", "old", "new")
+    # Exploded, as a filter on a column would have it worked out several times over.
+    changed = F.explode(F.filter(F.array(new), lambda n: n != F.col("old"))).alias("new")
+    return found.select("doc_id", "frag_id", "prio", "start", "end", "typ", "old", changed)
 
 
 def form_spans(fragments: DataFrame, forms: DataFrame) -> DataFrame:
