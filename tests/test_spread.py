@@ -40,3 +40,8 @@ def test_numbers_written_like_others_without_a_step_for_each_character(spark):
     made = odd.select("want", tx.format_like(F.col("sample"), F.col("key")).alias("got"))
     assert "aggregate(" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
     assert [r.got for r in made.collect()] == [r.want for r in made.collect()]
+
+
+def test_notes_of_customers_are_dealt_out(spark):
+    assert queries._by_customer(spark, TABLES, ("а", "б")).rdd.getNumPartitions() >= 7
+    assert queries._derived(spark, TABLES, queries.BESIDE).rdd.getNumPartitions() >= 7
