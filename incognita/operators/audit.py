@@ -16,6 +16,9 @@ from incognita.operators.detect import detect_numbers, find_organisations
 from incognita.operators.replace import looked_up
 from incognita.operators.stand_ins import PUBLIC_DOMAINS
 
+#: Up to how many words that hold a piece are broadcast.
+FEW = 300_000
+
 
 def leftovers(copies: DataFrame, mapping: DataFrame) -> DataFrame:
     """doc_id, frag_id, category and value of what in copies looks like personal data and is no stand-in.
@@ -79,19 +82,29 @@ def holding(texts: DataFrame, stems_: DataFrame, inside: bool = False) -> DataFr
     parts = lambda c: F.filter(F.split(c, "(?U)[^\\w]+"), lambda w: w != "")
     longest = F.get(F.array_sort(parts(F.col("stem")), lambda a, b: F.char_length(b) - F.char_length(a)), F.lit(0))
     wanted = stems_.select("stem", longest.alias("piece")).filter("piece is not null").distinct()
+    # Beside the piece, a stem of several words has what is of no word: there the text's word begins or ends as well.
+    begins, ends = F.instr("stem", F.col("piece")) > 1, F.instr("stem", F.col("piece")) + F.char_length("piece") <= F.char_length("stem")
+    wanted = wanted.select("stem", "piece", begins.alias("begins"), ends.alias("ends")).checkpoint()
     keyed = texts.select("doc_id", tx.norm_key(F.col("text")).alias("text"))
-    words = keyed.select("doc_id", F.explode(F.array_distinct(parts(F.col("text")))).alias("word")).checkpoint()
+    # Words shorter than any piece hold none.
+    told = wanted.agg(F.count("*").alias("rows"), F.coalesce(F.min(F.char_length("piece")), F.lit(0)).alias("least")).first()
+    words = keyed.select("doc_id", F.filter(F.array_distinct(parts(F.col("text"))), lambda w: F.char_length(w) >= told.least).alias("words")).checkpoint().select("doc_id", F.explode("words").alias("word"))
     met = substrings.places(words.select(F.col("word").alias("key"), F.col("word").alias("text")).distinct(), wanted)
-    met = (met if inside else met.filter("at = 0")).join(wanted, "piece").select(F.col("key").alias("word"), "piece", "stem").distinct()
-    found = words.join(met, "word").select("doc_id", "piece", "stem").distinct().checkpoint()
-    whole = found.filter("piece = stem").select("doc_id", "stem")
-    several = found.filter("piece <> stem").select("doc_id", "stem")
+    met = (met if inside else met.filter("at = 0")).join(wanted, "piece").filter("(not begins or at = 0) and (not ends or at + char_length(piece) = char_length(key))")
+    met = met.select(F.col("key").alias("word"), "piece", "stem").distinct().checkpoint()
+    held = words.join(F.broadcast(met) if met.count() <= FEW else met, "word").groupBy("doc_id")
+    held = held.agg(F.collect_set(F.when(F.col("piece") == F.col("stem"), F.col("stem"))).alias("whole"), F.collect_set(F.when(F.col("piece") != F.col("stem"), F.col("stem"))).alias("several")).checkpoint()
+    whole = held.select("doc_id", F.explode("whole").alias("stem"))
     # Texts are read once more where a stem has several words, or a character that is of none.
-    meant = keyed.join(several.select("doc_id").distinct(), "doc_id", "left_semi").join(several, "doc_id").filter(F.contains("text", "stem"))
-    if not inside:
-        written = F.concat(F.lit("(?U)(?:^|[^\\w])\\Q"), F.replace("stem", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-        meant = meant.filter(F.rlike("text", written))
-    return whole.union(meant.select("doc_id", "stem")).distinct()
+    meant = keyed.join(held.filter(F.size("several") > 0).select("doc_id", "several"), "doc_id")
+
+    def stands(stem: Column) -> Column:
+        if inside:
+            return F.contains("text", stem)
+        written = F.concat(F.lit("(?U)(?:^|[^\\w])\\Q"), F.replace(stem, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        return F.contains("text", stem) & F.rlike("text", written)
+
+    return whole.union(meant.select("doc_id", F.explode(F.filter("several", stands)).alias("stem")).distinct())
 
 
 def changed_files(files: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -34,3 +34,15 @@ def test_holding_anywhere_and_at_beginnings(spark):
     begins = {(d, s) for d, s in wanted if any(d == e and t and any(plain(t).startswith(s, k) and (k == 0 or not (plain(t)[k - 1].isalnum() or plain(t)[k - 1] == "_")) for k in range(len(t))) for e, t in DOCS)}
     found = {tuple(r) for r in audit.holding(docs, stems).collect()}
     assert found - {(None, "иванов"), (None, "ива")} == begins
+
+
+def test_words_shorter_than_all_pieces_are_not_searched(spark, monkeypatch):
+    cluster.prepare(spark)
+    asked, places = [], substrings.places
+    monkeypatch.setattr(audit.substrings, "places", lambda texts, pieces: asked.append(texts) or places(texts, pieces))
+    docs = spark.createDataFrame([(1, "он и the иванова иванов петров"), (2, "the иванов по ивановский по")], "doc_id long, text string")
+    stems = spark.createDataFrame([("иванов по",), ("вано",)], "stem string")
+    for few in (audit.FEW, 0):
+        monkeypatch.setattr(audit, "FEW", few)
+        assert {tuple(r) for r in audit.holding(docs, stems, inside=True).collect()} == {(1, "вано"), (2, "вано"), (2, "иванов по")}
+    assert {r.key for r in asked[0].collect()} == {"иванова", "иванов", "петров", "ивановский"}
