@@ -504,7 +504,10 @@ def sequences_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = F.sequence(F.lit(1), F.least(F.size(item), F.lit(_LONGEST)))
     begins = _table(spark, sf_dir, "benchmark").select(F.explode(F.transform(lengths, lambda n: F.slice(item, F.lit(1), n))).alias("key")).distinct()
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("frag_id"), tx.words(F.lower("text")).alias("names"))
-    found = standing(docs, begins).groupBy("doc_id", "i").agg(F.max_by("path", "n").alias("path"), F.max("n").alias("words"))
+    found = standing(docs, begins, longest=True).select("doc_id", "i", "path", F.col("n").alias("words"))
+    # Where an id is there once, a place is one row already.
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        found = found.groupBy("doc_id", "i").agg(F.max_by("path", "words").alias("path"), F.max("words").alias("words"))
     return found.groupBy(F.rtrim(F.translate("path", "\x01", " ")).alias("begin"), F.col("words").cast("long").alias("words")).agg(F.count("*").alias("places"))
 
 

@@ -45,3 +45,30 @@ def test_one_shuffled_row_for_a_place(spark, tmp_path):
     keys = spark.createDataFrame([(["а"] * n,) for n in range(1, 16)], "key array<string>")
     found = sequences.candidates(rows, keys)
     assert found.count() == 50 and found.filter("path is not null").count() == 49
+
+
+def test_longest_at_each_place(spark, tmp_path, monkeypatch):
+    """One row a place without grouping places again; a sequence of one token where the walk finds no longer one."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    texts = [(1, 0, ["а", "б", "в", "а", "б", "г", "а"]), (2, 0, ["а", "б"]), (None, 0, ["б", "г"]), (3, 0, None)]
+    keys = [("а",), ("а", "б", "в"), ("а", "б", "г"), ("б", "в"), ("г",), ("б", "г", "а", "а")]
+    rows = spark.createDataFrame(texts, "doc_id long, frag_id long, names array<string>")
+    every = brute(texts, keys)
+    want = sorted((max((r for r in every if r[:3] == place), key=lambda r: r[3]) for place in {r[:3] for r in every}), key=str)
+    for few in (sequences.FEW, 0):
+        monkeypatch.setattr(sequences, "FEW", few)
+        got = sequences.standing(rows, spark.createDataFrame([(list(k),) for k in keys], "key array<string>"), longest=True)
+        assert sorted(map(tuple, got.collect()), key=str) == want
+        assert found(spark, texts, keys) == every
+
+
+def test_few_sequences_shuffle_no_tokens(spark):
+    """Places are told where the texts are read, whatever Spark knows of the sequences' size."""
+    rows = spark.createDataFrame([(1, 0, ["а", "б"])], "doc_id long, frag_id long, names array<string>")
+    keys = spark.createDataFrame([(["а", "б"],), (["а"],)], "key array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sequences.candidates(rows, keys)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
