@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +40,11 @@ def strings(values: Iterable[str]) -> Column:
     return F.expr(f"array({', '.join(map(quoted, values))})")
 
 
+def holds_any(text: Column, values: Iterable[str]) -> Column:
+    """Whether a text holds one of some plain strings, which is told much faster than a pattern's match."""
+    return reduce(or_, (F.contains(text, F.lit(v)) for v in values))
+
+
 def fold_yo(value: Column) -> Column:
     """ё is written е as often as not."""
     return F.translate(value, "ёЁ", "еЕ")

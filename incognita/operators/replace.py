@@ -69,7 +69,7 @@ def extend_mapping(candidates: DataFrame, mapping: DataFrame, secret: str, stopl
     if "email" not in met:
         return others
     written_to = keys.filter("typ = 'email'")
-    meant = None if people is None else linked_addresses(written_to.select("key"), people).select(F.lit("email").alias("family"), "key", "fake")
+    meant = None if people is None or people.isEmpty() else linked_addresses(written_to.select("key"), people).select(F.lit("email").alias("family"), "key", "fake")
     emails = assign(written_to, mapping, secret, ("email",), proposed=meant)
     host = F.substring_index("key", "@", -1)
     tail = tx.registrable_domain(host)

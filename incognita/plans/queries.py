@@ -365,11 +365,15 @@ def people_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names told in full in one fragment and with initials, in another case, in the next: linked, replaced, restored."""
     cluster.prepare(spark)
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("c_custkey") % n % len(values)).cast("int") + 1)
-    man = _customers(spark, sf_dir).select("c_custkey", pick(_SURNAMES, 8).alias("s"), pick(_NAMES, 90).alias("n"), mo.make_patronymic(pick(_FATHERS, 1000), F.lit("m")).alias("p"))
-    m = F.lit("m")
+    # Few surnames and fathers: what is made of them is made once for each.
+    of = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    surnames = of(_SURNAMES, "s").select("s", mo.decline_surname(F.col("s"), F.lit("m")).alias("cases"))
+    fathers = of(_FATHERS, "father").select("father", mo.make_patronymic(F.col("father"), F.lit("m")).alias("p"))
+    man = _customers(spark, sf_dir).select("c_custkey", pick(_SURNAMES, 8).alias("s"), pick(_NAMES, 90).alias("n"), pick(_FATHERS, 1000).alias("father"))
+    man = man.join(F.broadcast(surnames), "s").join(F.broadcast(fathers), "father")
     full = F.concat(F.lit("Принят "), "s", F.lit(" "), "n", F.lit(" "), "p", F.lit("."))
     case = (F.col("c_custkey") % 6).cast("int")
-    short = F.concat(F.lit("Передано "), F.get(mo.decline_surname(F.col("s"), m), case), F.lit(" "), F.substring("n", 1, 1), F.lit("."), F.substring("p", 1, 1), F.lit("."))
+    short = F.concat(F.lit("Передано "), F.get("cases", case), F.lit(" "), F.substring("n", 1, 1), F.lit("."), F.substring("p", 1, 1), F.lit("."))
     none = F.lit(None).cast("string")
     rows = man.select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("frag_id"), full.alias("text"), none.alias("hint")).union(man.select("c_custkey", F.lit(1), short, none)).checkpoint()
     known = jobs.learn(rows, _no_mapping(spark), SECRET)
