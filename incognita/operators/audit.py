@@ -20,13 +20,18 @@ from incognita.operators.stand_ins import PUBLIC_DOMAINS
 FEW = 300_000
 
 
+def leaks(candidates: DataFrame, mapping: DataFrame) -> DataFrame:
+    """doc_id, frag_id, category and value of the real values that mapping knows, of candidates as detect_numbers gives them."""
+    return looked_up(candidates, mapping, restore=False).select("doc_id", "frag_id", F.lit("leak").alias("category"), F.col("old").alias("value"))
+
+
 def leftovers(copies: DataFrame, mapping: DataFrame) -> DataFrame:
     """doc_id, frag_id, category and value of what in copies looks like personal data and is no stand-in.
 
     Categories: leak (a real value that the mapping knows), email, iban, number12, phone, card, org, person.
     """
     found = detect_numbers(copies).checkpoint()
-    leak = looked_up(found, mapping, restore=False).select("doc_id", "frag_id", F.lit("leak").alias("category"), F.col("old").alias("value"))
+    leak = leaks(found, mapping)
     known = mapping.select("family", "key").union(mapping.select("family", "fake")).distinct()
     unknown = found.join(known, ["family", "key"], "left_anti")
     host = tx.registrable_domain(F.substring_index("key", "@", -1))

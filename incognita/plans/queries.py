@@ -328,16 +328,17 @@ O_MOST = f"WITH f AS ({DERIVED}), s AS ({O_FRAGMENTS}) SELECT s.typ, substr(f.te
 
 
 def _full_cycle(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, jobs.Knowledge, DataFrame]:
+    """What detect_numbers finds in the derived fragments, what is learned from them, and their copies."""
     cluster.prepare(spark)
-    rows = fragments(spark, sf_dir).select("doc_id", "frag_id", "text", "hint")
+    rows = fragments(spark, sf_dir).select("doc_id", "frag_id", "text", "hint").checkpoint()
     found = detect_numbers(rows).checkpoint()
     known = jobs.learn(rows, _no_mapping(spark), SECRET, candidates=found)
-    return rows, known, jobs.obfuscate(rows, known, found).checkpoint()
+    return found, known, jobs.obfuscate(rows, known, found).checkpoint()
 
 
 def full_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers, addresses and organisations together: by kind of fragment, how many change and how many come back."""
-    rows, known, copies = _full_cycle(spark, sf_dir)
+    _, known, copies = _full_cycle(spark, sf_dir)
     back = jobs.restore(copies.select("doc_id", "frag_id", F.col("new_text").alias("text"), "hint"), known)
     both = copies.select("doc_id", "frag_id", "text", F.col("new_text").alias("copy")).join(back.select("doc_id", "frag_id", F.col("new_text").alias("restored")), ["doc_id", "frag_id"])
     return both.groupBy("frag_id").agg(F.count("*").alias("rows"), F.count_if(F.col("text") != F.col("copy")).alias("changed"), F.count_if(F.col("text") == F.col("restored")).alias("restored"))
@@ -348,9 +349,9 @@ O_FULL = "SELECT frag_id, count(*) AS rows, count(*) AS changed, count(*) AS res
 
 def audit_of_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the audit finds in copies: nothing. In the originals: every known value."""
-    rows, known, copies = _full_cycle(spark, sf_dir)
+    found, known, copies = _full_cycle(spark, sf_dir)
     clean = jobs.check(copies.select("doc_id", "frag_id", F.col("new_text").alias("text"), "hint"), known).agg(F.count("*").alias("found")).select(F.lit("copies").alias("of"), "found")
-    leaks = jobs.check(rows, known).filter("category = 'leak'").agg(F.count("*").alias("found")).select(F.lit("originals").alias("of"), "found")
+    leaks = audit.leaks(found, known.mapping).agg(F.count("*").alias("found")).select(F.lit("originals").alias("of"), "found")
     return clean.union(leaks)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from incognita import cluster
 from incognita.functions import text as tx
-from incognita.operators import detect, names
+from incognita.operators import audit, detect, names
 
 TEXTS = ["Принят Иванов Иван Петрович.", "ИВАНОВУ И. П. и И.П.Ивановой", "Анна Ивановна Белая", "Серик Нұрлан Болатұлы", "Иванова Анна Ильинична", "без имён. Итог", "", None, "счёт kz86125KZT0000000001 и Kz86 125K ZT00 0000 0002", "ИНН 7700000000, СНИЛС: 112-233-445 95", "инн 7700000000", "ОГРНИП № 304500116000157"]
 
@@ -39,3 +39,9 @@ def test_without_names_nothing_is_declined(spark):
     people = spark.createDataFrame([], "person_id string, sur string, gender string, name string, patr string, init_n string, init_p string, f_sur string, f_name string, f_patr string")
     for rows, kind in zip(names.person_forms(people), (names.FORMS, names.EXACT)):
         assert rows.columns == [c.split()[0] for c in kind.split(", ")] and "Generate" not in plan(rows) and rows.count() == 0
+
+
+def test_leaks_are_told_without_another_detection(spark):
+    rows = spark.createDataFrame([(1, 0, "тел. +7 (701) 123-45-67", None), (2, 0, "тел. +7 (702) 123-45-67", None)], "doc_id long, frag_id int, text string, hint string")
+    mapping = spark.createDataFrame([("phone", "phone", "7011234567", "7019999999")], "typ string, family string, key string, fake string")
+    assert [tuple(r) for r in audit.leaks(detect.detect_numbers(rows), mapping).collect()] == [(1, 0, "leak", "+7 (701) 123-45-67")]
