@@ -450,7 +450,8 @@ def common_words_vetoed(spark: SparkSession, sf_dir: str) -> DataFrame:
     cluster.prepare(spark)
     rows = _derived(spark, sf_dir, BESIDE)
     rows = rows.select("doc_id", F.monotonically_increasing_id().alias("frag_id"), "text", F.lit(None).cast("string").alias("hint")).checkpoint()
-    said = names.mentions(rows).groupBy("mention").agg(F.count("*").alias("times"))
+    # Both what is parsed and what is returned read the mentions, which take most of the work to find.
+    said = names.mentions(rows).groupBy("mention").agg(F.count("*").alias("times")).checkpoint()
     kept = lexicon.veto(names.parsed(said.select("mention")).checkpoint(), rows).select("mention", F.lit(True).alias("kept"))
     return said.join(kept, "mention", "left").select("mention", "times", F.coalesce("kept", F.lit(False)).alias("kept"))
 

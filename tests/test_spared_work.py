@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from incognita import cluster
 from incognita.functions import text as tx
 from incognita.operators import audit, detect, names
+from incognita.plans import queries
 
 TEXTS = ["Принят Иванов Иван Петрович.", "ИВАНОВУ И. П. и И.П.Ивановой", "Анна Ивановна Белая", "Серик Нұрлан Болатұлы", "Иванова Анна Ильинична", "без имён. Итог", "", None, "счёт kz86125KZT0000000001 и Kz86 125K ZT00 0000 0002", "ИНН 7700000000, СНИЛС: 112-233-445 95", "инн 7700000000", "ОГРНИП № 304500116000157"]
 
@@ -45,3 +46,10 @@ def test_leaks_are_told_without_another_detection(spark):
     rows = spark.createDataFrame([(1, 0, "тел. +7 (701) 123-45-67", None), (2, 0, "тел. +7 (702) 123-45-67", None)], "doc_id long, frag_id int, text string, hint string")
     mapping = spark.createDataFrame([("phone", "phone", "7011234567", "7019999999")], "typ string, family string, key string, fake string")
     assert [tuple(r) for r in audit.leaks(detect.detect_numbers(rows), mapping).collect()] == [(1, 0, "leak", "+7 (701) 123-45-67")]
+
+
+def test_mentions_beside_common_words_are_found_once(spark):
+    """The rows returned read the mentions that were found for parsing, and do not find them again."""
+    rows = queries.common_words_vetoed(spark, "/root/testdata/sf0.001")
+    assert names.INITIALS_AFTER not in plan(rows)
+    assert sum(r.times for r in rows.collect()) == 150
