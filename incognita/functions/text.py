@@ -75,19 +75,28 @@ def gaps(text: Column, pattern: str) -> Column:
 
 
 def match_spans(text: Column, pattern: str) -> Column:
-    """start, end and value of each match of a pattern in a short text: gaps and matches, side by side, summed up from the left."""
-    values = F.regexp_extract_all(text, F.lit(pattern), 0)
-    # The last gap has no match behind it.
-    pairs = F.filter(F.zip_with(values, gaps(text, pattern), lambda v, g: F.struct(F.char_length(g).alias("gap"), v.alias("value"))), lambda p: p["value"].isNotNull())
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    """start, end and value of each match of a pattern, which matches no empty string, in a short text: gaps and matches, side by side, summed up from the left.
+
+    One pass of the pattern puts marks around all matches; looking for one, taking them out and taking out what stands
+    between were three. Texts that hold the mark themselves go the plain way.
+    """
+    none, nothing = F.array().cast(SPAN), F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    pair = lambda gap, v: F.struct(F.char_length(gap).alias("gap"), v.alias("value"))
 
     def add(acc: Column, p: Column) -> Column:
         start = acc["at"] + p["gap"]
         end = start + F.char_length(p["value"])
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value")))).alias("spans"))
 
-    # Most texts have no match, which one search tells.
-    return F.when(text.rlike(pattern), F.aggregate(pairs, nothing, add)["spans"]).otherwise(F.array().cast(SPAN))
+    def spans(pieces: Column) -> Column:
+        pairs = F.transform(F.filter(pieces, lambda _, i: i % 2 == 1), lambda v, i: pair(F.get(pieces, i * 2), v))
+        return F.aggregate(pairs, nothing, add)["spans"]
+
+    # The last gap has no match behind it.
+    plain = F.filter(F.zip_with(F.regexp_extract_all(text, F.lit(pattern), 0), gaps(text, pattern), lambda v, g: pair(g, v)), lambda p: p["value"].isNotNull())
+    # Most texts have no match, and stay whole.
+    found = let(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), lambda m: F.when(F.contains(m, F.lit(_MARK)), let(F.split(m, _MARK, -1), spans)).otherwise(none))
+    return F.when(F.contains(text, F.lit(_MARK)), F.aggregate(plain, nothing, add)["spans"]).otherwise(found)
 
 
 def tokens(text: Column) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from incognita.functions import text as tx
-from incognita.operators import detect
+from incognita.operators import detect, names
 from incognita.plans import queries
 
 TABLES = "/root/testdata/sf0.1"
@@ -45,3 +45,25 @@ def test_numbers_written_like_others_without_a_step_for_each_character(spark):
 def test_notes_of_customers_are_dealt_out(spark):
     assert queries._by_customer(spark, TABLES, ("а", "б")).rdd.getNumPartitions() >= 7
     assert queries._derived(spark, TABLES, queries.BESIDE).rdd.getNumPartitions() >= 7
+
+
+def test_matches_are_found_in_one_pass(spark):
+    """One search that marks all matches, and not one that tells whether there are any, before two more."""
+    texts = ["Иванов А. Б. и 😀 Петров-Водкин К.", "$0 \\ Ким А.", "Ким А.Ким Б.", "ничего", "", "Ким А.\x01Юнг Б."]
+    rows = spark.createDataFrame([(t,) for t in (*texts, None)], "t string").repartition(2)
+    made = rows.select("t", tx.match_spans(F.col("t"), names.INITIALS_AFTER).alias("found"))
+    assert "RLIKE" not in made._jdf.queryExecution().optimizedPlan().toString()
+    pattern = names.INITIALS_AFTER.removeprefix("(?U)")
+    for t, found in made.collect():
+        assert [(m.start, m.end, m.value) for m in found] == [(*m.span(), m.group()) for m in re.finditer(pattern, t or "")]
+
+
+def test_patronymics_are_asked_at_the_ends_of_words(spark):
+    """The same full names as with an ending that is asked at each letter."""
+    assert "++(?<=" in names.FULL
+    words = ["Иванов", "Иван", "Иванович", "Ивановичем", "Ильинична", "Ильиничной-Ким", "Нұрлан", "Болатұлы", "Болат ұлы", "Петровичев", "и"]
+    texts = [(f"{a} {b} {c}",) for a in words for b in words for c in words]
+    rows = spark.createDataFrame(texts, "t string")
+    all_of = lambda p: F.regexp_extract_all("t", F.lit(p), 0)
+    assert rows.filter(~all_of(names.FULL).eqNullSafe(all_of(names.FULL.replace("++(?<=", "+(?<=")))).count() == 0
+    assert rows.filter(F.col("t").rlike(names.FULL)).count() > 0
