@@ -37,9 +37,11 @@ def doubtful(parts: DataFrame) -> DataFrame:
 def small_counts(texts: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """word and small: how often each word (of words, if given) is written small in texts (text)."""
     each = texts.select(F.explode(F.regexp_extract_all("text", F.lit(f"(?U)(?<![\\w.-])[{tx.LOWER}]{{2,}}(?![\\w-])"), 0)).alias("word")).select(tx.fold_yo(F.col("word")).alias("word"))
+    # Sums before the join: a join of words would send each of them, and all of a frequent one to one task.
+    counts = each.groupBy("word").agg(F.count("*").alias("small"))
     if words is not None:
-        each = each.join(words.select("word").distinct(), "word", "left_semi")
-    return each.groupBy("word").agg(F.count("*").alias("small"))
+        counts = counts.join(words.select("word").distinct(), "word", "left_semi")
+    return counts
 
 
 def veto(parts: DataFrame, texts: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:

@@ -73,3 +73,18 @@ def test_all_parts_of_long_names_are_declined(spark):
     name = "-".join(["Иванов"] * 14)
     got = spark.range(1).select(mo.decline_surname(F.lit(name), F.lit("m"))).first()[0]
     assert got[1] == "-".join(["Иванова"] * 14)
+
+
+def test_words_are_summed_before_they_meet_those_asked(spark):
+    """A frequent word is not sent row by row to the one task that has it, where the words asked are too many to be sent to all tasks."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([("лист и лист",), ("отчёт, лист",), (None,)], "text string")
+        counts = lexicon.small_counts(rows, spark.createDataFrame([("лист",), ("отчет",), ("акт",)], "word string"))
+        plan = counts._jdf.queryExecution().optimizedPlan().toString()
+        texts = plan[plan.index("LeftSemi") :]
+        assert texts.index("Aggregate") < texts.index("regexp_extract_all")
+        assert {r.word: r.small for r in counts.collect()} == {"лист": 3, "отчет": 1}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
